@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from dossier.llm import mixing
+from dossier.llm import mixing, simhash, token_store
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
+    "op9_simhash_components": simhash.op9_simhash_components,
+    "op10_token_files": token_store.op10_token_files,
 }
 
 ORACLE_SQL = {
