@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from dossier.llm import mixing, simhash, token_store
+from dossier.llm import contamination, mixing, simhash, token_store, warc
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
+    "op2_contained_items": contamination.op2_contained_items,
+    "op7_warc_round_trip": warc.op7_warc_round_trip,
     "op9_simhash_components": simhash.op9_simhash_components,
     "op10_token_files": token_store.op10_token_files,
 }
 
 ORACLE_SQL = {
     "op1_source_mix": mixing.OP1_SQL,
+    "op2_contained_items": contamination.OP2_SQL,
+    "op7_warc_round_trip": warc.OP7_SQL,
 }
