@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a control table (one row per source, item, bucket) that may be broadcast.
 BROADCAST_ROWS = 100_000
+#: Tasks that files are dealt to, at most.
+MAX_TASKS = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:

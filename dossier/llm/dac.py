@@ -57,23 +57,24 @@ class Writer:
         self.doc_ids: list[int | None] = []
         self.starts = [0]
         self.parts: list[list[tuple[np.ndarray, np.ndarray]]] = []
-        self.waiting: list[bytes] = []
+        self.waiting: list[np.ndarray] = []
         self.held = 0
 
     def __len__(self) -> int:
         return self.starts[-1]
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        """A document's ids as little-endian unsigned 32-bit integers."""
+    def add(self, doc_id: int | None, *ids: np.ndarray) -> None:
+        """A document's ids, in one or more pieces."""
+        n = sum(map(len, ids))
         self.doc_ids.append(doc_id)
-        self.starts.append(self.starts[-1] + len(ids) // 4)
-        self.waiting.append(ids)
-        self.held += len(ids)
-        if self.held > 1 << 22:
+        self.starts.append(self.starts[-1] + n)
+        self.waiting.extend(ids)
+        self.held += n
+        if self.held > 1 << 20:
             self._split()
 
     def _split(self) -> None:
-        for k, level in enumerate(split_levels(np.frombuffer(b"".join(self.waiting), "<u4"))):
+        for k, level in enumerate(split_levels(np.concatenate(self.waiting or [np.zeros(0, "<u4")]))):
             if k == len(self.parts):
                 self.parts.append([])
             self.parts[k].append(level)

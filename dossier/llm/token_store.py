@@ -6,14 +6,15 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm import dac
-from dossier.llm.common import cut, shared_path
-from dossier.llm.word_tokens import word_encoder
+from dossier.llm.common import MAX_TASKS, cut, shared_path
+from dossier.llm.word_tokens import by_bytes, word_encoder
 
 #: Ends every document.
 END_ID = 1
@@ -33,7 +34,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     null text is empty and leaves the end id alone. No documents: no files.
     A file that a lost or repeated task leaves behind is in no manifest. A task holds one file's chunks.
     """
-    end = end_id.to_bytes(4, "little")
+    end = np.array([end_id], "<u4")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -54,11 +55,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
             return row
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                rows = batch.slice(k, 256)
-                texts = rows.column(1).cast(pa.binary()).to_pylist()
-                for doc_id, ids in zip(rows.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                    writer.add(doc_id, ids + end)
+            for rows in by_bytes(batch, 1):
+                ids, counts = encoder.encode(rows.column(1))
+                for doc_id, own in zip(rows.column(0).to_pylist(), np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+                    writer.add(doc_id, own, end)
                     if len(writer) >= file_ids:
                         yield close()
         if writer.doc_ids:
@@ -96,7 +96,8 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return manifest.select("path", "start").repartition("path").mapInArrow(read, _DOCS)
+    files = max(1, manifest.count())
+    return manifest.select("path", "start").repartition(min(files, MAX_TASKS)).mapInArrow(read, _DOCS)
 
 
 def tokens_on_disk(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

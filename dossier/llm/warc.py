@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import bounded_broadcast, cut, shared_path
+from dossier.llm.common import MAX_TASKS, bounded_broadcast, cut, shared_path
 
 #: Payloads of fewer bytes are always written in full.
 MIN_REVISIT_BYTES = 100
@@ -215,7 +215,8 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    return manifest.select("path").repartition("path").mapInArrow(read, _RECORDS)
+    archives = max(1, manifest.count())
+    return manifest.select("path").repartition(min(archives, MAX_TASKS)).mapInArrow(read, _RECORDS)
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:

@@ -8,15 +8,18 @@ from __future__ import annotations
 
 import functools
 import os
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Letters below this code point are in scripts whose lower case and composition don't depend on context.
 _PLAIN = "ɐ"
 
 
 class WordEncoder:
-    """ids(text) as little-endian unsigned 32-bit integers. Memory: two generations of `remember` words at most."""
+    """encode() gives ids as unsigned 32-bit integers. Memory: two generations of about `remember` words at most."""
 
     def __init__(self, path: str, remember: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -74,19 +77,30 @@ class WordEncoder:
         if other:
             self.words.update(zip((raw for raw, _ in other), self._encode([word for _, word in other]), strict=True))
 
-    def encode(self, texts: list[bytes | None], at_once: int = 50_000) -> list[bytes]:
-        """Ids of each text in UTF-8; none for null. Words are learnt for some texts at a time."""
-        out: list[bytes] = []
-        group: list[list[bytes]] = []
-        held = 0
-        for k, text in enumerate(texts):
-            group.append(text.split() if text else [])
-            held += len(group[-1])
-            if held >= at_once or k == len(texts) - 1:
-                self._learn({w for words in group for w in words})
-                out.extend(b"".join(map(self.words.__getitem__, words)) for words in group)
-                group, held = [], 0
-        return out
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each text has; none for null."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = lists.flatten().dictionary_encode()
+        unique, codes = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy()
+        self._learn(set(unique) - {b""})
+        known = [self.words[word] if word else b"" for word in unique]
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids = np.frombuffer(b"".join(known), "<u4")
+        n = lengths[codes]
+        ends = np.append(0, np.cumsum(n))
+        places = np.arange(ends[-1]) - np.repeat(ends[:-1] - (np.cumsum(lengths) - lengths)[codes], n)
+        offsets = lists.offsets.to_numpy()
+        return ids[places], np.diff(ends[offsets - offsets[0]])
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about so many bytes of one column; a longer text is a slice of its own."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    parts, start = np.cumsum(lengths) // size, 0
+    for end in [*(np.flatnonzero(np.diff(parts)) + 1).tolist(), batch.num_rows]:
+        if end > start:
+            yield batch.slice(start, end - start)
+        start = end
 
 
 @functools.lru_cache(maxsize=1)
