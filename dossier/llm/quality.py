@@ -82,7 +82,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> D
     ids = cut(trusted.select(F.col("doc_id").cast("long").alias("_trusted")).filter("_trusted is not null").distinct(), "trusted")
     few = bounded_broadcast(ids)
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids if few is None else few, F.col("doc_id") == F.col("_trusted"), "left")
-    grams = with_buckets(marked, buckets).select(F.col("_trusted").isNotNull().cast("long").alias("t"), F.explode("_buckets").alias("bucket"))
+    # An inner explode would have Spark test the array's size first, on the expression that makes it, for every element.
+    grams = with_buckets(marked, buckets).select(F.col("_trusted").isNotNull().cast("long").alias("t"), F.explode_outer("_buckets").alias("bucket")).filter("bucket is not null")
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(1).cast("long").alias("raw"), F.lit(1).cast("long").alias("target"))
     both = counts.unionByName(every).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
@@ -97,7 +98,8 @@ def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, b
     any. kept: not base_failed, and llr at or above the threshold; the same for the same rows on every run.
     No documents: no rows.
     """
-    ratios = cut(log_ratios(docs, trusted, buckets), "log-ratios").scalar()
+    found = log_ratios(docs, trusted, buckets).first().ratios  # as many numbers as buckets, whatever the corpus
+    ratios = F.split(F.lit(",".join(map(repr, found))), ",").cast("array<double>")  # folded to one constant
     scored = with_buckets(base_counts(docs), buckets)
     total = F.aggregate("_buckets", F.lit(0.0), lambda a, b: a + F.get(ratios, b))
     return (
