@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from dossier.llm import contamination, mixing, simhash, token_store, warc
+from dossier.llm import chat, contamination, mixing, quality, simhash, token_store, toxicity, warc
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
     "op2_contained_items": contamination.op2_contained_items,
+    "op3_toxicity_scores": toxicity.op3_toxicity_scores,
+    "op5_perspective_chats": chat.op5_perspective_chats,
     "op7_warc_round_trip": warc.op7_warc_round_trip,
+    "op8_quality_rules": quality.op8_quality_rules,
     "op9_simhash_components": simhash.op9_simhash_components,
     "op10_token_files": token_store.op10_token_files,
 }
@@ -15,5 +18,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_source_mix": mixing.OP1_SQL,
     "op2_contained_items": contamination.OP2_SQL,
+    "op5_perspective_chats": chat.OP5_SQL,
     "op7_warc_round_trip": warc.OP7_SQL,
 }
