@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dossier.llm import chat, contamination, mixing, quality, simhash, token_store, toxicity, warc
+from dossier.llm import chat, contamination, mixing, quality, repeats, simhash, token_counts, token_store, toxicity, warc
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
     "op2_contained_items": contamination.op2_contained_items,
     "op3_toxicity_scores": toxicity.op3_toxicity_scores,
+    "op4_repeated_bytes": repeats.op4_repeated_bytes,
     "op5_perspective_chats": chat.op5_perspective_chats,
+    "op6_edited_token_counts": token_counts.op6_edited_token_counts,
     "op7_warc_round_trip": warc.op7_warc_round_trip,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_simhash_components": simhash.op9_simhash_components,

@@ -35,14 +35,17 @@ _REMEMBER = 200_000
 
 
 def word_terms(word: str) -> list[int]:
-    """Buckets of a lower-cased word: itself and its beginnings."""
+    """Buckets of a lower-cased word without the marks at its edges: itself and its beginnings."""
+    word = word.strip(_EDGES)
+    if not word:
+        return []
     terms = [zlib.crc32(word.encode()) % BUCKETS]
     terms.extend(zlib.crc32(word[:n].encode(), n) % BUCKETS for n in BEGINNINGS if len(word) >= n)
     return terms
 
 
 def text_words(text: str | None) -> set[str]:
-    return {word.strip(_EDGES) for word in text.lower().split()} - {""} if text else set()
+    return set(text.lower().split()) if text else set()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -76,8 +79,7 @@ class Scorer:
 
     def __init__(self, machine: Machine):
         self.machine = machine
-        self.place = np.full(BUCKETS, -1, np.int32)
-        self.place[machine.terms] = np.arange(len(machine.terms), dtype=np.int32)
+        self.place = {term: place for place, term in enumerate(machine.terms.tolist())}
         self.words: dict[str, bytes] = {}
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
@@ -86,9 +88,9 @@ class Scorer:
             words = text_words(text)
             if len(self.words) > _REMEMBER:
                 self.words = {}
-            for word in words - self.words.keys():
-                known = self.place[word_terms(word)]
-                self.words[word] = known[known >= 0].tobytes()
+            for word in words.difference(self.words):
+                known = [self.place[term] for term in word_terms(word) if term in self.place]
+                self.words[word] = np.array(known, np.int32).tobytes() if known else b""
             found.append(np.unique(np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int32)))
         counts = np.array([len(x) for x in found])
         margins = self.machine.margins(np.concatenate(found) if found else np.zeros(0, np.int32), counts)

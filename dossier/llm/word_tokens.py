@@ -56,21 +56,19 @@ class WordEncoder:
             self.words, self.old_words = {}, self.words
         if len(self.stems) > self.remember:
             self.stems, self.old_stems = {}, self.stems
-        words = words - self.words.keys()
-        for word in words & self.old_words.keys():
-            self.words[word] = self.old_words[word]
+        words = words.difference(self.words)
+        self.words.update({word: self.old_words[word] for word in words if word in self.old_words})
         plain, other = {}, []
-        for raw in words - self.words.keys():
+        for raw in words.difference(self.words):
             word = raw.decode()
             stem, mark = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
             if stem.isalpha() and max(stem) < _PLAIN and "İ" not in stem:
                 plain[raw] = (stem.lower(), mark)
             else:
                 other.append((raw, word))
-        stems = {stem for stem, _ in plain.values()} - self.stems.keys()
-        for stem in stems & self.old_stems.keys():
-            self.stems[stem] = self.old_stems[stem]
-        if stems := list(stems - self.stems.keys()):
+        stems = {stem for stem, _ in plain.values()}.difference(self.stems)
+        self.stems.update({stem: self.old_stems[stem] for stem in stems if stem in self.old_stems})
+        if stems := list(stems.difference(self.stems)):
             self._encode_stems(stems)
         for raw, (stem, mark) in plain.items():
             self.words[raw] = self.stems[stem] + self.marks[mark] if mark else self.stems[stem]
