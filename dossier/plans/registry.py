@@ -1,6 +1,324 @@
-"""Queries by name, and for each the equivalent SQL."""
+"""The registered queries: every operator over the given tables, flat rows out."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dossier.functions.text import excerpt, lead_sentences, sanitize
+from dossier.operators import analyses, responses, retrieval, sessions
+from dossier.plans.oracle import ORACLE_SQL
+from dossier.sources import requests as intake
+from dossier.sources import tables
+from dossier.sources.schemas import LITERATURE_RESPONSE
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
+CUSTOM_WORDS = ("tion", "licens", "naus")
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.score_chunks(tables.requests(spark, sf_dir), tables.request_documents(spark, sf_dir), tables.chunks(spark, sf_dir))
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.top_chunks(_scored(spark, sf_dir))
+
+
+def _analysed(spark: SparkSession, sf_dir: str, **words) -> DataFrame:
+    return analyses.with_analyses(retrieval.with_chunks(tables.requests(spark, sf_dir), _ranked(spark, sf_dir)), **words)
+
+
+def _items(df: DataFrame, column: str, *fields: str) -> DataFrame:
+    """An array column of structs as rows, numbered from 1."""
+    each = df.select("request_id", F.posexplode(column).alias("pos", "e"))
+    return each.select("request_id", (F.col("pos") + 1).alias("item"), *(F.col(f"e.{f}").alias(f) for f in fields))
+
+
+def ingest_documents(spark, sf_dir):
+    return tables.documents(spark, sf_dir).select("doc_id", "name", "size_bytes", "page_count", "preview", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def sanitize_text(spark, sf_dir):
+    return tables.raw_documents(spark, sf_dir).select("doc_id", sanitize(F.col("text")).alias("text"))
+
+
+def document_preview(spark, sf_dir):
+    return tables.documents(spark, sf_dir).select("doc_id", "preview")
+
+
+def estimate_page_count(spark, sf_dir):
+    return tables.documents(spark, sf_dir).select("doc_id", "page_count")
+
+
+def pick_sentences(spark, sf_dir):
+    return tables.documents(spark, sf_dir).select("doc_id", lead_sentences(F.col("text")).alias("lead"))
+
+
+def chunk_documents(spark, sf_dir):
+    return tables.chunks(spark, sf_dir).drop("lower_text")
+
+
+def chunk_page_estimate(spark, sf_dir):
+    return tables.chunks(spark, sf_dir).select("chunk_id", "char_offset", "page")
+
+
+def chunk_excerpts(spark, sf_dir):
+    lengths = {"evidence": 220, "coverage": 240, "literature": 280}
+    return tables.chunks(spark, sf_dir).select("chunk_id", *(excerpt(F.col("text"), n).alias(name) for name, n in lengths.items()))
+
+
+def request_intake(spark, sf_dir):
+    requests, documents = intake.request_intake(tables.request_bodies(spark, sf_dir))
+    counted = requests.select("request_id", "question", F.size("selected_agents").cast("long").alias("n_agents"))
+    return counted.join(documents, "request_id", "left")
+
+
+def tokenize_question(spark, sf_dir):
+    return retrieval.question_tokens(tables.requests(spark, sf_dir)).drop("weight")
+
+
+def token_weight(spark, sf_dir):
+    return retrieval.question_tokens(tables.requests(spark, sf_dir))
+
+
+def validate_requests(spark, sf_dir):
+    checked = intake.validate_requests(tables.requests(spark, sf_dir), tables.request_documents(spark, sf_dir))
+    return checked.select("request_id", "n_documents", "valid", "error")
+
+
+def validate_requests_strict(spark, sf_dir):
+    asked = tables.questions(spark, sf_dir).withColumn("selected_agents", F.array().cast("array<string>"))
+    one = asked.select("request_id", F.lit(1).alias("doc_ordinal"), F.lit("0").alias("doc_id"))
+    return intake.validate_requests(asked, one, min_question_chars=7).select("request_id", "valid", "error")
+
+
+def remove_documents(spark, sf_dir):
+    named = tables.request_documents(spark, sf_dir)
+    return intake.remove_documents(named, named.filter("cast(doc_id as long) % 3 = 0")).select("request_id", "doc_ordinal", "doc_id")
+
+
+def append_documents(spark, sf_dir):
+    named = tables.request_documents(spark, sf_dir)
+    return intake.append_documents(named, named.filter("cast(doc_id as long) % 5 = 0"))
+
+
+def keyword_score(spark, sf_dir):
+    return _scored(spark, sf_dir).select("request_id", "chunk_id", "score")
+
+
+def keyword_score_postings(spark, sf_dir):
+    return retrieval.score_by_postings(tables.requests(spark, sf_dir), tables.request_documents(spark, sf_dir), tables.chunks(spark, sf_dir))
+
+
+def top_chunks(spark, sf_dir):
+    return _ranked(spark, sf_dir).select("request_id", "rank", "chunk_id", "doc_ordinal", "page", "score")
+
+
+def top_chunks_single(spark, sf_dir):
+    one = tables.requests(spark, sf_dir).filter("request_id = '7'")
+    named = tables.request_documents(spark, sf_dir).filter("request_id = '7'")
+    return retrieval.top_chunks_single(retrieval.score_chunks(one, named, tables.chunks(spark, sf_dir))).select("chunk_id", "score")
+
+
+def coverage_summary(spark, sf_dir):
+    return retrieval.coverage(_ranked(spark, sf_dir))
+
+
+def evidence_items(spark, sf_dir):
+    rows = retrieval.with_chunks(tables.requests(spark, sf_dir), _ranked(spark, sf_dir))
+    items = rows.select("request_id", analyses.evidence(F.col("chunks")).alias("evidence"))
+    return _items(items, "evidence", "excerpt", "document_name", "page", "section", "relevance").withColumnRenamed("item", "rank")
+
+
+def _signal_chunks(column):
+    def query(spark, sf_dir):
+        each = _analysed(spark, sf_dir).select("request_id", F.explode(column).alias("c"))
+        return each.select("request_id", F.col("c.rank").alias("rank"), F.col("c.chunk_id").alias("chunk_id"))
+
+    return query
+
+
+def signal_support(spark, sf_dir):
+    count = lambda c: F.size(c).cast("long")
+    return _analysed(spark, sf_dir).select("request_id", count("chunks").alias("n_chunks"), count("interaction_chunks").alias("n_interaction"), count("adverse_chunks").alias("n_adverse"))
+
+
+def agent_confidence(spark, sf_dir):
+    return _analysed(spark, sf_dir).select("request_id", *(F.col(f"{c}.confidence").alias(c) for c in analyses.COLUMNS))
+
+
+def gate_agents(spark, sf_dir):
+    return _analysed(spark, sf_dir).select("request_id", *(F.col(f"{c}.summary").alias(c) for c in analyses.COLUMNS))
+
+
+def literature_search(spark, sf_dir):
+    lit = F.col("literature")
+    return _analysed(spark, sf_dir).select(
+        "request_id",
+        lit["summary"].alias("summary"),
+        lit["confidence"].alias("confidence"),
+        F.size(lit["evidence"]).cast("long").alias("n_evidence"),
+        F.size(lit["excerpts"]).cast("long").alias("n_excerpts"),
+        F.get(lit["limitations"], F.lit(0)).alias("limitation"),
+        F.get(lit["warnings"], F.lit(0)).alias("warning"),
+    )
+
+
+def literature_excerpts(spark, sf_dir):
+    return _items(_analysed(spark, sf_dir), "literature.excerpts", "excerpt", "document_name", "page", "section", "reason")
+
+
+def _screen(column):
+    def query(spark, sf_dir):
+        each = _analysed(spark, sf_dir).select("request_id", column, F.posexplode_outer(f"{column}.evidence").alias("pos", "e"))
+        return each.select(
+            "request_id",
+            F.col(f"{column}.summary").alias("summary"),
+            F.col(f"{column}.confidence").alias("confidence"),
+            (F.col("pos") + 1).alias("item"),
+            F.col("e.document_name").alias("document_name"),
+            F.col("e.excerpt").alias("excerpt"),
+        )
+
+    return query
+
+
+def _interaction_findings(**words):
+    return lambda spark, sf_dir: _items(_analysed(spark, sf_dir, **words), "interaction.findings", "interaction", "severity", "uncertainty", "notes", "evidence").drop("item")
+
+
+def _adverse_findings(**words):
+    return lambda spark, sf_dir: _items(_analysed(spark, sf_dir, **words), "adverse.findings", "event", "source_evidence", "confidence")
+
+
+def trial_summary(spark, sf_dir):
+    finding = F.get(F.col("trial.findings"), F.lit(0))
+    fields = ("methods", "key_findings", "relevance")
+    return _analysed(spark, sf_dir).select("request_id", F.col("trial.summary").alias("summary"), F.col("trial.confidence").alias("confidence"), *(finding[f].alias(f) for f in fields))
+
+
+def consensus(spark, sf_dir):
+    lists = ("missing_evidence", "agreements", "disagreements")
+    return _analysed(spark, sf_dir).select(
+        "request_id",
+        F.col("consensus.confidence").alias("confidence"),
+        F.col("consensus.conclusion").alias("conclusion"),
+        *(F.array_join(f"consensus.{c}", "; ").alias(c) for c in lists),
+        F.size("consensus.evidence").cast("long").alias("n_evidence"),
+    )
+
+
+def report(spark, sf_dir):
+    texts, lists = ("executive_summary", "clinical_briefing", "lay_summary"), ("key_findings", "risks", "follow_up_questions")
+    return _analysed(spark, sf_dir).select(
+        "request_id", *(F.col(f"report.{c}").alias(c) for c in texts), *(F.array_join(f"report.{c}", "; ").alias(c) for c in lists), F.size("report.evidence").cast("long").alias("n_evidence")
+    )
+
+
+def report_evidence_table(spark, sf_dir):
+    return _items(_analysed(spark, sf_dir), "report.evidence_table", "topic", "finding", "source", "confidence").drop("item")
+
+
+def report_markdown(spark, sf_dir):
+    return _analysed(spark, sf_dir).select("request_id", F.col("report.markdown").alias("markdown"))
+
+
+def citation_table(spark, sf_dir):
+    return analyses.citations(_analysed(spark, sf_dir))
+
+
+def analysis_bundle(spark, sf_dir):
+    r = F.col("results")
+    return analyses.bundle(_analysed(spark, sf_dir)).select(
+        "request_id",
+        r["literature"]["confidence"].alias("literature"),
+        F.size(r["literature"]["excerpts"]).cast("long").alias("n_excerpts"),
+        *(r[c]["summary"].alias(c) for c in ("interaction", "adverse", "trial")),
+        r["consensus"]["conclusion"].alias("conclusion"),
+        r["report"]["markdown"].alias("markdown"),
+    )
+
+
+def prompt_payloads(spark, sf_dir):
+    prompts = analyses.prompt_payloads(_analysed(spark, sf_dir))
+    return prompts.select("request_id", "agent_id", "system", F.get_json_object("user", "$.question").alias("question"), "n_chunks")
+
+
+def merge_responses(spark, sf_dir):
+    """Responses for the literature search: whole, without fields, corrupt, empty and absent in turn."""
+    computed = _analysed(spark, sf_dir).select(
+        "request_id", F.lit("literature-search").alias("agent_id"), F.struct("literature.summary", "literature.confidence", "literature.limitations").alias("output")
+    )
+    turn = F.col("request_id").cast("long") % 5
+    whole = F.to_json(F.struct(F.concat(F.lit("External summary "), "request_id").alias("summary"), F.lit("high").alias("confidence"), F.array().cast("array<string>").alias("limitations")))
+    content = F.when(turn == 0, whole).when(turn == 1, "{}").when(turn == 2, '{"summary": ').when(turn == 3, "")
+    given = tables.requests(spark, sf_dir).filter(turn != 4).select("request_id", F.lit("literature-search").alias("agent_id"), content.alias("content"))
+    merged = responses.merge_responses(computed, given, LITERATURE_RESPONSE)
+    return merged.select("request_id", "external", "output.summary", "output.confidence", F.size("output.limitations").cast("long").alias("n_limitations"))
+
+
+def session_row_mapping(spark, sf_dir):
+    rows = sessions.read_sessions(tables.saves(spark, sf_dir))
+    counts = (F.size("selected_agents").cast("long").alias("n_agents"), F.size("documents").cast("long").alias("n_documents"))
+    return rows.select("event_id", "id", "question", "status", "mode", *counts, F.col("results.k").alias("k"), "created_at", "updated_at")
+
+
+def _sessions(spark, sf_dir):
+    stored, new = tables.saved_batches(spark, sf_dir)
+    return sessions.read_sessions(sessions.upsert_sessions(stored, new))
+
+
+def session_upsert(spark, sf_dir):
+    return _sessions(spark, sf_dir).select("id", "question", "status", "mode", F.col("results.k").alias("k"), "created_at", "updated_at")
+
+
+def session_lookup(spark, sf_dir):
+    ids = tables.saves(spark, sf_dir).select("id").filter("cast(id as long) % 7 = 0").unionByName(spark.createDataFrame([("none such",)], "id string"))
+    return sessions.lookup_sessions(_sessions(spark, sf_dir), ids).select("id", "status", "results_available")
+
+
+def recent_sessions(spark, sf_dir):
+    return sessions.recent_sessions(_sessions(spark, sf_dir)).select("id", "status", "created_at")
+
+
+def session_mru(spark, sf_dir):
+    return sessions.most_recent(tables.saves(spark, sf_dir).withColumnRenamed("updated_at", "saved_at")).select("id", "status", "saved_at")
+
+
+def session_cards(spark, sf_dir):
+    return sessions.session_cards(_sessions(spark, sf_dir))
+
+
+def dashboard_stats(spark, sf_dir):
+    return sessions.dashboard_stats(_sessions(spark, sf_dir))
+
+
+def assemble_sessions(spark, sf_dir):
+    asked = tables.requests(spark, sf_dir)
+    made = sessions.assemble_sessions(asked, tables.request_documents(spark, sf_dir), analyses.bundle(_analysed(spark, sf_dir)))
+    return made.select(
+        "id", "question", "status", "mode", F.size("selected_agents").cast("long").alias("n_agents"), F.array_join("documents", ",").alias("documents"), F.col("results.consensus.conclusion").alias("conclusion"), "created_at"
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        ingest_documents, sanitize_text, document_preview, estimate_page_count, pick_sentences, chunk_documents, chunk_page_estimate, chunk_excerpts,
+        request_intake, tokenize_question, token_weight, validate_requests, validate_requests_strict, remove_documents, append_documents,
+        keyword_score, keyword_score_postings, top_chunks, top_chunks_single, coverage_summary, evidence_items, signal_support, agent_confidence, gate_agents,
+        literature_search, literature_excerpts, trial_summary, consensus, report, report_evidence_table, report_markdown, citation_table, analysis_bundle,
+        prompt_payloads, merge_responses, session_row_mapping, session_upsert, session_lookup, recent_sessions, session_mru, session_cards, dashboard_stats, assemble_sessions,
+    )
+}
+QUERIES |= {
+    "interaction_signal_chunks": _signal_chunks("interaction_chunks"),
+    "adverse_signal_chunks": _signal_chunks("adverse_chunks"),
+    "interaction_screen": _screen("interaction"),
+    "adverse_screen": _screen("adverse"),
+    "interaction_findings": _interaction_findings(),
+    "interaction_findings_custom": _interaction_findings(interaction_words=CUSTOM_WORDS),
+    "adverse_findings": _adverse_findings(),
+    "adverse_findings_custom": _adverse_findings(safety_words=CUSTOM_WORDS),
+}
