@@ -137,7 +137,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without those that contain an item; a doc_id goes with all its rows."""
     bad = cut(contained_items(docs, items).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
     few = bounded_broadcast(bad)
-    return docs.join(bad if few is None else few, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    right = bad if few is None else few
+    return docs.join(right, docs["doc_id"].cast("long").eqNullSafe(right["_bad"]), "left_anti")
 
 
 def op2_contained_items(spark, sf_dir: str) -> DataFrame:

@@ -123,29 +123,19 @@ def with_repeats(docs: DataFrame, mixture: Mixture) -> DataFrame:
 
     Columns of docs named like those replace nothing: they are dropped first.
     """
+    kept = [c for c in docs.columns if c not in ("source_size", "target", "repeats")]
+    rows = docs.select("doc_id", "source", F.struct(*kept).alias("_row"))
     key = F.struct(draw(F.col("doc_id"), mixture.seed).alias("place"), F.col("doc_id"))
-    added = mixture.sources.select(
-        "source",
-        F.col("source_size").alias("_size"),
-        F.col("target").alias("_target"),
-        F.col("whole").alias("_whole"),
-        F.col("edge").alias("_edge"),
-        F.col("edge_in").alias("_edge_in"),
-    )
-    extra = F.coalesce((key < F.col("_edge")) | ((key == F.col("_edge")) & F.col("_edge_in")), F.lit(False))
-    return (
-        _with_source(docs.drop("source_size", "target", "repeats"), added)
-        .withColumn("source_size", F.col("_size"))
-        .withColumn("target", F.col("_target"))
-        .withColumn("repeats", F.col("_whole") + extra.cast("long"))
-        .drop("_size", "_target", "_whole", "_edge", "_edge_in")
-    )
+    extra = F.coalesce((key < F.col("edge")) | ((key == F.col("edge")) & F.col("edge_in")), F.lit(False))
+    joined = _with_source(rows, mixture.sources.select("source", "source_size", "target", "whole", "edge", "edge_in"))
+    return joined.select("_row.*", "source_size", "target", (F.col("whole") + extra.cast("long")).alias("repeats"))
 
 
 def sample_mixture(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: each document's row as often as it is taken, with the columns of docs."""
-    taken = with_repeats(docs.withColumn("_row", F.struct(*docs.columns)), plan_mixture(docs, **settings))
-    return taken.filter("repeats > 0").select("_row", F.explode(F.array_repeat(F.lit(0), F.col("repeats").cast("int")))).select("_row.*")
+    rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("_all"))
+    taken = with_repeats(rows, plan_mixture(docs, **settings)).filter("repeats > 0")
+    return taken.select("_all", F.explode(F.array_repeat(F.lit(0), F.col("repeats").cast("int")))).select("_all.*")
 
 
 def op1_source_mix(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,8 @@ def base_counts(docs: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to docs (text).
 
     Repeated windows are found by the 64-bit hashes of a text's windows: where all are distinct nothing more is done,
-    else they are sorted with their places. Null texts have no words. Columns of those names are replaced.
+    else they are sorted with their places. Null texts have no words. Columns of those names are replaced, and those
+    named _words, _lines, _hashes, _windows, _ordered or _places are dropped.
     """
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -95,7 +96,7 @@ def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, b
     """docs (doc_id, text, ...) with the columns of base_counts(), llr and kept.
 
     llr: the mean log-likelihood ratio over a text's n-grams, so that length does not count; null for a text without
-    any. kept: not base_failed, and llr at or above the threshold; the same for the same rows on every run.
+    any. Columns named _tokens or _buckets are dropped. kept: not base_failed, and llr at or above the threshold; the same for the same rows on every run.
     No documents: no rows.
     """
     found = log_ratios(docs, trusted, buckets).first().ratios  # as many numbers as buckets, whatever the corpus

@@ -127,10 +127,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, that with the smallest doc_id. Of rows that share it, the least."""
+    """docs with one document of each component, that with the smallest doc_id. Of rows that share it, the least.
+
+    Rows without a doc_id stay, as nothing can name them.
+    """
     kept = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs.doc_id.cast("long") == F.col("_kept"))
-    return rows.groupBy("_kept").agg(F.min(F.struct(*(docs[c] for c in docs.columns))).alias("_row")).select("_row.*")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*docs.columns).alias("_row"))
+    one = rows.join(kept, F.col("_id") == F.col("_kept")).groupBy("_id").agg(F.min("_row").alias("_row"))
+    return one.select("_row.*").unionByName(docs.filter("doc_id is null"))
 
 
 def op9_simhash_components(spark, sf_dir: str) -> DataFrame:
