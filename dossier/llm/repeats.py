@@ -29,6 +29,7 @@ KINDS = 512
 #: Bytes of surroundings that are put in suffix order together.
 COLLECTION = 1 << 20
 
+_SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 _ANCHORS = "id long, th long, anchor long, content long, at long, n int"
 
 
@@ -196,8 +197,10 @@ def _by_window(pieces: DataFrame, size: int) -> DataFrame:
     each = cut(pieces.select("anchor", "content", "weight", "n", "bytes").mapInArrow(windows, "anchor long, content long, weight long, k int, w1 long, w2 long"), "repeats-windows")
     often = each.groupBy(F.col("w1").alias("v1"), F.col("w2").alias("v2")).agg(F.sum("weight").alias("total")).filter("total >= 2")
     again = each.join(often, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2"))).select("anchor", "content", "k").distinct()
-    ones = F.collect_list(F.struct(F.col("k").alias("a"), (F.col("k") + 1).alias("b")))
-    return again.groupBy("anchor", "content").agg(ones.alias("ranges"))
+    found = again.groupBy("anchor", "content").agg(F.sort_array(F.collect_set("k")).alias("ks"))  # a run has few windows
+    edge = lambda by: F.filter("ks", lambda k: ~F.array_contains("ks", k + by))
+    pairs = F.zip_with(edge(-1), edge(1), lambda a, b: F.struct(a.alias("a"), (b + 1).alias("b")))
+    return found.select("anchor", "content", pairs.alias("ranges"))
 
 
 def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -209,18 +212,39 @@ def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """
     rows = cut(anchors(docs, size), "repeats-anchors")
     twice = rows.groupBy(F.col("anchor").alias("anchor_")).agg(F.count("*").alias("rows"), F.min("content").alias("low"), F.max("content").alias("high"))
-    twice = twice.filter("rows >= 2").select("anchor_", (F.col("low") != F.col("high")).alias("mixed"))
+    twice = cut(twice.filter("rows >= 2").select("anchor_", (F.col("low") != F.col("high")).alias("mixed")), "repeats-twice")
     hits = cut(rows.join(twice, F.col("anchor") == F.col("anchor_")).drop("anchor_"), "repeats-hits")
     kinds = hits.filter("mixed").groupBy("anchor", "content").agg(F.count("*").alias("weight"), F.min(F.struct("id", "th", "at", "n")).alias("one"))
     per_anchor = kinds.groupBy(F.col("anchor").alias("anchor_")).agg((F.count("*") > KINDS).alias("frequent"))
     kinds = kinds.join(per_anchor, F.col("anchor") == F.col("anchor_")).select("anchor", "content", "weight", "frequent", "one.*")
     pieces = cut(_surroundings(docs, kinds, size), "repeats-pieces")
     resolved = _by_suffix_order(pieces.filter("not frequent"), size).unionByName(_by_window(pieces.filter("frequent"), size))
-    resolved = resolved.select(F.col("anchor").alias("anchor_"), F.col("content").alias("content_"), F.explode_outer("ranges").alias("r")).filter("r is not null").distinct()
+    resolved = cut(resolved.filter(F.size("ranges") > 0).withColumnsRenamed({"anchor": "anchor_", "content": "content_"}), "repeats-resolved")
     mixed = hits.filter("mixed").join(resolved, (F.col("anchor") == F.col("anchor_")) & (F.col("content") == F.col("content_")))
     span = lambda a, b: F.struct((F.col("at") + a).alias("a"), (F.col("at") + b + (size - 1)).alias("b"))
-    spans = mixed.select("id", "th", span(F.col("r.a"), F.col("r.b")).alias("span")).unionByName(hits.filter("not mixed").select("id", "th", span(F.lit(0), F.col("n")).alias("span")))
-    return cut(spans.groupBy("id", "th").agg(F.collect_set("span").alias("spans")), "repeats-spans")
+    spans = mixed.select("id", "th", F.transform("ranges", lambda r: span(r["a"], r["b"])).alias("spans")).unionByName(
+        hits.filter("not mixed").select("id", "th", F.array(span(F.lit(0), F.col("n"))).alias("spans"))
+    )
+    return cut(_merged(spans.groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))), "repeats-spans")
+
+
+def _merged(lists: DataFrame) -> DataFrame:
+    """Each document's spans, put together where they touch. A document has no more than it has windows."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans, offsets = batch.column(2).flatten(), batch.column(2).offsets.to_numpy()
+            a, b = (spans.field(k).to_numpy() for k in (0, 1))
+            rows = []
+            for low, high in zip((offsets[:-1] - offsets[0]).tolist(), (offsets[1:] - offsets[0]).tolist(), strict=True):
+                order = np.argsort(a[low:high], kind="stable")
+                begin, end = a[low:high][order], np.maximum.accumulate(b[low:high][order])
+                opens = np.append(True, begin[1:] > end[:-1])
+                closes = np.append(opens[1:], True)
+                rows.append([{"a": x, "b": y} for x, y in zip(begin[opens].tolist(), end[closes].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, _SPANS)], names=["id", "th", "spans"])
+
+    return lists.mapInArrow(merge, "id long, th long, spans array<struct<a:long,b:long>>")
 
 
 def _keyed(docs: DataFrame) -> tuple[Column, Column]:
@@ -238,21 +262,15 @@ def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     spans = repeated_spans(keyed.select("id", "th", "text"), size)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), _SPANS, pa.binary()]
         for batch in batches:
             for part in by_bytes(batch, 1, CHUNK):
                 rows = []
                 for doc_id, text, found in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    text = text or b""
-                    merged: list[list[int]] = []
-                    for a, b in sorted((s["a"], s["b"]) for s in found or []):
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], b)
-                        else:
-                            merged.append([a, b])
-                    cuts = [0, *(x for pair in merged for x in pair), len(text)]
+                    text, found = text or b"", found or []
+                    cuts = [0, *(x for s in found for x in (s["a"], s["b"])), len(text)]
                     kept = b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
-                    rows.append((doc_id, len(text), [{"a": a, "b": b} for a, b in merged], kept))
+                    rows.append((doc_id, len(text), found, kept))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "spans", "kept"])
 
     joined = _on_document(keyed, spans, "left").select(F.col("doc_id").cast("long"), "text", "spans")
