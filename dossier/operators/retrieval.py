@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.text import excerpt, keyword_score, token_weight, tokenize
@@ -48,19 +48,31 @@ def top_chunks_single(scored: DataFrame, k: int = TOP_CHUNKS) -> DataFrame:
 def score_by_postings(requests: DataFrame, request_documents: DataFrame, chunks: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """Positive scores by way of an index of words, for large batches of questions: request_id, chunk_id, score.
 
-    A token is in a text if and only if it is in one of the text's runs of a-z and 0-9, so tokens are compared with
-    each distinct run once, instead of with every chunk. Chunks that score 0 are not returned.
+    A token is in a text if and only if it is in one of the text's runs of a-z and 0-9. Each distinct run is taken apart
+    once into its substrings that are no longer than the longest token, and these are joined with the tokens by
+    equality: no run is compared with all tokens, and no token with every chunk. Chunks that score 0 are not returned.
     """
-    runs = chunks.select("chunk_id", "doc_id", F.explode(F.array_distinct(F.regexp_extract_all("lower_text", F.lit("[a-z0-9]+"), F.lit(0)))).alias("run"))
+    words = F.array_distinct(F.regexp_extract_all("lower_text", F.lit("[a-z0-9]+"), F.lit(0)))
+    # An inner explode would have Spark split the text twice, to test the array's size before it explodes it.
+    runs = chunks.select("chunk_id", "doc_id", F.explode_outer(words).alias("run")).filter("run is not null")
     tokens = question_tokens(requests, stop_words)
-    vocabulary = runs.select("run").distinct()
-    wanted = F.broadcast(tokens.select("token").distinct()) if tokens.select("token").distinct().limit(BROADCAST_REQUESTS + 1).count() <= BROADCAST_REQUESTS else tokens.select("token").distinct()
-    matches = vocabulary.join(wanted, F.contains("run", F.col("token")))
+    wanted = tokens.select("token").distinct()
+    longest = wanted.agg(F.max(F.char_length("token"))).first()[0] or 0
+    parts = runs.select("run").distinct().withColumn("part", F.explode(_substrings(F.col("run"), longest)))
+    matches = parts.join(wanted, F.col("part") == F.col("token")).select("run", "token")
     found = runs.join(matches, "run").select("chunk_id", "doc_id", "token").distinct()
     scoped = request_documents.join(tokens.groupBy("request_id", "token").agg(F.sum("weight").alias("weight")), "request_id")
     return scoped.join(found, ["doc_id", "token"]).groupBy("request_id", "chunk_id").agg(F.sum("weight").cast("int").alias("score"))
 
 
+def _substrings(run: Column, longest: int) -> Column:
+    """Distinct substrings of 1 to `longest` characters."""
+    n = F.char_length(run)
+    at = F.sequence(F.lit(1), n)
+    each = F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.least(n - i + 1, F.lit(longest))), lambda k: F.substr(run, i, k)))
+    return F.array_distinct(F.flatten(each))
+
+
 def coverage(ranked: DataFrame) -> DataFrame:
     """Document, page and excerpt of each ranked chunk."""
     return ranked.select("request_id", "rank", "doc_name", "page", excerpt(F.col("text"), 240).alias("excerpt"))
