@@ -58,7 +58,7 @@ def score_by_postings(requests: DataFrame, request_documents: DataFrame, chunks:
     tokens = question_tokens(requests, stop_words)
     wanted = tokens.select("token").distinct()
     longest = wanted.agg(F.max(F.char_length("token"))).first()[0] or 0
-    parts = runs.select("run").distinct().withColumn("part", F.explode(_substrings(F.col("run"), longest)))
+    parts = runs.select("run").distinct().withColumn("part", F.explode_outer(_substrings(F.col("run"), longest)))
     matches = parts.join(wanted, F.col("part") == F.col("token")).select("run", "token")
     found = runs.join(matches, "run").select("chunk_id", "doc_id", "token").distinct()
     scoped = request_documents.join(tokens.groupBy("request_id", "token").agg(F.sum("weight").alias("weight")), "request_id")
