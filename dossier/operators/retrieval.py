@@ -34,10 +34,12 @@ def score_chunks(requests: DataFrame, request_documents: DataFrame, chunks: Data
 def top_chunks(scored: DataFrame, k: int = TOP_CHUNKS) -> DataFrame:
     """The k best chunks of each request by score, then document order, then offset, with their rank.
 
-    Spark keeps k rows of a request in each task before the shuffle.
+    Spark keeps k rows of a request in each task before the shuffle. The lower-cased text is made anew for those that
+    are left, rather than sorted along.
     """
     best = Window.partitionBy("request_id").orderBy(F.desc("score"), "doc_ordinal", "char_offset")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    ranked = scored.drop("lower_text").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return ranked.withColumn("lower_text", F.lower("text"))
 
 
 def top_chunks_single(scored: DataFrame, k: int = TOP_CHUNKS) -> DataFrame:
