@@ -124,3 +124,25 @@ def test_sessions(spark):
     many = rows(*[(f"{k:02}", k, "s") for k in range(1, 27)], ("01", 30, "again")).withColumnRenamed("updated_at", "saved_at")
     kept = [r.id for r in sessions.most_recent(many).orderBy(F.desc("saved_at")).collect()]
     assert len(kept) == 25 and kept[0] == "01" and "02" not in kept
+
+
+def test_stored_tables(spark, sf_dir, tmp_path):
+    import json
+    import pathlib
+
+    from dossier.sources import storage, tables
+
+    bodies = [{"request_id": "a", "body": {"question": "q", "documents": ["x", "y"], "selectedAgents": None}}, {"request_id": "b", "body": {"question": "p", "documents": []}}]
+    (tmp_path / "in.json").write_text("\n".join(map(json.dumps, bodies)) + "\nnot json\n")
+    requests, named = storage.load_requests(spark, f"{tmp_path}/in.json")
+    assert {r.request_id: r.selected_agents for r in requests.collect()} == {"a": None, "b": None} and named.count() == 2
+    tables.raw_documents(spark, sf_dir).write.parquet(f"{tmp_path}/docs")
+    assert storage.load_documents(spark, f"{tmp_path}/docs").exceptAll(tables.documents(spark, sf_dir)).count() == 0
+    storage.save_sessions(tables.saves(spark, sf_dir).drop("event_id"), f"{tmp_path}/sessions")
+    assert storage.load_sessions(spark, f"{tmp_path}/sessions").filter("documents is null or selected_agents is null").count() == 0
+    briefs = analysed(spark, "q", ["a rash"])
+    storage.save_reports(briefs, f"{tmp_path}/reports")
+    storage.save_markdown(briefs, f"{tmp_path}/markdown")
+    assert spark.read.parquet(f"{tmp_path}/reports").first().confidence == "medium"
+    (text,) = pathlib.Path(f"{tmp_path}/markdown/request_id=r").glob("part-*")
+    assert text.read_text().strip() == briefs.first().report.markdown
