@@ -85,19 +85,19 @@ def anchored_runs(data: np.ndarray, ends: np.ndarray, size: int = SIZE) -> tuple
     return first, closes - first, least[first]
 
 
-def anchors(docs: DataFrame, size: int = SIZE) -> DataFrame:
+def anchors(docs: DataFrame, size: int = SIZE, chunk: int = CHUNK) -> DataFrame:
     """A row per run of windows with one anchor: the document, the anchor's hash, the hash of the run's bytes, the run's
-    place in the text and its number of windows. docs: id, th, text."""
+    place in the text and its number of windows. docs: id, th, text. Longer texts are taken `chunk` windows at a time."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_bytes(batch, 2, CHUNK):
+            for part in by_bytes(batch, 2, chunk):
                 texts = [t or b"" for t in part.column(2).cast(pa.binary()).to_pylist()]
                 joined = b"".join(texts)
                 data, ends = np.frombuffer(joined, np.uint8), np.cumsum([len(t) for t in texts])
                 ids, hashes = part.column(0).to_numpy(), part.column(1).to_numpy()
-                for low in range(0, max(1, len(data)), CHUNK):
-                    high = min(len(data), low + CHUNK + size - 1)
+                for low in range(0, max(1, len(data)), chunk):
+                    high = min(len(data), low + chunk + size - 1)
                     inner = ends[(ends > low) & (ends <= high)] - low
                     first, n, anchor = anchored_runs(data[low:high], inner if high == len(data) or (len(inner) and inner[-1] == high - low) else np.append(inner, high - low), size)
                     if not len(first):

@@ -138,6 +138,16 @@ def test_repeats(spark, docs, none):
     assert {r.doc_id: len(r.kept) for r in repeats.without_repeats(twice).collect()} == {1: 1, 2: 2, 3: 200, 4: 200, 9: 0}
 
 
+def test_long_texts_are_taken_in_chunks(docs):
+    keyed = docs.select(*repeats._keyed(docs), "text")
+    want = {(r.id, r.th): max(0, len((r.text or "").encode()) - 199) for r in keyed.collect()}
+    for chunk in (700, 5000, 1 << 22):
+        seen = {}
+        for r in repeats.anchors(keyed.distinct(), chunk=chunk).collect():
+            seen.setdefault((r.id, r.th), []).extend(range(r.at, r.at + r.n))
+        assert all(sorted(seen.get(k, [])) == list(range(n)) for k, n in want.items())
+
+
 def test_frequent_anchors_are_compared_by_window(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).cache()
     columns = ("doc_id", "n_bytes", "spans", "kept")
