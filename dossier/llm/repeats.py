@@ -215,8 +215,12 @@ def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
     twice = cut(twice.filter("rows >= 2").select("anchor_", (F.col("low") != F.col("high")).alias("mixed")), "repeats-twice")
     hits = cut(rows.join(twice, F.col("anchor") == F.col("anchor_")).drop("anchor_"), "repeats-hits")
     kinds = hits.filter("mixed").groupBy("anchor", "content").agg(F.count("*").alias("weight"), F.min(F.struct("id", "th", "at", "n")).alias("one"))
-    per_anchor = kinds.groupBy(F.col("anchor").alias("anchor_")).agg((F.count("*") > KINDS).alias("frequent"))
-    kinds = kinds.join(per_anchor, F.col("anchor") == F.col("anchor_")).select("anchor", "content", "weight", "frequent", "one.*")
+    kinds = cut(kinds, "repeats-kinds")
+    frequent = kinds.groupBy(F.col("anchor").alias("anchor_")).agg(F.count("*").alias("kinds")).filter(F.col("kinds") > KINDS)
+    frequent = cut(frequent.select("anchor_"), "repeats-frequent")
+    few = bounded_broadcast(frequent)
+    marked = kinds.join(frequent if few is None else few, F.col("anchor") == F.col("anchor_"), "left")
+    kinds = marked.select("anchor", "content", "weight", F.col("anchor_").isNotNull().alias("frequent"), "one.*")
     pieces = cut(_surroundings(docs, kinds, size), "repeats-pieces")
     resolved = _by_suffix_order(pieces.filter("not frequent"), size).unionByName(_by_window(pieces.filter("frequent"), size))
     resolved = cut(resolved.filter(F.size("ranges") > 0).withColumnsRenamed({"anchor": "anchor_", "content": "content_"}), "repeats-resolved")
