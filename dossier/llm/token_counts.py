@@ -116,9 +116,11 @@ class CountedText:
     def edit(self, start: int, length: int, replacement: str) -> None:
         """Replaces `length` characters from `start`; what lies outside the text is left out.
 
-        A pre-token's end depends on what stands before it and on the next character. So the split is the same up to
-        the start of the leaf that holds the character before the edit, and again from the first end of a leaf behind
-        the edit at which the new split has an end too: only between them is text split and encoded anew.
+        A pre-token's end depends on what stands before it and on the next two characters: white space ends one before
+        the last of a run if a character of another kind follows, and an apostrophe is alone unless one or two letters
+        make it a contraction. So the split is the same up to the start of the leaf that holds the second character
+        before the edit, and again from the first end of a leaf behind the edit at which the new split has an end too:
+        only between them is text split and encoded anew.
         """
         n = len(self.text)
         start = min(max(0, start), n)
@@ -128,7 +130,7 @@ class CountedText:
             self._plant(*self.counter.leaves(self.text))
             self.reencoded += len(self.text)
             return
-        first, begin = self.chars.find(min(max(0, start - 1), n - 1))
+        first, begin = self.chars.find(min(max(0, start - 2), n - 1))
         last, old_end = first, begin + self.chars[first]
         shift = len(replacement) - (stop - start)
         pieces: list[int] = []

@@ -197,6 +197,26 @@ def test_edits_equal_full_counts():
             assert tree.text == text and tree.tokens.total == len(counter.encoding.encode_ordinary(text))
 
 
+@pytest.mark.parametrize("leaf", [1, 2, 64])
+def test_edits_at_leaf_boundaries_equal_full_counts(monkeypatch, leaf):
+    """Every offset around boundaries inside white space and contractions."""
+    monkeypatch.setattr(token_counts, "LEAF", leaf)
+    counter = token_counts.PieceCounter(ranks())
+    texts = ["a\n\nfoo", "a\n\n\n  foo\t\tb", "a \n \n b  c", "I'v x'l we'r'", *("w " * k + "end\n\nfoo  bar\n\n\n" for k in range(60, 66))]
+    for text in texts:
+        for start in range(max(0, len(text) - 20), len(text) + 1):
+            for length in (0, 1, 2):
+                for new in ("", " ", "\n", "\n\n", "x", "e", "l", " y", "'"):
+                    tree = token_counts.CountedText(counter, text, *counter.leaves(text))
+                    tree.edit(start, length, new)
+                    pieces, (chars, tokens) = counter.pattern.findall(tree.text), tree.leaves()
+                    ends, at = {0}, 0
+                    for piece in pieces:
+                        ends.add(at := at + len(piece))
+                    assert tree.tokens.total == sum(tokens) == len(counter.encoding.encode_ordinary(tree.text)), (text, start, length, new)
+                    assert all(sum(chars[: k + 1]) in ends for k in range(len(chars))) and sum(chars) == len(tree.text)
+
+
 def test_warc(spark):
     page = "<p>" + "x" * 200
     pages = spark.createDataFrame(
