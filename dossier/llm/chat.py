@@ -8,10 +8,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turn numbers in one row of the output, so that no conversation has to fit in a task.
+from dossier.llm.common import cut
+
+#: Turn numbers, and turns, in one row of the output at most, so that no conversation has to fit in a task.
 PART_TURNS = 256
 
 
+def _in_pieces(turns: DataFrame, part_turns: int) -> DataFrame:
+    """Distinct turns (conv_id, turn, speaker, body) with part, piece and times: how often a piece of the part has them.
+
+    A piece has part_turns turns of a part, in their order. The place of a turn is counted over slices of all turns in
+    order, so that neither a conversation nor a turn number has to be in one task.
+    """
+    turn = F.col("turn").cast("long")
+    part = F.floor(turn / part_turns).alias("part")
+    speaker = F.coalesce("role", F.lit("unknown")).alias("speaker")
+    body = F.concat(F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")), F.lit("<|end|>")).alias("body")
+    order = ("turn", "speaker", "body")
+    rows = turns.select("conv_id", part, turn.alias("turn"), speaker, body).groupBy("conv_id", "part", *order).agg(F.lit(1).cast("long").alias("copies"))
+    rows = cut(rows.repartitionByRange("conv_id", "part", *order).withColumn("slice", F.spark_partition_id()), "chat-slices")
+    before = lambda by: F.coalesce(F.sum("copies").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    slices = rows.groupBy("conv_id", "part", "slice").agg(F.sum("copies").alias("copies"))
+    slices = slices.withColumn("skipped", before(Window.partitionBy("conv_id", "part").orderBy("slice"))).select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), F.col("slice").alias("_slice"), "skipped")
+    rows = rows.withColumn("at", before(Window.partitionBy("slice", "conv_id", "part").orderBy(*order)))
+    same = (F.col("slice") == F.col("_slice")) & F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("part").eqNullSafe(F.col("_part"))
+    rows = rows.join(slices, same).withColumn("at", F.col("at") + F.col("skipped")).withColumn("to", F.col("at") + F.col("copies"))
+    rows = rows.withColumn("piece", F.explode(F.sequence(F.expr(f"at div {part_turns}"), F.expr(f"(to - 1) div {part_turns}"))))
+    times = F.least("to", (F.col("piece") + 1) * part_turns) - F.greatest("at", F.col("piece") * part_turns)
+    return cut(rows.select("conv_id", "part", "piece", *order, times.cast("int").alias("times")), "chat-pieces")
+
+
 def perspectives(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """Dialogues of turns (conv_id, turn, role, text), one for every participant of every conversation.
 
@@ -20,37 +46,32 @@ def perspectives(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
 
     Returns conv_id, perspective, part, start_char, n_turns, dialogue, n_masked and mask_spans ("from-to", the end not
     included, divided by spaces). Turns are in parts by number, `part_turns` numbers each, so a long conversation is
-    several rows, whose start_char says where the part begins; conversations of fewer turns have one row.
+    several rows, whose start_char says where the part begins; conversations of fewer turns have one row. A part of more
+    turns than that, as numbers repeat or are missing, is several rows too, of `part_turns` turns each but the last.
     A null role is named unknown; a null text is empty; turns without a number come last, in a part of their own;
     equal numbers are ordered by role and text; equal rows are one turn. Marks inside a text are broken by a space. A
     null conv_id is a conversation of its own. Other columns are ignored. No turns: no rows.
     """
-    rows = turns.select(
-        "conv_id",
-        F.col("turn").cast("long").alias("turn"),
-        F.coalesce("role", F.lit("unknown")).alias("speaker"),
-        F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
-    ).distinct()
+    rows = _in_pieces(turns, part_turns)
     views = turns.select(F.col("conv_id").alias("_conv"), F.coalesce("role", F.lit("unknown")).alias("perspective")).distinct()
     own = F.col("speaker") == F.col("perspective")
     head = F.when(own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), F.col("speaker"), F.lit("|>\n")))
     segments = rows.join(views, F.col("conv_id").eqNullSafe(F.col("_conv"))).select(
         "conv_id",
         "perspective",
-        F.floor(F.col("turn") / part_turns).alias("part"),
-        F.struct(
-            F.col("turn").isNull().alias("unnumbered"),
-            "turn",
-            "speaker",
-            F.concat("text", F.lit("<|end|>")).alias("body"),
-            head.alias("head"),
-            own.alias("own"),
-        ).alias("s"),
+        "part",
+        "piece",
+        F.struct("turn", "speaker", "body", head.alias("head"), own.alias("own"), "times").alias("s"),
     )
-    parts = segments.groupBy("conv_id", "perspective", "part").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    row = ("conv_id", "perspective", "part", "piece")
+    parts = segments.groupBy(*row).agg(F.sort_array(F.collect_list("s")).alias("s"))
+    parts = parts.withColumn("s", F.flatten(F.transform("s", lambda x: F.array_repeat(x, x["times"]))))
     parts = parts.withColumn("dialogue", F.array_join(F.transform("s", lambda x: F.concat(x["head"], x["body"], F.lit("\n"))), ""))
-    before = Window.partitionBy("conv_id", "perspective").orderBy(F.col("part").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("start_char", F.coalesce(F.sum(F.char_length("dialogue").cast("long")).over(before), F.lit(0).cast("long")))
+    n_chars = F.col("s.times") * (F.char_length("s.head") + F.char_length("s.body") + 1).cast("long")
+    before = Window.partitionBy("conv_id", "perspective").orderBy(F.col("part").asc_nulls_last(), "piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = segments.groupBy(*row).agg(F.sum(n_chars).alias("n")).select(*(F.col(c).alias(f"{c}_") for c in row), F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("start_char"))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in row]
+    parts = parts.join(starts, same)
 
     def walk(state, x):
         begin = state["at"] + F.char_length(x["head"])

@@ -171,6 +171,48 @@ def test_chats(spark):
     assert chat.perspectives(turns.limit(0)).count() == 0
 
 
+def dialogues(rows, speaker_of=lambda role: role or "unknown"):
+    """Of turns in order, by conversation and perspective: the dialogue and its mask."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == conv]
+        for who in {speaker_of(r[2]) for r in own}:
+            text, spans = "", []
+            for _, _, role, said in sorted(own, key=lambda r: (r[1] is None, r[1] or 0, speaker_of(r[2]), f"{r[3]}<|end|>")):
+                text += "<|assistant|>\n" if speaker_of(role) == who else f"<|user name={speaker_of(role)}|>\n"
+                begin, text = len(text), f"{text}{said}<|end|>"
+                spans += [(begin, len(text))] * (speaker_of(role) == who)
+                text += "\n"
+            out[conv, who] = text, spans
+    return out
+
+
+def joined(rows):
+    """The same from the rows of perspectives()."""
+    out = {}
+    for r in sorted(rows, key=lambda r: r.start_char):
+        text, spans = out.get((r.conv_id, r.perspective), ("", []))
+        assert r.start_char == len(text) and r.n_masked == sum(b - a for a, b in (map(int, x.split("-")) for x in r.mask_spans.split()))
+        out[r.conv_id, r.perspective] = text + r.dialogue, spans + [tuple(map(int, x.split("-"))) for x in r.mask_spans.split()]
+    return out
+
+
+@pytest.fixture
+def many_slices(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_no_part_of_a_chat_is_longer_than_its_limit(spark, many_slices):
+    """Turns without a number, repeated numbers, and the conversation of all turns without a conv_id."""
+    rows = [(1, None, "ab"[k % 2], f"n{k}") for k in range(50)] + [(2, 3, "ab"[k % 2], f"r{k}") for k in range(70)] + [(None, k % 3, "abc"[k % 3], f"c{k}") for k in range(60)]
+    rows += [(1, 0, "a", "hi"), (2, 2, "b", "x "), (2, 2, "b", "x"), (2, 9, None, "late"), (3, 1, "a", "one"), (3, 2, "b", "two")]
+    got = chat.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3), part_turns=8).collect()
+    assert max(r.n_turns for r in got) <= 8 and joined(got) == dialogues(rows)
+    assert sorted(r.n_turns for r in got if (r.conv_id, r.perspective, r.part) == (1, "a", None)) == [2] + [8] * 6
+
+
 def test_token_counts(spark, docs, none):
     counted = token_counts.count_tokens(docs, ranks())
     edits = "array<struct<start:long,length:long,replacement:string>>"
