@@ -25,7 +25,8 @@ def _in_pieces(turns: DataFrame, part_turns: int) -> DataFrame:
     speaker = F.coalesce("role", F.lit("unknown")).alias("speaker")
     body = F.concat(F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")), F.lit("<|end|>")).alias("body")
     order = ("turn", "speaker", "body")
-    rows = turns.select("conv_id", part, turn.alias("turn"), speaker, body).groupBy("conv_id", "part", *order).agg(F.lit(1).cast("long").alias("copies"))
+    copies = F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.lit(1)).otherwise(F.count("*")).cast("long")
+    rows = turns.select("conv_id", part, turn.alias("turn"), speaker, body).groupBy("conv_id", "part", *order).agg(copies.alias("copies"))
     rows = cut(rows.repartitionByRange("conv_id", "part", *order).withColumn("slice", F.spark_partition_id()), "chat-slices")
     before = lambda by: F.coalesce(F.sum("copies").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     slices = rows.groupBy("conv_id", "part", "slice").agg(F.sum("copies").alias("copies"))
@@ -49,8 +50,8 @@ def perspectives(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     several rows, whose start_char says where the part begins; conversations of fewer turns have one row. A part of more
     turns than that, as numbers repeat or are missing, is several rows too, of `part_turns` turns each but the last.
     A null role is named unknown; a null text is empty; turns without a number come last, in a part of their own;
-    equal numbers are ordered by role and text; equal rows are one turn. Marks inside a text are broken by a space. A
-    null conv_id is a conversation of its own. Other columns are ignored. No turns: no rows.
+    equal numbers are ordered by role and text. Equal rows with a conv_id and a number are one turn, others are turns of
+    their own. Marks inside a text are broken by a space. A null conv_id is a conversation of its own. Other columns are ignored. No turns: no rows.
     """
     rows = _in_pieces(turns, part_turns)
     views = turns.select(F.col("conv_id").alias("_conv"), F.coalesce("role", F.lit("unknown")).alias("perspective")).distinct()

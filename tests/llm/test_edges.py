@@ -213,6 +213,13 @@ def test_no_part_of_a_chat_is_longer_than_its_limit(spark, many_slices):
     assert sorted(r.n_turns for r in got if (r.conv_id, r.perspective, r.part) == (1, "a", None)) == [2] + [8] * 6
 
 
+def test_repeated_turns_without_a_number_or_conversation_stay(spark, many_slices):
+    rows = [(1, None, "a", "yes")] * 21 + [(1, None, "b", "no"), (1, 0, "b", "well?"), *[(None, 0, "a", "hi")] * 3, (None, 1, "b", "yo"), (2, 0, "a", "once")]
+    given = [*rows, (2, 0, "a", "once")]
+    got = chat.perspectives(spark.createDataFrame(given, "conv_id long, turn long, role string, text string").repartition(3), part_turns=8).collect()
+    assert max(r.n_turns for r in got) <= 8 and joined(got) == dialogues(rows)
+
+
 def test_token_counts(spark, docs, none):
     counted = token_counts.count_tokens(docs, ranks())
     edits = "array<struct<start:long,length:long,replacement:string>>"
