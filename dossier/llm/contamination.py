@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import bounded_broadcast, cut
+from dossier.llm.common import bounded_broadcast  # noqa: F401  (a test of joins replaces it here)
 from dossier.llm.simhash import shingle_hashes
 
 SHINGLE_WORDS = 5
@@ -101,6 +102,15 @@ def _index(items: tuple, threshold: float, width: int) -> ItemIndex:
     return ItemIndex(list(items), threshold, width)
 
 
+def _blocks(items: DataFrame, block_bytes: int) -> Iterator[Broadcast]:
+    """items in blocks of so many bytes, each broadcast as sorted pairs item_id, text."""
+    sized = items.select(F.col("item_id").cast("long"), "text").filter("text is not null").withColumn("n", F.octet_length("text") + 64)
+    blocks = max(1, math.ceil((sized.agg(F.sum("n")).first()[0] or 0) / block_bytes))
+    for block in range(blocks):
+        rows = sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).select("item_id", "text").collect()
+        yield items.sparkSession.sparkContext.broadcast(tuple((r.item_id, r.text) for r in sorted(rows, key=lambda r: (r.item_id is None, r.item_id, r.text))))
+
+
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Pairs doc_id, item_id where the document has at least `threshold` of the item's distinct word shingles.
 
@@ -109,13 +119,8 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     documents each, so nothing that is broadcast grows beyond that. Null and blank texts contain nothing and are
     contained nowhere; repeated items and documents give rows of their own. No documents or no items: no rows.
     """
-    spark = docs.sparkSession
-    sized = items.select(F.col("item_id").cast("long"), "text").filter("text is not null").withColumn("n", F.octet_length("text") + 64)
-    blocks = max(1, math.ceil((sized.agg(F.sum("n")).first()[0] or 0) / block_bytes))
     out = None
-    for block in range(blocks):
-        rows = sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).select("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(tuple((r.item_id, r.text) for r in sorted(rows, key=lambda r: (r.item_id is None, r.item_id, r.text))))
+    for shared in _blocks(items, block_bytes):
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = _index(shared.value, threshold, width)
@@ -133,12 +138,21 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     return out
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without those that contain an item; a doc_id goes with all its rows."""
-    bad = cut(contained_items(docs, items).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    few = bounded_broadcast(bad)
-    right = bad if few is None else few
-    return docs.join(right, docs["doc_id"].cast("long").eqNullSafe(right["_bad"]), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without the rows that contain an item, whatever their doc_id: rows that share it are judged by themselves."""
+    for shared in _blocks(items, block_bytes):
+
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = _index(shared.value, threshold, width)
+            for batch in batches:
+                for k in range(0, batch.num_rows, 128):
+                    part = batch.slice(k, 128)
+                    clean = np.ones(part.num_rows, bool)
+                    clean[[place for place, *_ in index.search(part.column("text").cast(pa.binary()).to_pylist())]] = False
+                    yield part.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
 
 
 def op2_contained_items(spark, sf_dir: str) -> DataFrame:

@@ -57,8 +57,10 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a long) of every row of docs (doc_id, text)."""
+def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a long) and more, as it is, of every row of docs (doc_id, text)."""
+    given = docs.select(F.col("doc_id").cast("long"), "text", *more)
+    kinds = {"doc_id": "long", "fp": "long"} | dict(given.dtypes[2:])
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -67,9 +69,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 hashes = [shingle_hashes(text) for text in part.column(1).cast(pa.binary()).to_pylist()]
                 counts = np.array([len(h) for h in hashes])
                 flat = np.fromiter((x for h in hashes for x in h), np.uint64, int(counts.sum()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(majority_bits(flat, counts).view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(majority_bits(flat, counts).view(np.int64)), *part.columns[2:]], names=list(kinds))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, "doc_id long, fp long")
+    return given.mapInArrow(batches, ", ".join(f"{name} {kind}" for name, kind in kinds.items()))
 
 
 def _byte_mask(positions: tuple[int, ...]) -> int:
@@ -109,6 +111,12 @@ def fingerprint_links(fps: DataFrame, distance: int = 2) -> DataFrame:
     return tally.select("a", "b", shared.alias("shared")).filter(F.col("shared") >= BYTES - distance)
 
 
+def _with_roots(nodes: DataFrame) -> DataFrame:
+    """nodes (distinct fp, and least) with root, one of each component's fingerprints."""
+    roots = connected_components(cut(fingerprint_links(nodes.select("fp")), "fingerprint-links"))
+    return nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text; other columns are ignored): doc_id, fp, fingerprint in hex, component_id.
 
@@ -119,22 +127,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = cut(fingerprints(docs), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(cut(fingerprint_links(nodes.select("fp")), "fingerprint-links"))
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = _with_roots(nodes)
     least = named.groupBy(F.col("root").alias("root_")).agg(F.min("least").alias("component_id"))
     of_fp = cut(named.join(least, F.col("root") == F.col("root_")).select(F.col("fp").alias("fp_"), "component_id"), "components-of")
     return rows.join(of_fp, F.col("fp") == F.col("fp_")).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, that with the smallest doc_id. Of rows that share it, the least.
+    """docs with one row of each component, that with the smallest doc_id; rows without one come last.
 
-    Rows without a doc_id stay, as nothing can name them.
+    Of rows that share it, one with the least hash of its text, and of those with equal texts the least row. So rows
+    of different components stay, whether or not they share a doc_id or have none.
     """
-    kept = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*docs.columns).alias("_row"))
-    one = rows.join(kept, F.col("_id") == F.col("_kept")).groupBy("_id").agg(F.min("_row").alias("_row"))
-    return one.select("_row.*").unionByName(docs.filter("doc_id is null"))
+    rows = cut(fingerprints(docs, F.xxhash64("text").alias("th")), "fingerprints")
+    nodes = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")).alias("least"))
+    kept = cut(_with_roots(nodes).groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.doc_id").alias("_kept"), F.col("k.th").alias("_kept_th")), "near-kept")
+    given = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_th"), F.struct(*docs.columns).alias("_row"))
+    same = F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_th") == F.col("_kept_th"))
+    return given.join(kept, same).groupBy("_id", "_th").agg(F.min("_row").alias("_row")).select("_row.*")
 
 
 def op9_simhash_components(spark, sf_dir: str) -> DataFrame:

@@ -314,6 +314,20 @@ def test_near_duplicates(docs, none):
     assert simhash.near_duplicates(none).count() == simhash.drop_near_duplicates(none).count() == 0
 
 
+def test_rows_that_share_an_id_or_have_none_are_judged_by_themselves(spark):
+    items = spark.createDataFrame([(1, "one two three four five six"), (2, "red orange yellow green blue")], "item_id long, text string")
+    texts = {k: " ".join(f"{k}{n}" for n in range(40)) for k in "abcde"}
+    leak = texts["a"] + " one two three four five six"
+    docs = frame(spark, [(None, leak, "x"), (None, texts["b"], "x"), (None, texts["c"], "x"), (1, leak, "x"), (1, texts["d"], "x"), (2, texts["e"] + " red orange yellow green blue", "x")])
+    for block in (1 << 24, 60):
+        apart = contamination.drop_contaminated(docs, items, block_bytes=block)
+        assert apart.columns == docs.columns and sorted(map(str, apart.select("doc_id", "text").collect())) == sorted(str(r) for r in docs.select("doc_id", "text").collect() if r.text in texts.values())
+    docs = frame(spark, [(None, texts["a"], "x"), (None, texts["b"], "x"), (1, texts["c"], "x"), (1, texts["d"], "y"), (2, texts["d"], "x"), (3, texts["a"], "x"), (None, texts["e"], "x"), (None, texts["e"], "x")])
+    assert {simhash.near_duplicates(docs).select("fp").distinct().count()} == {5}
+    single = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs).collect()]
+    assert len(single) == 5 and set(single) == {(3, texts["a"]), (None, texts["b"]), (1, texts["c"]), (1, texts["d"]), (None, texts["e"])}
+
+
 def test_token_store(docs, none):
     rows = token_store.tokens_on_disk(docs).orderBy("start").collect()
     assert [r.doc_id for r in rows] == [None, 1, 1, 2, 3, 4, 5, 6, 7]
