@@ -5,13 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a control table (one row per source, item, bucket) that may be broadcast.
 BROADCAST_ROWS = 100_000
+#: Entries of lists in the rows of such a table, all together.
+LIST_ENTRIES = 1_000_000
 #: Tasks that files are dealt to, at most.
 MAX_TASKS = 10_000
 
@@ -40,6 +42,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame | None:
-    """df with a broadcast hint if it has at most so many rows, else None: the caller then joins another way."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None
+def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, lengths: Column | None = None, entries: int = LIST_ENTRIES) -> DataFrame | None:
+    """df with a broadcast hint if it has at most so many rows, else None: the caller then joins another way.
+
+    lengths: of a list in each row; their sum is bounded too, by entries.
+    """
+    if df.limit(rows + 1).count() > rows:
+        return None
+    if lengths is not None and (df.agg(F.sum(lengths)).first()[0] or 0) > entries:
+        return None
+    return F.broadcast(df)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.column_bwt import repeated_windows
-from dossier.llm.common import bounded_broadcast, cut
+from dossier.llm.common import BROADCAST_ROWS, LIST_ENTRIES, bounded_broadcast, cut
 from dossier.llm.word_tokens import by_bytes
 
 SIZE = 200
@@ -120,10 +120,10 @@ def anchors(docs: DataFrame, size: int = SIZE, chunk: int = CHUNK) -> DataFrame:
     return docs.select("id", "th", "text").mapInArrow(find, _ANCHORS)
 
 
-def _on_document(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """docs with the list of each (id, th): broadcast up to a bound, joined by key beyond it."""
+def _on_document(docs: DataFrame, lists: DataFrame, column: str, how: str) -> DataFrame:
+    """docs with the list (column) of each (id, th): broadcast up to a bound of rows and entries, joined by key beyond."""
     lists = lists.withColumnsRenamed({"id": "id_", "th": "th_"})
-    few = bounded_broadcast(lists)
+    few = bounded_broadcast(lists, BROADCAST_ROWS, F.size(column), LIST_ENTRIES)
     return docs.join(lists if few is None else few, (F.col("id") == F.col("id_")) & (F.col("th") == F.col("th_")), how).drop("id_", "th_")
 
 
@@ -140,7 +140,7 @@ def _surroundings(docs: DataFrame, kinds: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds_, strict=True)], names=["anchor", "content", "weight", "frequent", "n", "bytes"])
 
     lists = kinds.groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "content", "weight", "frequent", "at", "n")).alias("wanted"))
-    return _on_document(docs, cut(lists, "repeats-wanted"), "inner").select("text", "wanted").mapInArrow(slices, "anchor long, content long, weight long, frequent boolean, n int, bytes binary")
+    return _on_document(docs, cut(lists, "repeats-wanted"), "wanted", "inner").select("text", "wanted").mapInArrow(slices, "anchor long, content long, weight long, frequent boolean, n int, bytes binary")
 
 
 def _ranges(mask: np.ndarray) -> list[dict[str, int]]:
@@ -277,7 +277,7 @@ def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
                     rows.append((doc_id, len(text), found, kept))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    joined = _on_document(keyed, spans, "left").select(F.col("doc_id").cast("long"), "text", "spans")
+    joined = _on_document(keyed, spans, "spans", "left").select(F.col("doc_id").cast("long"), "text", "spans")
     return joined.mapInArrow(remove, "doc_id long, n_bytes long, spans array<struct<a:long,b:long>>, kept binary")
 
 

@@ -156,6 +156,19 @@ def test_frequent_anchors_are_compared_by_window(spark, sf_dir, monkeypatch):
     assert sorted(repeats.without_repeats(docs).select(*columns).collect()) == want
 
 
+def test_long_lists_of_few_documents_are_not_broadcast(spark, docs, monkeypatch):
+    from dossier.llm.common import bounded_broadcast
+
+    want = sorted(map(str, repeats.without_repeats(docs).collect()))
+    seen = []
+    monkeypatch.setattr(repeats, "LIST_ENTRIES", 1)
+    monkeypatch.setattr(repeats, "bounded_broadcast", lambda *a: seen.append((a[0].columns, bounded_broadcast(*a))) or seen[-1][1])
+    assert sorted(map(str, repeats.without_repeats(docs).collect())) == want
+    assert [found for columns, found in seen if "spans" in columns] == [None]
+    lists = spark.createDataFrame([(1, [0] * 7), (2, [0] * 8)], "id long, l array<int>")
+    assert bounded_broadcast(lists, 2, F.size("l"), 14) is None and bounded_broadcast(lists, 2, F.size("l"), 15) is not None
+
+
 def test_chats(spark):
     turns = spark.createDataFrame(
         [(1, 0, "ann", "hi"), (1, 1, "bob", "yo <|end|>"), (1, 1, "bob", "yo <|end|>"), (1, None, None, None), (None, 0, "x", "alone"), (1, 300, "ann", "late")], "conv_id long, turn long, role string, text string"
