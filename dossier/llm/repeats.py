@@ -17,14 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.column_bwt import repeated_windows
-from dossier.llm.common import BROADCAST_ROWS, LIST_ENTRIES, bounded_broadcast, cut
+from dossier.llm.common import bounded_broadcast, cut
 from dossier.llm.word_tokens import by_bytes
 
 SIZE = 200
 GRAM = 64
 #: Windows taken at once from a longer text.
 CHUNK = 4 << 20
-#: Different surroundings of one anchor that go to one task; those of more frequent anchors are compared by window.
+#: Different surroundings of one anchor that are put in order together; those of more frequent anchors are parted first.
 KINDS = 512
 #: Bytes of surroundings that are put in suffix order together.
 COLLECTION = 1 << 20
@@ -120,13 +120,22 @@ def anchors(docs: DataFrame, size: int = SIZE, chunk: int = CHUNK) -> DataFrame:
     return docs.select("id", "th", "text").mapInArrow(find, _ANCHORS)
 
 
-def _on_document(docs: DataFrame, lists: DataFrame, column: str, how: str) -> DataFrame:
-    """docs with the list (column) of each (id, th): broadcast up to a bound of rows and entries, joined by key beyond."""
+def _on_document(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """docs with the list of each (id, th): broadcast up to a bound of bytes, joined by key beyond."""
     lists = lists.withColumnsRenamed({"id": "id_", "th": "th_"})
-    few = bounded_broadcast(lists, BROADCAST_ROWS, F.size(column), LIST_ENTRIES)
+    few = bounded_broadcast(lists)
     return docs.join(lists if few is None else few, (F.col("id") == F.col("id_")) & (F.col("th") == F.col("th_")), how).drop("id_", "th_")
 
 
+_PIECES = "anchor long, content long, weight long, frequent boolean, n int, at int, low int, high int, bytes binary"
+_PIECE_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+
+
+def _batch(rows: list[tuple], types: list[pa.DataType], schema: str) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+
+
 def _surroundings(docs: DataFrame, kinds: DataFrame, size: int) -> DataFrame:
     """kinds (anchor, content, weight, frequent, id, th, at, n) with their bytes, cut from the texts."""
 
@@ -135,12 +144,11 @@ def _surroundings(docs: DataFrame, kinds: DataFrame, size: int) -> DataFrame:
             for part in by_bytes(batch, 0, CHUNK):
                 rows = []
                 for text, wanted in zip(part.column(0).cast(pa.binary()).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    rows.extend((w["anchor"], w["content"], w["weight"], w["frequent"], w["n"], text[w["at"] : w["at"] + w["n"] + size - 1]) for w in wanted)
-                kinds_ = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds_, strict=True)], names=["anchor", "content", "weight", "frequent", "n", "bytes"])
+                    rows.extend((w["anchor"], w["content"], w["weight"], w["frequent"], w["n"], None, 0, size - GRAM, text[w["at"] : w["at"] + w["n"] + size - 1]) for w in wanted)
+                yield _batch(rows, _PIECE_TYPES, _PIECES)
 
     lists = kinds.groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "content", "weight", "frequent", "at", "n")).alias("wanted"))
-    return _on_document(docs, cut(lists, "repeats-wanted"), "wanted", "inner").select("text", "wanted").mapInArrow(slices, "anchor long, content long, weight long, frequent boolean, n int, bytes binary")
+    return _on_document(docs, cut(lists, "repeats-wanted"), "inner").select("text", "wanted").mapInArrow(slices, _PIECES)
 
 
 def _ranges(mask: np.ndarray) -> list[dict[str, int]]:
@@ -180,27 +188,63 @@ def _by_suffix_order(pieces: DataFrame, size: int) -> DataFrame:
     return dealt.mapInArrow(order, _RANGES)
 
 
-def _by_window(pieces: DataFrame, size: int) -> DataFrame:
-    """The same for anchors too frequent for one task: their windows are dealt and counted by 128-bit hash."""
+_PARTS = "p_anchor long, p_content long, off int, anchor long, content long, weight long, n int, at int, low int, high int, bytes binary"
+_PART_TYPES = [pa.int64(), pa.int64(), pa.int32(), *_PIECE_TYPES[:3], *_PIECE_TYPES[4:]]
+
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parted(pieces: DataFrame, size: int) -> DataFrame:
+    """The pieces of frequent anchors, each in two, under longer anchors.
+
+    Of a piece's windows, those whose anchor stands low to high bytes from their start all have `low` bytes before it
+    and `size - high` from it on. Halves of that range have more in common, so each half is filed under what its
+    windows share: 64 bytes at first, then 132, 166 and so on up to the whole window. Equal windows have their anchor
+    in the same place, so they are in the same half and under the same bytes. Where a frequent passage has other
+    neighbours in every text, only the half that ends where the passage does stays frequent.
+    """
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                rows = []
-                for anchor, content, weight, n, data in zip(*(batch.column(c).slice(k, 256).to_pylist() for c in range(5)), strict=True):
-                    for at in range(n):
-                        digest = xxhash.xxh3_128_digest(data[at : at + size])
-                        rows.append((anchor, content, weight, at, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)))
-                kinds_ = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds_, strict=True)], names=["anchor", "content", "weight", "k", "w1", "w2"])
-
-    each = cut(pieces.select("anchor", "content", "weight", "n", "bytes").mapInArrow(windows, "anchor long, content long, weight long, k int, w1 long, w2 long"), "repeats-windows")
-    often = each.groupBy(F.col("w1").alias("v1"), F.col("w2").alias("v2")).agg(F.sum("weight").alias("total")).filter("total >= 2")
-    again = each.join(often, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2"))).select("anchor", "content", "k").distinct()
-    found = again.groupBy("anchor", "content").agg(F.sort_array(F.collect_set("k")).alias("ks"))  # a run has few windows
-    edge = lambda by: F.filter("ks", lambda k: ~F.array_contains("ks", k + by))
-    pairs = F.zip_with(edge(-1), edge(1), lambda a, b: F.struct(a.alias("a"), (b + 1).alias("b")))
-    return found.select("anchor", "content", pairs.alias("ranges"))
+            rows = []
+            for anchor, content, weight, _, n, at, low, high, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at is None:
+                    at = int((_gram_hashes(np.frombuffer(data, np.uint8)).view(np.int64)[: size - GRAM + 1] == anchor).argmax())
+                middle = (low + high + 1) // 2
+                for a, b in ((low, middle - 1), (middle, high)):
+                    first, last = max(0, at - b), min(n - 1, at - a)
+                    if a <= b and first <= last:
+                        own, shared = data[first : last + size], data[at - a : at + size - b]
+                        key, kind = xxhash.xxh64_intdigest(shared, a << 16 | b), xxhash.xxh64_intdigest(own, at - first)
+                        rows.append((anchor, content, first, *(x - (x >> 63 << 64) for x in (key, kind)), weight, last - first + 1, at - first, a, b, own))
+            yield _batch(rows, _PART_TYPES, _PARTS)
+
+    return pieces.mapInArrow(halves, _PARTS)
+
+
+def _with_frequent(kinds: DataFrame) -> DataFrame:
+    """kinds (anchor, ...) with frequent: whether their anchor has more than KINDS of them."""
+    often = kinds.groupBy(F.col("anchor").alias("anchor_")).agg(F.count("*").alias("kinds")).filter(F.col("kinds") > KINDS)
+    often = cut(often.select("anchor_"), "repeats-frequent")
+    few = bounded_broadcast(often)
+    return kinds.join(often if few is None else few, F.col("anchor") == F.col("anchor_"), "left").withColumn("frequent", F.col("anchor_").isNotNull()).drop("anchor_")
+
+
+def _resolved(pieces: DataFrame, size: int) -> DataFrame:
+    """Repeated windows of pieces, as ranges of each anchor and content; those of frequent anchors by way of their parts."""
+    found = _by_suffix_order(pieces.filter("not frequent"), size)
+    hot = pieces.filter("frequent")
+    if hot.isEmpty():
+        return found
+    parts = cut(_parted(hot, size), "repeats-parts")
+    kinds = parts.groupBy("anchor", "content").agg(F.sum("weight").alias("weight"), F.min(F.struct("n", "at", "low", "high", "bytes")).alias("one"))
+    kinds = cut(kinds.select("anchor", "content", "weight", "one.*"), "repeats-part-kinds")
+    twice = kinds.groupBy(F.col("anchor").alias("anchor_")).agg(F.sum("weight").alias("rows")).filter("rows >= 2").select("anchor_")
+    kinds = kinds.join(twice, F.col("anchor") == F.col("anchor_"), "left_semi")
+    again = cut(_with_frequent(kinds).select(*(x.split()[0] for x in _PIECES.split(", "))), "repeats-part-pieces")
+    below = _resolved(again, size).filter(F.size("ranges") > 0).withColumnsRenamed({"anchor": "anchor_", "content": "content_"})
+    met = parts.join(cut(below, "repeats-below"), (F.col("anchor") == F.col("anchor_")) & (F.col("content") == F.col("content_")))
+    moved = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("off")).alias("a"), (r["b"] + F.col("off")).alias("b")))
+    both = met.select(F.col("p_anchor").alias("anchor"), F.col("p_content").alias("content"), moved.alias("ranges"))
+    return found.unionByName(both.groupBy("anchor", "content").agg(F.flatten(F.collect_list("ranges")).alias("ranges")))  # two parts at most
 
 
 def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -216,14 +260,10 @@ def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
     hits = cut(rows.join(twice, F.col("anchor") == F.col("anchor_")).drop("anchor_"), "repeats-hits")
     kinds = hits.filter("mixed").groupBy("anchor", "content").agg(F.count("*").alias("weight"), F.min(F.struct("id", "th", "at", "n")).alias("one"))
     kinds = cut(kinds, "repeats-kinds")
-    frequent = kinds.groupBy(F.col("anchor").alias("anchor_")).agg(F.count("*").alias("kinds")).filter(F.col("kinds") > KINDS)
-    frequent = cut(frequent.select("anchor_"), "repeats-frequent")
-    few = bounded_broadcast(frequent)
-    marked = kinds.join(frequent if few is None else few, F.col("anchor") == F.col("anchor_"), "left")
-    kinds = marked.select("anchor", "content", "weight", F.col("anchor_").isNotNull().alias("frequent"), "one.*")
+    kinds = _with_frequent(kinds).select("anchor", "content", "weight", "frequent", "one.*")
     pieces = cut(_surroundings(docs, kinds, size), "repeats-pieces")
-    resolved = _by_suffix_order(pieces.filter("not frequent"), size).unionByName(_by_window(pieces.filter("frequent"), size))
-    resolved = cut(resolved.filter(F.size("ranges") > 0).withColumnsRenamed({"anchor": "anchor_", "content": "content_"}), "repeats-resolved")
+    resolved = _resolved(pieces, size).filter(F.size("ranges") > 0).withColumnsRenamed({"anchor": "anchor_", "content": "content_"})
+    resolved = cut(resolved, "repeats-resolved")
     mixed = hits.filter("mixed").join(resolved, (F.col("anchor") == F.col("anchor_")) & (F.col("content") == F.col("content_")))
     span = lambda a, b: F.struct((F.col("at") + a).alias("a"), (F.col("at") + b + (size - 1)).alias("b"))
     spans = mixed.select("id", "th", F.transform("ranges", lambda r: span(r["a"], r["b"])).alias("spans")).unionByName(
@@ -277,7 +317,7 @@ def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
                     rows.append((doc_id, len(text), found, kept))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    joined = _on_document(keyed, spans, "spans", "left").select(F.col("doc_id").cast("long"), "text", "spans")
+    joined = _on_document(keyed, spans, "left").select(F.col("doc_id").cast("long"), "text", "spans")
     return joined.mapInArrow(remove, "doc_id long, n_bytes long, spans array<struct<a:long,b:long>>, kept binary")
 
 

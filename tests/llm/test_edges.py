@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.llm import chat, contamination, mixing, quality, repeats, simhash, token_counts, token_store, toxicity, warc
+from dossier.llm import chat, common, contamination, mixing, quality, repeats, simhash, token_counts, token_store, toxicity, warc
 
 DOCS = "doc_id long, text string, source string, target string, _row string, id long, rank int"
 LONG = "lorem ipsum dolor sit amet " * 4000
@@ -148,7 +148,7 @@ def test_long_texts_are_taken_in_chunks(docs):
         assert all(sorted(seen.get(k, [])) == list(range(n)) for k, n in want.items())
 
 
-def test_frequent_anchors_are_compared_by_window(spark, sf_dir, monkeypatch):
+def test_frequent_anchors_are_parted(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).cache()
     columns = ("doc_id", "n_bytes", "spans", "kept")
     want = sorted(repeats.without_repeats(docs).select(*columns).collect())
@@ -156,17 +156,50 @@ def test_frequent_anchors_are_compared_by_window(spark, sf_dir, monkeypatch):
     assert sorted(repeats.without_repeats(docs).select(*columns).collect()) == want
 
 
+def test_parted_anchors_equal_brute_force(spark, monkeypatch):
+    """Passages of 64 to 300 bytes among other words, and near copies, with every anchor of two kinds taken as frequent."""
+    import collections
+    import random
+
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passages = [word(n) for n in (64, 130, 199, 200, 201, 230, 300)]
+    texts = [word(rng.randint(0, 250)) + p + word(rng.randint(0, 250)) for p in passages for _ in range(4)]
+    base = word(700)
+    for _ in range(8):
+        at = rng.randrange(700)
+        texts.append(base[:at] + word(rng.randint(0, 3)) + base[at + 1 :])
+    texts += ["ab" * 300, "ba" * 200, "x" + "ab" * 220]
+    monkeypatch.setattr(repeats, "KINDS", 1)
+    got = {r.doc_id: r.kept for r in repeats.without_repeats(frame(spark, [(k, t, "x") for k, t in enumerate(texts)])).collect()}
+    starts = collections.Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    for k, t in enumerate(texts):
+        gone = bytearray(len(t))
+        for i in range(len(t) - 199):
+            if starts[t[i : i + 200]] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        assert bytes(got[k]).decode() == "".join(c for c, g in zip(t, gone) if not g), k
+
+
 def test_long_lists_of_few_documents_are_not_broadcast(spark, docs, monkeypatch):
     from dossier.llm.common import bounded_broadcast
 
     want = sorted(map(str, repeats.without_repeats(docs).collect()))
     seen = []
-    monkeypatch.setattr(repeats, "LIST_ENTRIES", 1)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 1)
     monkeypatch.setattr(repeats, "bounded_broadcast", lambda *a: seen.append((a[0].columns, bounded_broadcast(*a))) or seen[-1][1])
     assert sorted(map(str, repeats.without_repeats(docs).collect())) == want
     assert [found for columns, found in seen if "spans" in columns] == [None]
     lists = spark.createDataFrame([(1, [0] * 7), (2, [0] * 8)], "id long, l array<int>")
-    assert bounded_broadcast(lists, 2, F.size("l"), 14) is None and bounded_broadcast(lists, 2, F.size("l"), 15) is not None
+    size = 2 * (16 + 8 + 16) + 15 * 8
+    assert bounded_broadcast(lists, size - 1) is None and bounded_broadcast(lists, size) is not None
+
+
+def test_widths_of_nested_rows(spark):
+    """The bound of broadcasts counts texts and lists inside structs, lists and maps."""
+    made = spark.createDataFrame([("abc", ("é", [1, 2]), [("x" * 9, 1)], {"k": "vw"}, None)], "a string, s struct<t:string,l:array<int>>, r array<struct<u:string,n:int>>, m map<string,string>, z array<string>")
+    want = 16 + (3 + 16) + (16 + 2 + 16 + 2 * 8 + 16) + (16 + (16 + 9 + 16 + 8)) + (16 + 1 + 16 + 16 + 2 + 16) + 16
+    assert made.select(common.row_bytes(made)).first()[0] == want
 
 
 def test_chats(spark):
