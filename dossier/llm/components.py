@@ -9,7 +9,11 @@ from dossier.llm.common import cut
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
-    """pairs (u, v) with m, the least v of each u. Aggregated before the shuffle and joined back: a hub is split."""
+    """pairs (u, v) with m, the least v of each u.
+
+    The least is aggregated before the shuffle. The join back is by u: of a hub it is one row to many, and Spark's
+    skewed join handling deals the many over tasks.
+    """
     least = pairs.groupBy(F.col("u").alias("u_")).agg(F.min("v").alias("m"))
     return pairs.join(least, F.col("u") == F.col("u_")).drop("u_")
 

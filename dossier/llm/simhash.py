@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from dossier.llm.common import cut
 from dossier.llm.components import connected_components
+from dossier.llm.word_tokens import by_bytes
 
 SEED = 42
 BYTES = 8
+#: Bytes of texts whose shingles are hashed at once; a longer text is alone.
+PART_BYTES = 1 << 20
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -64,8 +67,7 @@ def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for k in range(0, batch.num_rows, 128):
-                part = batch.slice(k, 128)
+            for part in by_bytes(batch, 1, PART_BYTES):
                 hashes = [shingle_hashes(text) for text in part.column(1).cast(pa.binary()).to_pylist()]
                 counts = np.array([len(h) for h in hashes])
                 flat = np.fromiter((x for h in hashes for x in h), np.uint64, int(counts.sum()))
@@ -74,41 +76,51 @@ def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
     return given.mapInArrow(batches, ", ".join(f"{name} {kind}" for name, kind in kinds.items()))
 
 
-def _byte_mask(positions: tuple[int, ...]) -> int:
+def _byte_mask(positions: Iterable[int]) -> int:
     mask = sum(0xFF << 8 * p for p in positions)
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def _ways(distance: int) -> list[tuple[int, ...]]:
+    """Positions under which lists are keyed: each two of distance + 2 groups of the bytes, of about one size.
+
+    `distance` differing bytes touch as many groups at most, so two fingerprints that close agree in one way or more.
+    """
+    groups = np.array_split(np.arange(BYTES), min(BYTES, distance + 2))
+    return [tuple(map(int, np.concatenate(two))) for two in combinations(groups, 2)]
+
+
 def byte_postings(fps: DataFrame, distance: int = 2) -> DataFrame:
-    """The inverted index: fp under each way to keep all but `distance` of its positional bytes.
+    """The inverted index: fp under its positional bytes, with way, the number of the positions.
 
-    Two fingerprints that differ in at most `distance` bits share at least 8 - distance positional bytes: the
-    guaranteed minimum of the count filter. The lists are keyed by that many bytes together rather than by one, as a
-    list for one byte value would hold a 256th of the corpus. The kept bytes and, in a dropped one's place, the number
-    of the way make one long.
+    A list for one byte value would hold a 256th of the corpus, and its pairs the square of that, so lists are split
+    by further positional bytes: for distance 2 each holds the fingerprints with four bytes in common, in six ways.
     """
-    ways = list(combinations(range(BYTES), distance))
-    keys: list[Column] = []
-    for number, dropped in enumerate(ways):
-        kept = F.col("fp").bitwiseAND(F.lit(~_byte_mask(dropped)))
-        keys.append(kept.bitwiseOR(F.lit(number << 8 * dropped[0])))
-    return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+    ways = _ways(distance)
+    kept = F.array(*(F.struct(F.lit(k).alias("way"), F.col("fp").bitwiseAND(F.lit(_byte_mask(way))).alias("bytes")) for k, way in enumerate(ways)))
+    return fps.select("fp", F.explode(kept).alias("key")).select("fp", "key.way", "key.bytes")
+
+
+def tallied_pairs(fps: DataFrame, distance: int = 2) -> DataFrame:
+    """Pairs a < b of distinct fingerprints that meet in a list, once each, with shared: their equal positional bytes."""
+    left, right = (byte_postings(fps, distance).toDF(*names) for names in (("a", "way", "bytes"), ("b", "way_", "bytes_")))
+    differing = F.col("a").bitwiseXOR(F.col("b"))
+    same = lambda positions: differing.bitwiseAND(F.lit(_byte_mask(positions))) == 0
+    first = F.coalesce(*(F.when(same(way), k) for k, way in enumerate(_ways(distance))))
+    met = left.join(right, (F.col("way") == F.col("way_")) & (F.col("bytes") == F.col("bytes_")) & (F.col("a") < F.col("b")))
+    shared = sum((same([p]).cast("int") for p in range(BYTES)), F.lit(0))
+    return met.filter(F.col("way") == first).select("a", "b", shared.alias("shared"))
 
 
 def fingerprint_links(fps: DataFrame, distance: int = 2) -> DataFrame:
-    """Pairs a < b of distinct fingerprints that differ in at most `distance` bits, with shared, their equal bytes.
+    """Pairs a < b of distinct fingerprints (fp) that differ in at most `distance` bits, with shared, their equal bytes.
 
-    fps: distinct fp. Only pairs that meet under a key are seen, and those with too many differing bits end in the join
-    itself, so it returns at most the links: of one fingerprint C(64, 2) + 64 at most, however many documents have it.
-    The number of keys under which a pair meets gives the tally of its shared bytes: 1 for two differing bytes, 7 for
-    one.
+    Such pairs differ in at most `distance` bytes, so 8 - distance shared ones are guaranteed: pairs whose tally is
+    less are dropped, and the others verified by their bits. All is decided as a pair is met, so what the join returns
+    are the links: of one fingerprint C(64, 2) + 64 at most, however many documents have it.
     """
-    left, right = byte_postings(fps, distance).toDF("a", "key"), byte_postings(fps, distance).toDF("b", "key_")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    met = left.join(right, (F.col("key") == F.col("key_")) & (F.col("a") < F.col("b")) & near)
-    tally = met.groupBy("a", "b").agg(F.count("*").alias("met"))
-    shared = F.when(F.col("met") == 1, BYTES - distance).otherwise(BYTES - distance + 1)
-    return tally.select("a", "b", shared.alias("shared")).filter(F.col("shared") >= BYTES - distance)
+    enough = tallied_pairs(fps, distance).filter(F.col("shared") >= BYTES - distance)
+    return enough.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
 
 
 def _with_roots(nodes: DataFrame) -> DataFrame:
@@ -136,15 +148,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, that with the smallest doc_id; rows without one come last.
 
-    Of rows that share it, one with the least hash of its text, and of those with equal texts the least row. So rows
-    of different components stay, whether or not they share a doc_id or have none.
+    Of rows that share it, one with the least hash of its text, and of those with equal texts the one with the least
+    hash of its columns (maps, which have no hash, aside). So rows of different components stay, whether or not they
+    share a doc_id or have none. Columns may be of any type and name.
     """
     rows = cut(fingerprints(docs, F.xxhash64("text").alias("th")), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")).alias("least"))
     kept = cut(_with_roots(nodes).groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.doc_id").alias("_kept"), F.col("k.th").alias("_kept_th")), "near-kept")
-    given = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_th"), F.struct(*docs.columns).alias("_row"))
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    given = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_th"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.xxhash64(*plain).alias("_order"))
     same = F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_th") == F.col("_kept_th"))
-    return given.join(kept, same).groupBy("_id", "_th").agg(F.min("_row").alias("_row")).select("_row.*")
+    return given.join(kept, same, "left_semi").groupBy("_id", "_th").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")
 
 
 def op9_simhash_components(spark, sf_dir: str) -> DataFrame:

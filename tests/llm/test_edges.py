@@ -371,6 +371,7 @@ def test_rows_that_share_an_id_or_have_none_are_judged_by_themselves(spark):
     docs = frame(spark, [(None, texts["a"], "x"), (None, texts["b"], "x"), (1, texts["c"], "x"), (1, texts["d"], "y"), (2, texts["d"], "x"), (3, texts["a"], "x"), (None, texts["e"], "x"), (None, texts["e"], "x")])
     assert {simhash.near_duplicates(docs).select("fp").distinct().count()} == {5}
     single = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs).collect()]
+    assert simhash.drop_near_duplicates(docs.withColumn("m", F.create_map(F.lit("k"), "source")).withColumn("a.b", F.lit(1))).count() == 5
     assert len(single) == 5 and set(single) == {(3, texts["a"]), (None, texts["b"]), (1, texts["c"]), (1, texts["d"]), (None, texts["e"])}
 
 

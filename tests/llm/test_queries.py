@@ -47,13 +47,12 @@ def test_repeated_bytes(spark, sf_dir, texts):
 
 def test_edited_token_counts(spark, sf_dir, texts):
     from dossier.llm import token_counts as t
-    from pyspark.sql import functions as F
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     counter = t.PieceCounter(ranks)
     edited = t.apply_edits(t.revisions(t.count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks)), ranks)
     n = 0
-    for r in edited.filter(F.col("doc_id") % 1 == 0).collect():
+    for r in edited.collect():
         assert r.tokens_before == len(counter.encoding.encode_ordinary(texts[r.doc_id]))
         assert r.tokens_after == len(counter.encoding.encode_ordinary(r.text)) == sum(r.leaf_tokens)
         assert sum(r.leaf_chars) == len(r.text)
@@ -132,14 +131,14 @@ def test_simhash_components(spark, sf_dir, texts):
 
 def test_links_of_close_fingerprints(spark):
     from dossier.llm.components import connected_components
-    from dossier.llm.simhash import fingerprint_links
+    from dossier.llm.simhash import fingerprint_links, tallied_pairs
 
     rng = np.random.default_rng(5)
     made = {int(x) for x in rng.integers(-(1 << 63), 1 << 63, 40)} | {0, -1}
     for x in list(made):
         for _ in range(12):
             y = x
-            for b in rng.integers(0, 64, rng.integers(1, 4)):
+            for b in rng.integers(0, 64, rng.integers(1, 5)):
                 y ^= -(1 << 63) if b == 63 else 1 << int(b)
             made.add(y)
     fps = spark.createDataFrame([(x,) for x in made], "fp long")
@@ -147,7 +146,11 @@ def test_links_of_close_fingerprints(spark):
     links = fingerprint_links(fps)
     got = {(r.a, r.b) for r in links.collect()}
     assert got == {(a, b) for a in made for b in made if a < b and ((a ^ b) & mask).bit_count() <= 2}
-    assert {r.shared for r in links.collect()} <= {6, 7}
+    same_bytes = lambda a, b: sum((a ^ b) & mask & 0xFF << 8 * p == 0 for p in range(8))
+    assert all(r.shared == same_bytes(r.a, r.b) >= 6 for r in links.collect())
+    tallies = tallied_pairs(fps).collect()
+    assert len({(r.a, r.b) for r in tallies}) == len(tallies) and all(r.shared == same_bytes(r.a, r.b) for r in tallies)
+    assert min(r.shared for r in tallies) < 6  # the count filter has something to drop
     label = {r.node: r.root for r in connected_components(links).collect()}
     assert all(label[a] == label[b] <= min(a, b) for a, b in got)
 
