@@ -20,8 +20,9 @@ def test_joins_give_the_same_rows(spark, sf_dir, monkeypatch, name):
     assert sorted(map(str, QUERIES[name](spark, sf_dir).collect())) == sorted(map(str, want))
 
 
-def test_contaminated_documents_go_by_a_join_too(spark, sf_dir, monkeypatch):
+def test_items_are_found_by_joins_too(spark, sf_dir):
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    want = {r.doc_id for r in contamination.drop_contaminated(docs, items).collect()}
-    monkeypatch.setattr(contamination, "bounded_broadcast", lambda *_: None)
-    assert {r.doc_id for r in contamination.drop_contaminated(docs, items).collect()} == want
+    want = sorted(contamination.contained_items(docs, items).collect())
+    assert want and sorted(contamination.contained_items(docs, items, index_bytes=0).collect()) == want
+    kept = {r.doc_id for r in contamination.drop_contaminated(docs, items, index_bytes=0).collect()}
+    assert kept == {r.doc_id for r in docs.collect()} - {r.doc_id for r in want}

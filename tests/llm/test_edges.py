@@ -70,10 +70,13 @@ def test_contamination(spark, docs, none):
     items = spark.createDataFrame([(1, "a B c d e f"), (2, None), (3, ""), (4, "c d"), (5, "not in any text at all"), (1, "a B c d e f")], "item_id long, text string")
     got = sorted((r.doc_id, r.item_id) for r in contamination.contained_items(docs, items).collect())
     assert got == [(1, 1)] * 4 + [(1, 4)] * 2 + [(7, 1)] * 2 + [(7, 4)]
-    assert contamination.contained_items(docs, items, block_bytes=40).count() == len(got)
+    joined = contamination.contained_items(docs, items, index_bytes=40)
+    assert sorted((r.doc_id, r.item_id) for r in joined.collect()) == got
+    assert contamination.contained_items(none, items, index_bytes=0).count() == 0
     assert contamination.contained_items(none, items).count() == contamination.contained_items(docs, items.limit(0)).count() == 0
-    kept = contamination.drop_contaminated(docs, items)
-    assert kept.columns == docs.columns and kept.count() == len(ROWS) - 3
+    for most in (1 << 24, 0):
+        kept = contamination.drop_contaminated(docs, items, index_bytes=most)
+        assert kept.columns == docs.columns and kept.count() == len(ROWS) - 3
 
 
 def test_containment_has_no_false_negatives():
@@ -365,8 +368,8 @@ def test_rows_that_share_an_id_or_have_none_are_judged_by_themselves(spark):
     texts = {k: " ".join(f"{k}{n}" for n in range(40)) for k in "abcde"}
     leak = texts["a"] + " one two three four five six"
     docs = frame(spark, [(None, leak, "x"), (None, texts["b"], "x"), (None, texts["c"], "x"), (1, leak, "x"), (1, texts["d"], "x"), (2, texts["e"] + " red orange yellow green blue", "x")])
-    for block in (1 << 24, 60):
-        apart = contamination.drop_contaminated(docs, items, block_bytes=block)
+    for most in (1 << 24, 60):
+        apart = contamination.drop_contaminated(docs, items, index_bytes=most)
         assert apart.columns == docs.columns and sorted(map(str, apart.select("doc_id", "text").collect())) == sorted(str(r) for r in docs.select("doc_id", "text").collect() if r.text in texts.values())
     docs = frame(spark, [(None, texts["a"], "x"), (None, texts["b"], "x"), (1, texts["c"], "x"), (1, texts["d"], "y"), (2, texts["d"], "x"), (3, texts["a"], "x"), (None, texts["e"], "x"), (None, texts["e"], "x")])
     assert {simhash.near_duplicates(docs).select("fp").distinct().count()} == {5}
