@@ -5,7 +5,7 @@ Only DataFrame functions run.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm.common import cut
@@ -14,6 +14,12 @@ from dossier.llm.common import cut
 PART_TURNS = 256
 
 
+def speaker_name(role: Column) -> Column:
+    """A role as it stands in a head: unknown for null, line breaks as spaces, and marks broken by a space."""
+    line = F.regexp_replace(F.coalesce(role, F.lit("unknown")), r"[\n\r]", " ")
+    return F.replace(F.replace(line, F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >"))
+
+
 def _in_pieces(turns: DataFrame, part_turns: int) -> DataFrame:
     """Distinct turns (conv_id, turn, speaker, body) with part, piece and times: how often a piece of the part has them.
 
@@ -22,7 +28,7 @@ def _in_pieces(turns: DataFrame, part_turns: int) -> DataFrame:
     """
     turn = F.col("turn").cast("long")
     part = F.floor(turn / part_turns).alias("part")
-    speaker = F.coalesce("role", F.lit("unknown")).alias("speaker")
+    speaker = speaker_name(F.col("role")).alias("speaker")
     body = F.concat(F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")), F.lit("<|end|>")).alias("body")
     order = ("turn", "speaker", "body")
     copies = F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.lit(1)).otherwise(F.count("*")).cast("long")
@@ -51,10 +57,12 @@ def perspectives(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     turns than that, as numbers repeat or are missing, is several rows too, of `part_turns` turns each but the last.
     A null role is named unknown; a null text is empty; turns without a number come last, in a part of their own;
     equal numbers are ordered by role and text. Equal rows with a conv_id and a number are one turn, others are turns of
-    their own. Marks inside a text are broken by a space. A null conv_id is a conversation of its own. Other columns are ignored. No turns: no rows.
+    their own. Marks inside a text or a name are broken by a space, and line breaks in a name are spaces, so no text or
+    name opens a turn; names that are then equal are one participant. A text may be empty or of any length: it is in one
+    row whole. A null conv_id is a conversation of its own. Other columns are ignored. No turns: no rows.
     """
     rows = _in_pieces(turns, part_turns)
-    views = turns.select(F.col("conv_id").alias("_conv"), F.coalesce("role", F.lit("unknown")).alias("perspective")).distinct()
+    views = turns.select(F.col("conv_id").alias("_conv"), speaker_name(F.col("role")).alias("perspective")).distinct()
     own = F.col("speaker") == F.col("perspective")
     head = F.when(own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), F.col("speaker"), F.lit("|>\n")))
     segments = rows.join(views, F.col("conv_id").eqNullSafe(F.col("_conv"))).select(
@@ -95,9 +103,10 @@ def op5_perspective_chats(spark, sf_dir: str) -> DataFrame:
     return perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-OP5_SQL = """
+OP5_SQL = r"""
 WITH t AS (
-  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations
+  SELECT DISTINCT conv_id, turn,
+    replace(replace(regexp_replace(coalesce(role, 'unknown'), '[\n\r]', ' ', 'g'), '<|', '< |'), '|>', '| >') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations
 ), v AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t
 ), s AS (
   SELECT t.conv_id, perspective, turn // 256 AS part, turn, speaker, text, speaker = perspective AS own,

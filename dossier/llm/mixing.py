@@ -43,7 +43,7 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...], max_epochs: int) ->
     cannot take is shared anew among the others by weight, until none is above its limit. Sorted by the level at which
     each source meets its limit, the clamped ones are a prefix, so running sums give the fixed point of those rounds
     at once: a source is clamped if the level left by those before it reaches its own.
-    The windows run over one row per source.
+    The windows run over one row per source, in one task: a table of a million sources is some 30 MB.
     """
     total = Window.partitionBy()
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -95,10 +95,12 @@ def plan_mixture(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epoc
         .select("source", "slice", "before", "quota")
     )
     inside = Window.partitionBy("source").orderBy("place", "doc_id")
+    last = cut(last.select(F.col("source").alias("s"), F.col("slice").alias("b"), "before", "quota"), "mix-slices")
+    few = bounded_broadcast(last)
     edges = (
-        sizes.groupBy("source", "slice", "place", "doc_id")
+        sizes.join(last if few is None else few, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("b")))
+        .groupBy("source", "place", "doc_id", "before", "quota")
         .agg(F.sum("size").alias("size"))
-        .join(last.select(F.col("source").alias("s"), F.col("slice").alias("b"), "before", "quota"), F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("b")))
         .withColumn("prior", F.col("before") + F.sum("size").over(inside) - F.col("size"))
         .filter((F.col("prior") <= F.col("quota")) & (F.col("prior") + F.col("size") > F.col("quota")))
         .select(F.col("source").alias("edge_source"), F.struct("place", "doc_id").alias("edge"), (2 * F.col("prior") + F.col("size") <= 2 * F.col("quota")).alias("edge_in"))

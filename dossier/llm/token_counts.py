@@ -11,8 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dossier.llm.word_tokens import by_bytes
+
 #: Pre-tokens in a leaf; a leaf that has grown to four times as many is divided.
 LEAF = 64
+#: Bytes of texts that are taken at once; a longer text is alone.
+PART_BYTES = 4 << 20
 _REMEMBER = 200_000
 
 COUNTED = T.StructType(
@@ -167,14 +171,14 @@ class CountedText:
 def count_tokens(docs: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, text, and the leaves of its trees: characters and tokens of every LEAF pre-tokens.
 
-    docs: doc_id, text; other columns are ignored. Null and empty texts have no leaves.
+    docs: doc_id, text; other columns are ignored. Null and empty texts have no leaves, and texts may be of any length.
+    Rows that share a doc_id, or have none, are documents of their own. No documents: no rows.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = piece_counter(ranks_path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for part in by_bytes(batch, 1, PART_BYTES):
                 both = [counter.leaves(text) if text else ([], []) for text in part.column(1).to_pylist()]
                 leaves = [pa.array([x[i] for x in both], pa.list_(pa.int64())) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *leaves], names=COUNTED.names)
@@ -187,15 +191,16 @@ def apply_edits(counted: DataFrame, ranks_path: str) -> DataFrame:
 
     edits: array of (start, length, replacement), in characters (code points), each on the text as the one before left
     it; null for none. tokens_before and tokens_after are the roots' sums; reencoded_chars is what was split and encoded
-    anew. A null text counts as empty; null numbers as 0, a null replacement as empty.
+    anew. A null text counts as empty; null numbers as 0, a null replacement as empty. Repeated rows are edited each
+    for itself.
     """
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = piece_counter(ranks_path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
+            for part in by_bytes(batch, 1, PART_BYTES):
                 rows = []
-                for row in batch.slice(k, 512).to_pylist():
+                for row in part.to_pylist():
                     counted_text = CountedText(counter, row["text"] or "", row["leaf_chars"] or [], row["leaf_tokens"] or [])
                     before, edits = counted_text.tokens.total, row["edits"] or []
                     for x in edits:

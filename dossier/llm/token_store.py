@@ -67,8 +67,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
     manifest = cut(dealt.mapInArrow(write, _MANIFEST), "token-manifest")
-    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
-    return cut(manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "token-files")
+    earlier = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shards = manifest.groupBy(F.col("shard").alias("_shard")).agg(F.sum("n_ids").alias("n_ids"))
+    shards = shards.select("_shard", earlier(Window.orderBy("_shard")).alias("_before"))  # a row per writing task
+    files = manifest.withColumn("_within", earlier(Window.partitionBy("shard").orderBy("part"))).join(shards, F.col("shard") == F.col("_shard"))
+    return cut(files.select(*manifest.columns, (F.col("_before") + F.col("_within")).alias("start")), "token-files")
 
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:

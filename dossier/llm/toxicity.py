@@ -17,15 +17,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.common import cut
+from dossier.llm.word_tokens import by_bytes
 
 #: Hash buckets of terms.
 BUCKETS = 1 << 20
 #: Labelled rows that a machine is fitted on at most: those first in the order of their ids' hashes.
 SAMPLE_ROWS = 20_000
-#: Buckets that the machine knows at most: those whose share differs most between the classes.
+#: Buckets that the machine knows at most for what they say alone: those whose share differs most between the classes.
 KNOWN = 8_192
 #: Standard errors by which it has to differ.
 LEAST_Z = 4.0
+#: The most frequent buckets of the sample, which the machine knows whatever they say alone, for their pairs.
+FREQUENT = 500
+#: Terms that most rows have are kept as columns of a matrix in training, the rest as lists.
+_COLUMNS = 512
+#: Bytes of texts that are scored at once; a longer text is alone.
+PART_BYTES = 4 << 20
 FACTORS = 4
 #: Of a word, its beginnings of so many characters are terms too, as compounds and inflected forms share them.
 BEGINNINGS = (4, 5, 6, 7)
@@ -107,23 +114,39 @@ def fit_machine(terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, s
     counts = np.array([len(r) for r in rows])
     if not n or not len(labels) or labels.min() == labels.max() or not counts.sum():
         return Machine(terms[:0], float(bias[0]), np.zeros(0), np.zeros((0, FACTORS)))
+    often = np.bincount(np.concatenate(rows), minlength=n)
+    columns = np.argsort(-often, kind="stable")[:_COLUMNS]
+    columns = np.sort(columns[often[columns] * 20 > len(rows)])
+    column_of = np.full(n, -1)
+    column_of[columns] = np.arange(len(columns))
+    dense = np.zeros((len(rows), len(columns)), np.float32)
+    for k, row in enumerate(rows):
+        dense[k, column_of[row][column_of[row] >= 0]] = 1
+    rows = [row[column_of[row] < 0] for row in rows]
+    counts = np.array([len(r) for r in rows])
     places, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), counts)
     full = np.flatnonzero(counts)
     firsts = np.cumsum(counts[full]) - counts[full]
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, bias)]
     balance = np.where(labels == 1, (len(labels) / max(1, labels.sum())) ** 0.5, 1.0)
     for step in range(1, steps + 1):
-        v = w[places, 1:]
-        sums = np.zeros((len(rows), FACTORS))
-        sums[full] = np.add.reduceat(v, firsts)
-        margin = np.full(len(rows), bias[0])
-        margin[full] += np.add.reduceat(w[places, 0], firsts) + 0.5 * (sums[full] ** 2 - np.add.reduceat(v * v, firsts)).sum(1)
+        v, own = w[places], w[columns].astype(np.float32)
+        linear_and_sums = (dense @ own).astype(float)
+        squares = (dense @ (own[:, 1:] ** 2)).sum(1).astype(float)
+        if len(full):
+            linear_and_sums[full] += np.add.reduceat(v, firsts)
+            squares[full] += np.add.reduceat(v[:, 1:] ** 2, firsts).sum(1)
+        sums = linear_and_sums[:, 1:]
+        margin = bias[0] + linear_and_sums[:, 0] + 0.5 * ((sums**2).sum(1) - squares)
         error = balance * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels) / len(labels)
         each = error[owner]
         grad = np.empty_like(w)
         grad[:, 0] = np.bincount(places, each, n)
         for f in range(FACTORS):
-            grad[:, f + 1] = np.bincount(places, each * (sums[owner, f] - v[:, f]), n)
+            grad[:, f + 1] = np.bincount(places, each * (sums[owner, f] - v[:, f + 1]), n)
+        by_column = dense.T @ np.column_stack([error, error[:, None] * sums]).astype(np.float32)
+        grad[columns] = by_column
+        grad[columns, 1:] -= w[columns, 1:] * by_column[:, :1]
         for x, g, (m, s) in ((w, grad + decay * w, state[0]), (bias, np.array([error.sum()]), state[1])):
             m += 0.1 * (g - m)
             s += 0.001 * (g * g - s)
@@ -131,12 +154,15 @@ def fit_machine(terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, s
     return Machine(terms, float(bias[0]), w[:, 0].copy(), w[:, 1:].copy())
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, known: int = KNOWN) -> Machine:
+def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, known: int = KNOWN, frequent: int = FREQUENT) -> Machine:
     """A machine learnt from the labelled rows (doc_id, toxic) outside the held-out fold.
 
     Only texts are inputs. At most sample_rows rows are used, whatever the corpus: their terms are counted by class in
-    Spark, and only the rows' known terms come to the driver. Repeated labels of a doc_id count as toxic if one is;
-    null labels and null ids are left out. With one class or none, the machine is a constant.
+    Spark, and only the rows' known terms come to the driver. Terms are known if their share differs between the classes
+    or if they are among the most frequent ones: a common word that says nothing alone may do so with another.
+    Repeated labels of a doc_id count as toxic if one is; null labels and null ids are left out; documents that share
+    a doc_id are rows of their own; other columns are ignored. With one class or none, or without documents, the machine
+    is a constant.
     """
     fold = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
     chosen = fold.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -144,8 +170,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [sorted({t for word in text_words(text) for t in word_terms(word)}) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["toxic", "terms"])
+            for part in by_bytes(batch, 1, PART_BYTES):
+                rows = [sorted({t for word in text_words(text) for t in word_terms(word)}) for text in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["toxic", "terms"])
 
     picked = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("toxic", "text")
     sample = cut(picked.mapInArrow(terms, "toxic int, terms array<int>"), "toxic-sample")
@@ -155,8 +182,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     rate = F.col("n") / n
     z = F.abs(F.col("n1") / n1 - (F.col("n") - F.col("n1")) / (n - n1)) / F.sqrt(rate * (1 - rate) * (1 / n1 + 1 / (n - n1)))
     counted = sample.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("n1"))
-    best = counted.filter(f"n >= 3 and n < {n}").withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(known)
-    found = np.array(sorted(r.term for r in best.select("term").collect()), np.int64)
+    counted = cut(counted.filter(f"n >= 3 and n < {n}").withColumn("z", z).select("term", "n", "z"), "toxic-terms")
+    best = counted.filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(known)
+    best = best.unionByName(counted.orderBy(F.desc("n"), "term").limit(frequent)).select("term").distinct()
+    found = np.array(sorted(r.term for r in best.collect()), np.int64)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,26 +200,30 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
 def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
     """doc_id and score, from 0 to 1, of every row of docs (doc_id, text); other columns are ignored.
 
-    A text without known terms, be it null or empty, scores as the bias alone.
+    A text without known terms, be it null or empty, scores as the bias alone. A text may be of any length; repeated
+    rows score alike, each for itself. No documents: no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer(batch.column(1)))], names=["doc_id", "score"])
+            for part in by_bytes(batch, 1, PART_BYTES):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scorer(part.column(1)))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, machine: Machine, limit: float = 0.5) -> DataFrame:
-    """docs without the rows that score at or above the limit."""
+    """docs without the rows that score at or above the limit, whatever their doc_id; null and empty texts score as in
+    score_toxicity(). All columns stay as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            yield batch.filter(pc.less(pa.array(scorer(batch.column("text"))), limit))
+            for part in by_bytes(batch, batch.schema.get_field_index("text"), PART_BYTES):
+                yield part.filter(pc.less(pa.array(scorer(part.column("text"))), limit))
 
     return docs.mapInArrow(keep, docs.schema)
 

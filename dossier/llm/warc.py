@@ -21,6 +21,10 @@ MIN_REVISIT_BYTES = 100
 ARCHIVE_BYTES = 256 << 20
 #: Bytes read, and bytes inflated, at once.
 CHUNK = 1 << 18
+#: Bytes of a target URI at most: longer ones are cut, so that every head that is written can be read.
+TARGET_BYTES = 1 << 16
+#: Bytes of a record's head, or of the HTTP head in it, that the reader takes at most.
+HEAD_BYTES = 1 << 20
 #: The date of a record whose page has none.
 DATE = "2024-01-01T00:00:00Z"
 _END = b"\r\n\r\n"
@@ -52,7 +56,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     """One record, uncompressed. A revisit keeps the HTTP head, whose length is the full payload's, and no payload."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}".encode() + _END
     block = head if refers_to is not None else head + payload
-    target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
+    target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "").encode()[:TARGET_BYTES].decode(errors="ignore")
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
@@ -126,7 +130,7 @@ class _Member:
                 return True
         return False
 
-    def until(self, mark: bytes, limit: int = 1 << 20) -> bytes:
+    def until(self, mark: bytes, limit: int = HEAD_BYTES) -> bytes:
         """What stands before the mark, which is passed over."""
         while (at := self.ready.find(mark)) < 0:
             if len(self.ready) > limit or not self.more():
@@ -160,6 +164,7 @@ def _headers(lines: bytes) -> dict[str, str]:
 def read_records(stream) -> Iterator[Record]:
     """The records of an archive in order. Payloads are hashed piece by piece, never held.
 
+    payload_digest is computed from a response's payload; of a revisit, which has none, it is the recorded one.
     verified: the block has its recorded digest and a response's payload its own. A member that ends early, goes on
     after its record, or has no head raises ValueError.
     """
@@ -174,6 +179,8 @@ def read_records(stream) -> Iterator[Record]:
             if not body:
                 head += piece
                 if _END not in head:
+                    if len(head) > HEAD_BYTES:
+                        raise ValueError("an HTTP head has no end")
                     continue
                 head, _, piece = head.partition(_END)
                 body = True
@@ -186,7 +193,7 @@ def read_records(stream) -> Iterator[Record]:
         said = headers["warc-payload-digest"].removeprefix("sha256:")
         whole = headers["warc-type"] == "response"
         verified = headers["warc-block-digest"] == "sha256:" + block.hexdigest() and (not whole or said == payload.hexdigest())
-        yield Record(headers, http, n_payload if whole else int(http["content-length"]), said, verified)
+        yield Record(headers, http, n_payload if whole else int(http["content-length"]), payload.hexdigest() if whole else said, verified)
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
@@ -208,6 +215,8 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 with store.open_input_stream(path, compression=None) as stream:
                     for r in read_records(stream):
                         h = r.headers
+                        if not r.verified:
+                            raise ValueError(f"{path}: {h['warc-record-id']} does not have its digests")
                         rows.append((number(h["warc-record-id"]), h["warc-target-uri"], r.payload_bytes, r.payload_digest, h["warc-type"], number(h.get("warc-refers-to")), r.verified))
                         if len(rows) == 4096:
                             yield batch_of(rows)
@@ -223,7 +232,8 @@ def archived_pages(pages: DataFrame) -> DataFrame:
     """Writes pages to new archives in the shared folder and reads them back, a row per page.
 
     pages: page_id, url, html; other columns are ignored. A null html is an empty payload, a null url an empty target;
-    white space and control characters in a url are percent-encoded. Rows that share both the smallest page_id and the
+    white space and control characters in a url are percent-encoded, and its first TARGET_BYTES are kept. A payload may
+    be of any length. A record that fails its digests ends the job with an error. No pages: no rows. Rows that share both the smallest page_id and the
     payload are all responses; a null page_id is never the smallest.
     """
     folder = shared_path(pages.sparkSession, "warc")

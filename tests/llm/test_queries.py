@@ -75,6 +75,45 @@ def test_quality_rules(spark, sf_dir, texts):
         assert r.kept == (not r.base_failed and r.llr >= -0.25)
 
 
+def test_likelihood_ratios_equal_counts_by_hand(spark, sf_dir, texts):
+    """llr from tokens and buckets counted in plain Python, with Spark's hash of strings and of pairs of longs."""
+    import math
+    import unicodedata
+
+    from dossier.llm import quality as q
+    from pyspark.sql import functions as F
+
+    kind = lambda c: "w" if c == "_" or unicodedata.category(c)[0] in "LMN" else "s" if c.isspace() else "p"
+
+    def tokens(text):
+        out, last = [], "s"
+        for c in text.lower():
+            k = kind(c)
+            if k != "s":
+                out = [*out[:-1], out[-1] + c] if k == last else [*out, c]
+            last = k
+        return out
+
+    own = {k: tokens(t) for k, t in sorted(texts.items())[:60]}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(F.col("doc_id").isin(list(own)))
+    trusted = spark.createDataFrame([(k,) for k in sorted(own)[::3]], "doc_id long")
+    words = sorted({t for ts in own.values() for t in ts})
+    hashed = dict(spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w")).collect())
+    pairs = sorted({(hashed[a], hashed[b]) for ts in own.values() for a, b in zip(ts, ts[1:])})
+    of_pair = {(r.a, r.b): r.h % q.BUCKETS for r in spark.createDataFrame(pairs, "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+    buckets = {k: [hashed[t] % q.BUCKETS for t in ts] + [of_pair[hashed[a], hashed[b]] for a, b in zip(ts, ts[1:])] for k, ts in own.items()}
+    raw, target = collections.Counter(range(q.BUCKETS)), collections.Counter(range(q.BUCKETS))
+    for k, bs in buckets.items():
+        raw.update(bs)
+        target.update(bs if k in sorted(own)[::3] else ())
+    n_raw, n_target = raw.total(), target.total()
+    for r in q.quality(docs, trusted).collect():
+        bs = buckets[r.doc_id]
+        want = sum(math.log(target[b] / n_target) - math.log(raw[b] / n_raw) for b in bs) / len(bs) if bs else None
+        assert r.llr == (pytest.approx(want, abs=1e-9) if bs else None), r.doc_id
+        assert r.kept == (not r.base_failed and r.llr is not None and r.llr >= q.THRESHOLD)
+
+
 def test_quality_keeps_good_and_drops_bad_labels(spark, sf_dir):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     rows = [r for r in QUERIES["op8_quality_rules"](spark, sf_dir).collect() if r.doc_id in labels]
@@ -89,6 +128,45 @@ def test_toxicity_scores(spark, sf_dir, texts):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
 
 
+def test_toxicity_scores_equal_the_machine_by_hand(spark, sf_dir, texts):
+    """Scores from the machine's terms, weights and factors, summed term by term and pair by pair in plain Python."""
+    import math
+
+    from dossier.llm import toxicity as t
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    machine = t.train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    at = {int(x): k for k, x in enumerate(machine.terms)}
+    weights, factors = machine.weights.tolist(), machine.factors.tolist()
+    scores = {r.doc_id: r.score for r in QUERIES["op3_toxicity_scores"](spark, sf_dir).collect()}
+    for doc_id, text in list(texts.items())[::4]:
+        found = sorted({at[b] for w in text.lower().split() if (word := w.strip(t._EDGES)) for b in {zlib.crc32(word.encode()) % t.BUCKETS, *(zlib.crc32(word[:n].encode(), n) % t.BUCKETS for n in t.BEGINNINGS if len(word) >= n)} if b in at})
+        margin = machine.bias + sum(weights[k] for k in found)
+        for i, a in enumerate(found):
+            margin += sum(x * y for b in found[:i] for x, y in zip(factors[a], factors[b]))
+        assert scores[doc_id] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, margin)))), abs=1e-6)
+
+
+def test_toxicity_learns_what_only_pairs_say(spark):
+    """Two common words, toxic if just one of them is there: neither says anything alone."""
+    rng = np.random.default_rng(3)
+    rows, labels = [], []
+    for k in range(1200):
+        a, b = rng.random(2) < 0.5
+        words = [f"word{x}" for x in rng.integers(0, 300, 12)] + ["mention"] * int(a) + ["insult"] * int(b)
+        rows.append((k, " ".join(rng.permutation(words))))
+        labels.append((k, int(a != b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    from dossier.llm import toxicity as t
+
+    machine = t.train_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    scored = {r.doc_id: r.score >= 0.5 for r in t.score_toxicity(docs, machine).collect()}
+    held = [k for k in range(1200) if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert np.mean([scored[k] == bool(labels[k][1]) for k in held]) > 0.9
+    at = {int(x): machine.factors[k] for k, x in enumerate(machine.terms)}
+    assert at[zlib.crc32(b"insult") % t.BUCKETS] @ at[zlib.crc32(b"mention") % t.BUCKETS] < 0
+
+
 def test_toxicity_of_held_out_rows(spark):
     """On a table with enough labels: the smallest has three toxic rows to learn from."""
     sf_dir = "/root/testdata/sf0.1"
