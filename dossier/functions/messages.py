@@ -15,7 +15,7 @@ MESSAGES = {
     "interaction.limitation": "Clinical significance can't be told from passages alone.",
     "interaction.finding.match": "A passage mentions a possible interaction.",
     "interaction.finding.none": "No interaction was found in the passages.",
-    "interaction.notes.none": "Look at further sources before concluding anything.",
+    "interaction.notes.none": "Without a passage on interactions there is nothing to quote here.",
     "interaction.evidence.none": "None of the best passages mentions an interaction.",
     "adverse.name": "Safety screen",
     "adverse.summary.match": "Some passages mention safety events.",
@@ -39,7 +39,7 @@ MESSAGES = {
     "consensus.agreement.some": "Each can be traced to retrieved passages.",
     "consensus.agreement.sparse": "Evidence is sparse, so conclusions stay cautious.",
     "consensus.disagreement.moderate": "An interaction is plausible, but its severity is not settled.",
-    "consensus.disagreement.none": "The passages don't substantiate an interaction.",
+    "consensus.disagreement.none": "No finding rates an interaction as moderate.",
     "consensus.missing.tables": "Tables and appendices that plain text leaves out",
     "consensus.missing.context": "Literature and regulation outside the documents",
     "consensus.conclusion": " Use this as research support only.",
@@ -53,7 +53,7 @@ MESSAGES = {
     "report.source.none": "Documents of the request",
     "report.question": "What else is needed to answer: ",
     "report.follow_up": "Would labels or supplements change the conclusion?",
-    "report.lay": "What the documents say about benefits and risks, in plain words; this is no medical advice.",
+    "report.lay": "A short version for readers without training; ask a professional before acting on it.",
     "report.disabled.executive": "No report was made for this session.",
     "report.disabled.risk": "No report was made.",
     "report.disabled.follow_up": "Select the report to have one.",

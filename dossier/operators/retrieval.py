@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions.text import excerpt, keyword_score, token_weight, tokenize
 from dossier.functions.values import STOP_WORDS, TOP_CHUNKS
-
-#: Requests that are broadcast to the chunks; more are joined by key.
-BROADCAST_REQUESTS = 50_000
+from dossier.operators.broadcasts import few_or_all
 
 
 def question_tokens(requests: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
@@ -18,28 +16,41 @@ def question_tokens(requests: DataFrame, stop_words: tuple[str, ...] = STOP_WORD
     return exploded.select("request_id", (F.col("pos") + 1).alias("position"), "token", token_weight(F.col("token")).alias("weight"))
 
 
-def score_chunks(requests: DataFrame, request_documents: DataFrame, chunks: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """Every chunk of every request, with doc_ordinal and score; chunks that score 0 stay.
+def _asked(requests: DataFrame, stop_words: tuple[str, ...]) -> DataFrame:
+    """Requests' tokens, made once before any join."""
+    return few_or_all(requests.select(F.col("request_id").alias("_request"), tokenize(F.col("question"), stop_words).alias("_tokens")))
+
+
+def _scoped(request_documents: DataFrame, chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """A row per chunk of each request, with _tokens.
 
-    Questions are tokenised once, before the join. They are broadcast if they are few; documents and chunks are joined
-    by doc_id, which Spark splits where one document has many chunks.
+    Where lists of documents and tokens are small enough to broadcast, nothing is shuffled; else chunks are joined by
+    doc_id, which Spark splits where many requests name one document.
     """
-    asked = requests.select(F.col("request_id").alias("_request"), tokenize(F.col("question"), stop_words).alias("_tokens"))
-    if asked.limit(BROADCAST_REQUESTS + 1).count() <= BROADCAST_REQUESTS:
-        asked = F.broadcast(asked)
-    scoped = request_documents.join(asked, F.col("request_id") == F.col("_request")).drop("_request")
-    return scoped.join(chunks, "doc_id").withColumn("score", keyword_score(F.col("_tokens"), F.col("lower_text"))).drop("_tokens")
+    named = few_or_all(request_documents.select("request_id", "doc_ordinal", F.col("doc_id").alias("_doc")))
+    met = chunks.join(named, F.col("doc_id") == F.col("_doc")).drop("_doc")
+    return met.join(asked, F.col("request_id") == F.col("_request")).drop("_request")
+
+
+def score_chunks(requests: DataFrame, request_documents: DataFrame, chunks: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """Every chunk of every request, with doc_ordinal and score; chunks that score 0 stay."""
+    scoped = _scoped(request_documents, chunks, _asked(requests, stop_words))
+    return scoped.withColumn("score", keyword_score(F.col("_tokens"), F.col("lower_text"))).drop("_tokens")
 
 
-def top_chunks(scored: DataFrame, k: int = TOP_CHUNKS) -> DataFrame:
+def top_chunks(scored: DataFrame, k: int = TOP_CHUNKS, chunks: DataFrame | None = None) -> DataFrame:
     """The k best chunks of each request by score, then document order, then offset, with their rank.
 
-    Spark keeps k rows of a request in each task before the shuffle. The lower-cased text is made anew for those that
-    are left, rather than sorted along.
+    Spark keeps k rows of a request in each task before the shuffle. With chunks given, rows are ranked by their keys
+    alone, and the texts of those that are left are looked up; else texts are carried along, but the lower-cased ones.
     """
     best = Window.partitionBy("request_id").orderBy(F.desc("score"), "doc_ordinal", "char_offset")
-    ranked = scored.drop("lower_text").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.withColumn("lower_text", F.lower("text"))
+    rank = F.row_number().over(best)
+    if chunks is None:
+        return scored.drop("lower_text").withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("lower_text", F.lower("text"))
+    keys = scored.select("request_id", "doc_ordinal", "doc_id", "char_offset", "score").withColumn("rank", rank).filter(F.col("rank") <= k)
+    won = few_or_all(keys.withColumnsRenamed({"doc_id": "_doc", "char_offset": "_offset"}))
+    return chunks.join(won, (F.col("doc_id") == F.col("_doc")) & (F.col("char_offset") == F.col("_offset"))).drop("_doc", "_offset")
 
 
 def top_chunks_single(scored: DataFrame, k: int = TOP_CHUNKS) -> DataFrame:
@@ -48,31 +59,33 @@ def top_chunks_single(scored: DataFrame, k: int = TOP_CHUNKS) -> DataFrame:
 
 
 def score_by_postings(requests: DataFrame, request_documents: DataFrame, chunks: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """Positive scores by way of an index of words, for large batches of questions: request_id, chunk_id, score.
+    """The same rows, without their texts, by way of an index of words, for large batches of questions.
 
-    A token is in a text if and only if it is in one of the text's runs of a-z and 0-9. Each distinct run is taken apart
-    once into its substrings that are no longer than the longest token, and these are joined with the tokens by
-    equality: no run is compared with all tokens, and no token with every chunk. Chunks that score 0 are not returned.
+    A token is in a text if and only if it is in one of the text's runs of a-z and 0-9. Each distinct run of all chunks
+    is taken apart once into its substrings of such lengths as tokens have, and these are joined with the tokens by
+    equality; each chunk then has the tokens that its runs have. So no text is searched for a token of any request.
     """
     words = F.array_distinct(F.regexp_extract_all("lower_text", F.lit("[a-z0-9]+"), F.lit(0)))
     # An inner explode would have Spark split the text twice, to test the array's size before it explodes it.
-    runs = chunks.select("chunk_id", "doc_id", F.explode_outer(words).alias("run")).filter("run is not null")
-    tokens = question_tokens(requests, stop_words)
-    wanted = tokens.select("token").distinct()
-    longest = wanted.agg(F.max(F.char_length("token"))).first()[0] or 0
-    parts = runs.select("run").distinct().withColumn("part", F.explode_outer(_substrings(F.col("run"), longest)))
-    matches = parts.join(wanted, F.col("part") == F.col("token")).select("run", "token")
-    found = runs.join(matches, "run").select("chunk_id", "doc_id", "token").distinct()
-    scoped = request_documents.join(tokens.groupBy("request_id", "token").agg(F.sum("weight").alias("weight")), "request_id")
-    return scoped.join(found, ["doc_id", "token"]).groupBy("request_id", "chunk_id").agg(F.sum("weight").cast("int").alias("score"))
-
-
-def _substrings(run: Column, longest: int) -> Column:
-    """Distinct substrings of 1 to `longest` characters."""
+    runs = chunks.select("doc_id", "char_offset", F.explode_outer(words).alias("run")).filter("run is not null")
+    wanted = question_tokens(requests, stop_words).select("token").distinct()
+    lengths = sorted(r.n for r in wanted.select(F.char_length("token").alias("n")).distinct().collect())  # of words: a few dozen
+    parts = runs.select("run").distinct().withColumn("part", F.explode_outer(_substrings(F.col("run"), lengths)))
+    matches = parts.join(few_or_all(wanted), F.col("part") == F.col("token")).groupBy("run").agg(F.collect_set("token").alias("tokens"))
+    found = runs.join(few_or_all(matches.withColumnRenamed("run", "_run")), F.col("run") == F.col("_run"))
+    sets = found.groupBy(F.col("doc_id").alias("_doc"), F.col("char_offset").alias("_offset")).agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("_found"))
+    keys = chunks.select("chunk_id", "doc_id", "char_offset", "page").join(sets, (F.col("doc_id") == F.col("_doc")) & (F.col("char_offset") == F.col("_offset")), "left").drop("_doc", "_offset")
+    scoped = _scoped(request_documents, keys, _asked(requests, stop_words))
+    met = F.filter("_tokens", lambda t: F.array_contains(F.col("_found"), t))
+    score = F.aggregate(F.coalesce(met, F.array().cast("array<string>")), F.lit(0), lambda total, t: total + token_weight(t))
+    return scoped.withColumn("score", score).drop("_tokens", "_found")
+
+
+def _substrings(run: Column, lengths: list[int]) -> Column:
+    """Distinct substrings of these lengths."""
     n = F.char_length(run)
-    at = F.sequence(F.lit(1), n)
-    each = F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.least(n - i + 1, F.lit(longest))), lambda k: F.substr(run, i, k)))
-    return F.array_distinct(F.flatten(each))
+    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr(run, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.array(*map(of, lengths)))) if lengths else F.array().cast("array<string>")
 
 
 def coverage(ranked: DataFrame) -> DataFrame:

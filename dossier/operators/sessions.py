@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.values import KEPT_SESSIONS, RECENT_SESSIONS
+from dossier.sources.schemas import DOCUMENT_RECORD
 
 
 def read_sessions(rows: DataFrame) -> DataFrame:
     """Stored rows as typed sessions: null agent and document lists are empty."""
-    return rows.withColumn("selected_agents", F.coalesce("selected_agents", F.array().cast("array<string>"))).withColumn("documents", F.coalesce("documents", F.array().cast("array<string>")))
+    empty = lambda c: F.coalesce(c, F.array().cast(rows.schema[c].dataType))
+    return rows.withColumn("selected_agents", empty("selected_agents")).withColumn("documents", empty("documents"))
+
+
+def _last(saves: DataFrame, columns: list[str], *order: str | Column) -> DataFrame:
+    """Per id the row that is greatest in `order`; of equal ones that with the greatest hash of its columns."""
+    row = F.struct(*columns)
+    return saves.groupBy(F.col("id").alias("_id")).agg(F.max_by(row, F.struct(*order, F.xxhash64(*columns))).alias("_row")).select("_row.*")
 
 
 def upsert_sessions(stored: DataFrame, saved: DataFrame) -> DataFrame:
-    """One row per id: the last saved, whole, created_at included. On equal times the new batch wins.
+    """One row per id: the last saved, whole, created_at included. On equal times the new batch wins; within a batch the
+    row with the greatest hash, so that the result is the same on every run.
 
     An aggregate, so each task sums up its rows before the shuffle. Write the result to a new place, never over the
     one that is read.
     """
     both = stored.withColumn("_batch", F.lit(0)).unionByName(saved.withColumn("_batch", F.lit(1)))
-    row = F.struct(*stored.columns)
-    return both.groupBy(F.col("id").alias("_id")).agg(F.max_by(row, F.struct("updated_at", "_batch")).alias("_row")).select("_row.*")
+    return _last(both, stored.columns, "updated_at", "_batch")
 
 
 def recent_sessions(sessions: DataFrame, n: int = RECENT_SESSIONS) -> DataFrame:
@@ -30,9 +38,8 @@ def recent_sessions(sessions: DataFrame, n: int = RECENT_SESSIONS) -> DataFrame:
 
 
 def most_recent(saves: DataFrame, n: int = KEPT_SESSIONS) -> DataFrame:
-    """The n ids saved last, each with its last save: saves (id, saved_at, ...)."""
-    last = saves.groupBy(F.col("id").alias("_id")).agg(F.max_by(F.struct(*saves.columns), "saved_at").alias("_row")).select("_row.*")
-    return last.orderBy(F.desc("saved_at"), "id").limit(n)
+    """The n ids saved last, each with its last save: saves (id, saved_at, ...). Equal times are told apart by hash."""
+    return _last(saves, saves.columns, "saved_at").orderBy(F.desc("saved_at"), "id").limit(n)
 
 
 def lookup_sessions(sessions: DataFrame, ids: DataFrame) -> DataFrame:
@@ -52,12 +59,27 @@ def dashboard_stats(sessions: DataFrame) -> DataFrame:
     return sessions.agg(F.count("*").alias("n_sessions"), F.coalesce(F.sum(F.size("documents")), F.lit(0)).cast("long").alias("n_documents"))
 
 
-def assemble_sessions(requests: DataFrame, request_documents: DataFrame, results: DataFrame, mode: str = "demo") -> DataFrame:
+def document_records(documents: DataFrame, texts: bool = False) -> DataFrame:
+    """doc_id and record, the document as sessions keep it. The text, which the documents' table has, is left out unless
+    asked for."""
+    kept = documents.withColumn("_text", F.col("text") if texts else F.lit(None).cast("string"))
+    record = F.struct(F.col("doc_id").alias("id"), "name", F.col("size_bytes").alias("size"), "page_count", "uploaded_at", "preview", F.col("_text").alias("text"))
+    return kept.select("doc_id", record.cast(DOCUMENT_RECORD).alias("record"))
+
+
+def assemble_sessions(requests: DataFrame, request_documents: DataFrame, results: DataFrame, mode: str = "demo", documents: DataFrame | None = None) -> DataFrame:
     """Completed sessions of requests (request_id, question, selected_agents, requested_at) and their results.
 
-    Document lists are in the requests' order. Both times are the request's.
+    Document lists are in the requests' order; documents: doc_id and record, as document_records() makes them, else
+    records have ids alone. A document that is named but unknown has just its id. Both times are the request's.
     """
-    listed = request_documents.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("doc_ordinal", "doc_id"))).alias("d"))
+    only_id = F.from_json(F.to_json(F.struct(F.col("doc_id").alias("id"))), DOCUMENT_RECORD)
+    named = request_documents.select("request_id", "doc_ordinal", "doc_id")
+    if documents is None:
+        named = named.withColumn("record", only_id)
+    else:
+        named = named.join(documents.select("doc_id", F.col("record").alias("_record")), "doc_id", "left").withColumn("record", F.coalesce("_record", only_id))
+    listed = named.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_ordinal", "doc_id", "record"))), lambda x: x["record"]).alias("d"))
     joined = requests.join(listed, "request_id", "left").join(results, "request_id", "left")
     return joined.select(
         F.col("request_id").alias("id"),
@@ -65,7 +87,7 @@ def assemble_sessions(requests: DataFrame, request_documents: DataFrame, results
         F.lit("completed").alias("status"),
         F.lit(mode).alias("mode"),
         "selected_agents",
-        F.coalesce(F.transform("d", lambda x: x["doc_id"]), F.array().cast("array<string>")).alias("documents"),
+        F.coalesce("d", F.array().cast(f"array<{DOCUMENT_RECORD}>")).alias("documents"),
         "results",
         F.col("requested_at").alias("created_at"),
         F.col("requested_at").alias("updated_at"),

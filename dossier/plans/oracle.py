@@ -86,14 +86,47 @@ cons AS (
 
 _ON = lambda k: f"list_contains(agents, '{AGENTS[k]}')"
 BRIEFS = briefs()
-_MARKDOWN = (
-    f"{_m('report.title')} || chr(10) || chr(10) || '## Executive Summary' || chr(10) || conclusion || chr(10) || chr(10) || '## Key Findings' || chr(10) || "
-    "array_to_string(list_transform([lit_summary, inter_summary, adv_summary, conclusion], lambda x: '- ' || x), chr(10)) || chr(10) || chr(10) || "
-    "'## Clinical Briefing' || chr(10) || trial_summary || chr(10) || chr(10) || '## Plain Summary' || chr(10) || adv_summary || chr(10) || chr(10) || "
-    "'## Risks and Uncertainties' || chr(10) || array_to_string(list_transform(missing, lambda x: '- ' || x), chr(10)) || chr(10) || chr(10) || "
-    f"'## Disclaimer' || chr(10) || {_m('disclaimer')}"
-)
-MARKDOWN = f"CASE WHEN {_ON(5)} THEN {_MARKDOWN} ELSE {_m('report.title')} || chr(10) || chr(10) || {_m('disclaimer')} END"
+
+
+def markdown(lit: str = "lit_summary", inter: str = "inter_summary", adv: str = "adv_summary", conclusion: str = "conclusion", missing: str = "missing") -> str:
+    made = (
+        f"{_m('report.title')} || chr(10) || chr(10) || '## Executive Summary' || chr(10) || {conclusion} || chr(10) || chr(10) || '## Key Findings' || chr(10) || "
+        f"array_to_string(list_transform([{lit}, {inter}, {adv}, {conclusion}], lambda x: '- ' || x), chr(10)) || chr(10) || chr(10) || "
+        f"'## Clinical Briefing' || chr(10) || trial_summary || chr(10) || chr(10) || '## Plain Summary' || chr(10) || {adv} || chr(10) || chr(10) || "
+        f"'## Risks and Uncertainties' || chr(10) || array_to_string(list_transform({missing}, lambda x: '- ' || x), chr(10)) || chr(10) || chr(10) || "
+        f"'## Disclaimer' || chr(10) || {_m('disclaimer')}"
+    )
+    return f"CASE WHEN {_ON(5)} THEN {made} ELSE {_m('report.title')} || chr(10) || chr(10) || {_m('disclaimer')} END"
+
+
+MARKDOWN = markdown()
+
+# With a model's responses to some analyses, as tables.responses() has them.
+MERGED = f"""{BRIEFS},
+mi AS (SELECT *, request_id::BIGINT AS i FROM cons),
+ma AS (
+  SELECT *,
+    CASE WHEN {_ON(0)} AND i % 4 = 0 THEN 'Model''s passages for ' || request_id WHEN {_ON(0)} AND i % 4 = 1 THEN 'Newer passages for ' || request_id ELSE lit_summary END AS m_lit,
+    CASE WHEN {_ON(0)} AND i % 4 = 0 THEN 'high' WHEN {_ON(0)} AND i % 4 = 1 THEN 'medium' ELSE lit_confidence END AS m_lit_confidence,
+    CASE WHEN {_ON(0)} AND i % 4 = 0 THEN 0 WHEN {_ON(0)} AND i % 4 = 1 THEN 1 ELSE n_excerpts END AS m_excerpts,
+    CASE WHEN {_ON(0)} AND i % 4 > 1 THEN least(n, 4) ELSE 0 END AS m_evidence,
+    CASE WHEN {_ON(0)} AND i % 4 < 2 THEN 0 ELSE 1 END AS m_limitations,
+    CASE WHEN NOT {_ON(0)} OR i % 4 = 0 THEN NULL WHEN i % 4 = 1 THEN 'Quoted for ' || request_id ELSE substring(t1, 1, 280) END AS m_excerpt,
+    CASE WHEN NOT {_ON(0)} OR i % 4 = 0 THEN NULL WHEN i % 4 = 1 THEN 'report.pdf' ELSE name1 END AS m_document,
+    CASE WHEN NOT {_ON(0)} OR i % 4 = 0 THEN NULL WHEN i % 4 = 1 THEN 7 ELSE page1 END::INTEGER AS m_page,
+    CASE WHEN {_ON(1)} AND i % 3 = 1 THEN 'Model''s interactions for ' || request_id ELSE inter_summary END AS m_inter,
+    CASE WHEN {_ON(1)} AND i % 3 = 1 THEN NULL ELSE inter_confidence END AS m_inter_confidence,
+    CASE WHEN {_ON(1)} THEN CASE WHEN i % 3 = 1 OR n_inter > 0 THEN 'moderate' ELSE 'unclear' END END AS m_severity,
+    CASE WHEN {_ON(1)} THEN CASE WHEN i % 3 = 1 THEN 'Named by a model' WHEN n_inter > 0 THEN {_m("interaction.finding.match")} ELSE {_m("interaction.finding.none")} END END AS m_finding,
+    CASE WHEN {_ON(2)} AND i % 3 = 0 THEN 'Model''s safety notes for ' || request_id ELSE adv_summary END AS m_adv,
+    CASE WHEN {_ON(2)} AND i % 3 = 0 THEN 'high' ELSE adv_confidence END AS m_adv_confidence
+  FROM mi),
+mc AS (
+  SELECT *, {_ON(4)} AND i % 6 = 5 AS m_external,
+    CASE WHEN NOT {_ON(4)} THEN conclusion WHEN i % 6 = 5 THEN 'Model''s conclusion for ' || request_id ELSE trial_summary || ' ' || m_adv || {_m("consensus.conclusion")} END AS m_conclusion,
+    CASE WHEN {_ON(4)} AND i % 6 = 5 THEN ['first gap', 'second gap'] ELSE missing END AS m_missing
+  FROM ma)"""
+MERGED_MARKDOWN = markdown("m_lit", "m_inter", "m_adv", "m_conclusion", "m_missing")
 
 
 def interaction_findings(words: tuple[str, ...]) -> str:
@@ -204,7 +237,7 @@ ORACLE_SQL = {
       FROM cons JOIN reqs USING (request_id)""",
     "session_row_mapping": f"WITH {_SAVES} SELECT event_id, id, question, status, mode, {_AGENT_COUNT} AS n_agents, n_documents, k, created_at, updated_at FROM s",
     "session_upsert": f"{_LATEST} SELECT id, question, status, mode, k, created_at, updated_at FROM u",
-    "session_lookup": f"{_LATEST} SELECT id, status, has_results AS results_available FROM u WHERE id::BIGINT % 7 = 0",
+    "session_lookup": f"{_LATEST} SELECT id, status, has_results AS results_available FROM u",
     "recent_sessions": f"{_LATEST} SELECT id, status, created_at FROM u ORDER BY created_at DESC, id LIMIT 20",
     "session_mru": f"{_LATEST} SELECT id, status, updated_at AS saved_at FROM u ORDER BY updated_at DESC, id LIMIT 25",
     "session_cards": f"{_LATEST} SELECT id, mode, status, question, n_documents, {_AGENT_COUNT} AS n_agents, updated_at FROM u",
@@ -212,4 +245,47 @@ ORACLE_SQL = {
     "assemble_sessions": f"""{BRIEFS}, d AS (SELECT request_id, string_agg(doc_id, ',' ORDER BY doc_ordinal) AS documents FROM rd GROUP BY 1)
       SELECT request_id AS id, question, 'completed' AS status, 'demo' AS mode, len(agents)::BIGINT AS n_agents, coalesce(documents, '') AS documents, conclusion, TIMESTAMP '2024-01-01 00:00:00' AS created_at
       FROM cons LEFT JOIN d USING (request_id)""",
+    "top_chunks_postings": f"{TO_RANKED} SELECT request_id, rank, chunk_id, doc_ordinal, page, score FROM ranked",
+    "interaction_signal_chunks_custom": f"{briefs(interaction=('tion', 'licens', 'naus'))} SELECT request_id, rank, chunk_id FROM flags WHERE is_inter",
+    "adverse_signal_chunks_custom": f"{briefs(safety=('tion', 'licens', 'naus'))} SELECT request_id, rank, chunk_id FROM flags WHERE is_adv",
+    "prompt_chunks": f"""{BRIEFS}, p AS (
+      SELECT request_id, a.agent_id, rank, chunk_id, doc_name, page, score, text
+      FROM flags CROSS JOIN (VALUES ('{AGENTS[0]}'), ('{AGENTS[1]}'), ('{AGENTS[2]}'), ('{AGENTS[3]}')) a(agent_id)
+      WHERE agent_id IN ('{AGENTS[0]}', '{AGENTS[3]}') OR (agent_id = '{AGENTS[1]}' AND is_inter) OR (agent_id = '{AGENTS[2]}' AND is_adv)), o AS (
+      SELECT *, (row_number() OVER (PARTITION BY request_id, agent_id ORDER BY rank))::INTEGER AS item FROM p)
+      SELECT request_id, agent_id, item, chunk_id AS id, doc_name AS document_name, page, score, text FROM o JOIN cons USING (request_id)
+      WHERE item <= 6 AND list_contains(agents, agent_id)""",
+    "prompt_upstream": f"""{MERGED}, v AS (
+      SELECT *, unnest(['{AGENTS[4]}', '{AGENTS[5]}']) AS agent_id FROM mc), w AS (SELECT * FROM v WHERE list_contains(agents, agent_id))
+      SELECT request_id, agent_id, f.field, f.value FROM (
+        SELECT request_id, agent_id, unnest([
+          {{'field': 'literature.summary', 'value': m_lit}}, {{'field': 'literature.confidence', 'value': m_lit_confidence}}, {{'field': 'drug.summary', 'value': m_inter}},
+          {{'field': 'drug.findings[0].severityEstimate', 'value': m_severity}}, {{'field': 'adverse.summary', 'value': m_adv}}, {{'field': 'trial.summary', 'value': trial_summary}},
+          {{'field': 'trial.findings[0].keyFindings', 'value': CASE WHEN {_ON(3)} THEN {_lead(f"coalesce(t2, t1, {_m('trial.findings.none')})")} END}},
+          {{'field': 'debate.finalConsensus', 'value': CASE WHEN agent_id = '{AGENTS[5]}' THEN m_conclusion END}},
+          {{'field': 'debate.missingEvidence[0]', 'value': CASE WHEN agent_id = '{AGENTS[5]}' THEN m_missing[1] END}}]) AS f FROM w)""",
+    "merged_analyses": f"""{MERGED} SELECT request_id, m_lit AS literature, m_inter AS interaction, m_adv AS adverse, trial_summary AS trial,
+      m_lit_confidence AS literature_confidence, m_inter_confidence AS interaction_confidence, m_adv_confidence AS adverse_confidence, trial_confidence,
+      m_evidence::BIGINT AS n_evidence, m_limitations::BIGINT AS n_limitations, m_excerpt AS first_excerpt, m_document AS first_document, m_page AS first_page, m_finding AS finding FROM mc""",
+    "merged_consensus": f"""{MERGED} SELECT request_id, CASE WHEN NOT m_external THEN cons_confidence END AS confidence, m_conclusion AS conclusion, array_to_string(m_missing, '; ') AS missing_evidence,
+      CASE WHEN {_ON(4)} AND NOT m_external THEN {_m('consensus.agreement.question')} || question || '; ' || CASE WHEN m_excerpts > 0 THEN {_m('consensus.agreement.some')} ELSE {_m('consensus.agreement.sparse')} END ELSE '' END AS agreements,
+      CASE WHEN {_ON(4)} AND NOT m_external THEN CASE WHEN m_severity = 'moderate' THEN {_m('consensus.disagreement.moderate')} ELSE {_m('consensus.disagreement.none')} END ELSE '' END AS disagreements,
+      CASE WHEN {_ON(4)} AND NOT m_external THEN least(m_evidence, 3) ELSE 0 END::BIGINT AS n_evidence FROM mc""",
+    "merged_report": f"""{MERGED} SELECT request_id, CASE WHEN {_ON(5)} THEN m_conclusion ELSE {_m('report.disabled.executive')} END AS executive_summary,
+      CASE WHEN {_ON(5)} THEN array_to_string([m_lit, m_inter, m_adv, m_conclusion], '; ') ELSE '' END AS key_findings,
+      CASE WHEN {_ON(5)} THEN array_to_string(m_missing, '; ') ELSE {_m('report.disabled.risk')} END AS risks,
+      CASE WHEN {_ON(5)} THEN {_m('report.question')} || question || '?; ' || {_m('report.follow_up')} ELSE {_m('report.disabled.follow_up')} END AS follow_up_questions,
+      CASE WHEN {_ON(5)} THEN trial_summary || ' ' || m_inter ELSE {_m('report.disabled.text')} END AS clinical_briefing,
+      CASE WHEN {_ON(5)} THEN {_m('report.lay')} ELSE {_m('report.disabled.text')} END AS lay_summary,
+      CASE WHEN {_ON(5)} THEN m_evidence ELSE 0 END::BIGINT AS n_evidence, {MERGED_MARKDOWN} AS markdown,
+      CASE WHEN {_ON(5)} THEN CASE WHEN m_excerpts > 0 THEN m_excerpt ELSE {_m('report.finding.none')} END END AS finding,
+      CASE WHEN {_ON(5)} THEN CASE WHEN m_excerpts > 0 THEN m_document || ' p.' || coalesce(m_page::VARCHAR, 'n/a') ELSE {_m('report.source.none')} END END AS source,
+      CASE WHEN {_ON(5)} THEN m_lit_confidence END AS confidence FROM mc""",
+    "session_round_trip": f"""{MERGED}, d AS (
+        SELECT request_id, count(*) AS n_documents, arg_max(name, doc_ordinal) AS last_document, arg_max(substring(text, 1, 280), doc_ordinal) AS last_preview, sum(size_bytes)::BIGINT AS n_bytes
+        FROM rd JOIN docs USING (doc_id) GROUP BY 1)
+      SELECT request_id AS id, CASE WHEN i % 2 = 0 THEN 'draft' ELSE 'completed' END AS status, coalesce(n_documents, 0) AS n_documents, last_document, last_preview, coalesce(n_bytes, 0) AS n_bytes,
+        m_lit AS literature, m_inter AS interaction, m_adv AS adverse, trial_summary AS trial, m_conclusion AS conclusion, {MERGED_MARKDOWN} AS markdown,
+        CASE WHEN i % 2 = 0 THEN TIMESTAMP '2024-01-02 00:00:00' ELSE TIMESTAMP '2024-01-01 00:00:00' END AS updated_at
+      FROM mc LEFT JOIN d USING (request_id)""",
 }

@@ -9,8 +9,8 @@ from dossier.functions.text import excerpt, lead_sentences, sanitize
 from dossier.operators import analyses, responses, retrieval, sessions
 from dossier.plans.oracle import ORACLE_SQL
 from dossier.sources import requests as intake
-from dossier.sources import tables
-from dossier.sources.schemas import LITERATURE_RESPONSE
+from dossier.sources import storage, tables
+from dossier.sources.shared import shared_path
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -22,17 +22,26 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.top_chunks(_scored(spark, sf_dir))
+    return retrieval.top_chunks(_scored(spark, sf_dir), chunks=tables.chunks(spark, sf_dir))
+
+
+def _briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.with_chunks(tables.requests(spark, sf_dir), _ranked(spark, sf_dir))
 
 
 def _analysed(spark: SparkSession, sf_dir: str, **words) -> DataFrame:
-    return analyses.with_analyses(retrieval.with_chunks(tables.requests(spark, sf_dir), _ranked(spark, sf_dir)), **words)
+    return analyses.with_analyses(_briefs(spark, sf_dir), **words)
+
 
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analyses with a model's responses to some of them."""
+    return analyses.with_analyses(responses.with_responses(_briefs(spark, sf_dir), tables.responses(spark, sf_dir)))
 
-def _items(df: DataFrame, column: str, *fields: str) -> DataFrame:
-    """An array column of structs as rows, numbered from 1."""
+
+def _items(df: DataFrame, column: str, *fields: str, **renamed: str) -> DataFrame:
+    """An array column of structs as rows, numbered from 1. renamed: columns and the fields that they have."""
     each = df.select("request_id", F.posexplode(column).alias("pos", "e"))
-    return each.select("request_id", (F.col("pos") + 1).alias("item"), *(F.col(f"e.{f}").alias(f) for f in fields))
+    return each.select("request_id", (F.col("pos") + 1).alias("item"), *(F.col(f"e.{f}").alias(c) for c, f in {**dict(zip(fields, fields)), **renamed}.items()))
 
 
 def ingest_documents(spark, sf_dir):
@@ -108,9 +117,18 @@ def keyword_score(spark, sf_dir):
 
 
 def keyword_score_postings(spark, sf_dir):
+    return _by_postings(spark, sf_dir).filter("score > 0").select("request_id", "chunk_id", "score")
+
+
+def _by_postings(spark, sf_dir):
     return retrieval.score_by_postings(tables.requests(spark, sf_dir), tables.request_documents(spark, sf_dir), tables.chunks(spark, sf_dir))
 
 
+def top_chunks_postings(spark, sf_dir):
+    ranked = retrieval.top_chunks(_by_postings(spark, sf_dir), chunks=tables.chunks(spark, sf_dir))
+    return ranked.select("request_id", "rank", "chunk_id", "doc_ordinal", "page", "score")
+
+
 def top_chunks(spark, sf_dir):
     return _ranked(spark, sf_dir).select("request_id", "rank", "chunk_id", "doc_ordinal", "page", "score")
 
@@ -131,9 +149,9 @@ def evidence_items(spark, sf_dir):
     return _items(items, "evidence", "excerpt", "document_name", "page", "section", "relevance").withColumnRenamed("item", "rank")
 
 
-def _signal_chunks(column):
+def _signal_chunks(column, **words):
     def query(spark, sf_dir):
-        each = _analysed(spark, sf_dir).select("request_id", F.explode(column).alias("c"))
+        each = _analysed(spark, sf_dir, **words).select("request_id", F.explode(column).alias("c"))
         return each.select("request_id", F.col("c.rank").alias("rank"), F.col("c.chunk_id").alias("chunk_id"))
 
     return query
@@ -159,14 +177,14 @@ def literature_search(spark, sf_dir):
         lit["summary"].alias("summary"),
         lit["confidence"].alias("confidence"),
         F.size(lit["evidence"]).cast("long").alias("n_evidence"),
-        F.size(lit["excerpts"]).cast("long").alias("n_excerpts"),
+        F.size(lit["top_relevant_excerpts"]).cast("long").alias("n_excerpts"),
         F.get(lit["limitations"], F.lit(0)).alias("limitation"),
         F.get(lit["warnings"], F.lit(0)).alias("warning"),
     )
 
 
 def literature_excerpts(spark, sf_dir):
-    return _items(_analysed(spark, sf_dir), "literature.excerpts", "excerpt", "document_name", "page", "section", "reason")
+    return _items(_analysed(spark, sf_dir), "literature.top_relevant_excerpts", "excerpt", "document_name", "page", "section", reason="relevance_explanation")
 
 
 def _screen(column):
@@ -185,11 +203,11 @@ def _screen(column):
 
 
 def _interaction_findings(**words):
-    return lambda spark, sf_dir: _items(_analysed(spark, sf_dir, **words), "interaction.findings", "interaction", "severity", "uncertainty", "notes", "evidence").drop("item")
+    return lambda spark, sf_dir: _items(_analysed(spark, sf_dir, **words), "interaction.findings", "notes", "evidence", interaction="possible_interaction", severity="severity_estimate", uncertainty="uncertainty_level").drop("item")
 
 
 def _adverse_findings(**words):
-    return lambda spark, sf_dir: _items(_analysed(spark, sf_dir, **words), "adverse.findings", "event", "source_evidence", "confidence")
+    return lambda spark, sf_dir: _items(_analysed(spark, sf_dir, **words), "adverse.findings", "source_evidence", event="adverse_event", confidence="confidence_level")
 
 
 def trial_summary(spark, sf_dir):
@@ -203,25 +221,34 @@ def consensus(spark, sf_dir):
     return _analysed(spark, sf_dir).select(
         "request_id",
         F.col("consensus.confidence").alias("confidence"),
-        F.col("consensus.conclusion").alias("conclusion"),
+        F.col("consensus.final_consensus").alias("conclusion"),
         *(F.array_join(f"consensus.{c}", "; ").alias(c) for c in lists),
         F.size("consensus.evidence").cast("long").alias("n_evidence"),
     )
 
 
-def report(spark, sf_dir):
-    texts, lists = ("executive_summary", "clinical_briefing", "lay_summary"), ("key_findings", "risks", "follow_up_questions")
-    return _analysed(spark, sf_dir).select(
-        "request_id", *(F.col(f"report.{c}").alias(c) for c in texts), *(F.array_join(f"report.{c}", "; ").alias(c) for c in lists), F.size("report.evidence").cast("long").alias("n_evidence")
+def _report(analysed, *more):
+    texts = {"executive_summary": "executive_summary", "clinical_briefing": "physician_briefing", "lay_summary": "patient_friendly_summary"}
+    lists = {"key_findings": "key_findings", "risks": "risks_and_uncertainties", "follow_up_questions": "recommended_follow_up_questions"}
+    return analysed.select(
+        "request_id",
+        *(F.col(f"report.{f}").alias(c) for c, f in texts.items()),
+        *(F.array_join(f"report.{f}", "; ").alias(c) for c, f in lists.items()),
+        F.size("report.evidence").cast("long").alias("n_evidence"),
+        *more,
     )
 
 
+def report(spark, sf_dir):
+    return _report(_analysed(spark, sf_dir))
+
+
 def report_evidence_table(spark, sf_dir):
-    return _items(_analysed(spark, sf_dir), "report.evidence_table", "topic", "finding", "source", "confidence").drop("item")
+    return _items(_analysed(spark, sf_dir), "report.evidence_table", "topic", "finding", "confidence", source="supporting_source").drop("item")
 
 
 def report_markdown(spark, sf_dir):
-    return _analysed(spark, sf_dir).select("request_id", F.col("report.markdown").alias("markdown"))
+    return _analysed(spark, sf_dir).select("request_id", F.col("report.markdown_report").alias("markdown"))
 
 
 def citation_table(spark, sf_dir):
@@ -232,11 +259,11 @@ def analysis_bundle(spark, sf_dir):
     r = F.col("results")
     return analyses.bundle(_analysed(spark, sf_dir)).select(
         "request_id",
-        r["literature"]["confidence"].alias("literature"),
-        F.size(r["literature"]["excerpts"]).cast("long").alias("n_excerpts"),
-        *(r[c]["summary"].alias(c) for c in ("interaction", "adverse", "trial")),
-        r["consensus"]["conclusion"].alias("conclusion"),
-        r["report"]["markdown"].alias("markdown"),
+        r["literature_search"]["confidence"].alias("literature"),
+        F.size(r["literature_search"]["top_relevant_excerpts"]).cast("long").alias("n_excerpts"),
+        *(r[c]["summary"].alias(c.split("_")[1] if c == "drug_interaction" else c.split("_")[0]) for c in ("drug_interaction", "adverse_reaction", "trial_summarizer")),
+        r["debate_consensus"]["final_consensus"].alias("conclusion"),
+        r["report_generation"]["markdown_report"].alias("markdown"),
     )
 
 
@@ -245,6 +272,53 @@ def prompt_payloads(spark, sf_dir):
     return prompts.select("request_id", "agent_id", "system", F.get_json_object("user", "$.question").alias("question"), "n_chunks")
 
 
+def prompt_chunks(spark, sf_dir):
+    """The passages that each prompt has, from its JSON."""
+    prompts = analyses.prompt_payloads(_analysed(spark, sf_dir))
+    chunks = F.from_json(F.get_json_object("user", "$.chunks"), "array<struct<id:string,documentName:string,page:int,text:string,score:int>>")
+    each = prompts.select("request_id", "agent_id", F.posexplode(chunks).alias("pos", "c"))
+    return each.select("request_id", "agent_id", (F.col("pos") + 1).alias("item"), "c.id", F.col("c.documentName").alias("document_name"), "c.page", "c.score", "c.text")
+
+
+def prompt_upstream(spark, sf_dir):
+    """What consensus and report are told of the analyses before them, a field a row, from the prompts' JSON."""
+    prompts = analyses.prompt_payloads(_merged(spark, sf_dir))
+    paths = ("literature.summary", "literature.confidence", "drug.summary", "drug.findings[0].severityEstimate", "adverse.summary", "trial.summary", "trial.findings[0].keyFindings", "debate.finalConsensus", "debate.missingEvidence[0]")
+    fields = F.array(*(F.struct(F.lit(p).alias("field"), F.get_json_object("user", f"$.{p}").alias("value")) for p in paths))
+    each = prompts.filter("n_chunks is null").select("request_id", "agent_id", F.explode(fields).alias("f"))
+    return each.select("request_id", "agent_id", "f.*")
+
+
+def merged_analyses(spark, sf_dir):
+    """Summaries and confidences with a model's responses to some analyses."""
+    merged = _merged(spark, sf_dir)
+    first = F.get(F.col("literature.top_relevant_excerpts"), F.lit(0))
+    return merged.select(
+        "request_id",
+        *(F.col(f"{c}.summary").alias(c) for c in analyses.COLUMNS[:4]),
+        *(F.col(f"{c}.confidence").alias(f"{c}_confidence") for c in analyses.COLUMNS[:4]),
+        F.size("literature.evidence").cast("long").alias("n_evidence"),
+        F.size("literature.limitations").cast("long").alias("n_limitations"),
+        first["excerpt"].alias("first_excerpt"),
+        first["document_name"].alias("first_document"),
+        first["page"].alias("first_page"),
+        F.get(F.col("interaction.findings"), F.lit(0))["possible_interaction"].alias("finding"),
+    )
+
+
+def merged_consensus(spark, sf_dir):
+    lists = ("missing_evidence", "agreements", "disagreements")
+    return _merged(spark, sf_dir).select(
+        "request_id", F.col("consensus.confidence").alias("confidence"), F.col("consensus.final_consensus").alias("conclusion"), *(F.array_join(f"consensus.{c}", "; ").alias(c) for c in lists), F.size("consensus.evidence").cast("long").alias("n_evidence")
+    )
+
+
+def merged_report(spark, sf_dir):
+    row = F.get(F.col("report.evidence_table"), F.lit(0))
+    more = (F.col("report.markdown_report").alias("markdown"), row["finding"].alias("finding"), row["supporting_source"].alias("source"), row["confidence"].alias("confidence"))
+    return _report(_merged(spark, sf_dir), *more)
+
+
 def merge_responses(spark, sf_dir):
     """Responses for the literature search: whole, without fields, corrupt, empty and absent in turn."""
     computed = _analysed(spark, sf_dir).select(
@@ -254,14 +328,14 @@ def merge_responses(spark, sf_dir):
     whole = F.to_json(F.struct(F.concat(F.lit("External summary "), "request_id").alias("summary"), F.lit("high").alias("confidence"), F.array().cast("array<string>").alias("limitations")))
     content = F.when(turn == 0, whole).when(turn == 1, "{}").when(turn == 2, '{"summary": ').when(turn == 3, "")
     given = tables.requests(spark, sf_dir).filter(turn != 4).select("request_id", F.lit("literature-search").alias("agent_id"), content.alias("content"))
-    merged = responses.merge_responses(computed, given, LITERATURE_RESPONSE)
+    merged = responses.merge_responses(computed, given, "summary string, confidence string, limitations array<string>")
     return merged.select("request_id", "external", "output.summary", "output.confidence", F.size("output.limitations").cast("long").alias("n_limitations"))
 
 
 def session_row_mapping(spark, sf_dir):
     rows = sessions.read_sessions(tables.saves(spark, sf_dir))
     counts = (F.size("selected_agents").cast("long").alias("n_agents"), F.size("documents").cast("long").alias("n_documents"))
-    return rows.select("event_id", "id", "question", "status", "mode", *counts, F.col("results.k").alias("k"), "created_at", "updated_at")
+    return rows.select("event_id", "id", "question", "status", "mode", *counts, F.col("results.debate_consensus.final_consensus").cast("int").alias("k"), "created_at", "updated_at")
 
 
 def _sessions(spark, sf_dir):
@@ -270,11 +344,12 @@ def _sessions(spark, sf_dir):
 
 
 def session_upsert(spark, sf_dir):
-    return _sessions(spark, sf_dir).select("id", "question", "status", "mode", F.col("results.k").alias("k"), "created_at", "updated_at")
+    return _sessions(spark, sf_dir).select("id", "question", "status", "mode", F.col("results.debate_consensus.final_consensus").cast("int").alias("k"), "created_at", "updated_at")
 
 
 def session_lookup(spark, sf_dir):
-    ids = tables.saves(spark, sf_dir).select("id").filter("cast(id as long) % 7 = 0").unionByName(spark.createDataFrame([("none such",)], "id string"))
+    """Every saved id, and one that was never saved."""
+    ids = tables.saves(spark, sf_dir).select("id").unionByName(spark.createDataFrame([("none such",)], "id string"))
     return sessions.lookup_sessions(_sessions(spark, sf_dir), ids).select("id", "status", "results_available")
 
 
@@ -294,11 +369,39 @@ def dashboard_stats(spark, sf_dir):
     return sessions.dashboard_stats(_sessions(spark, sf_dir))
 
 
+def session_round_trip(spark, sf_dir):
+    """Sessions assembled, stored, read, saved again with another status, and listed: an analysis of each a row."""
+    asked = tables.requests(spark, sf_dir)
+    records = sessions.document_records(tables.documents(spark, sf_dir))
+    made = sessions.assemble_sessions(asked, tables.request_documents(spark, sf_dir), analyses.bundle(_merged(spark, sf_dir)), documents=records)
+    path = shared_path(spark, "sessions")
+    storage.save_sessions(made, path)
+    stored = storage.load_sessions(spark, path)
+    again = stored.filter("cast(id as long) % 2 = 0").withColumn("status", F.lit("draft")).withColumn("updated_at", F.col("updated_at") + F.expr("interval 1 day"))
+    kept = sessions.upsert_sessions(stored, again)
+    r = F.col("results")
+    return kept.select(
+        "id",
+        "status",
+        F.size("documents").cast("long").alias("n_documents"),
+        F.try_element_at("documents", F.lit(-1))["name"].alias("last_document"),
+        F.try_element_at("documents", F.lit(-1))["preview"].alias("last_preview"),
+        F.aggregate("documents", F.lit(0).cast("long"), lambda n, d: n + d["size"]).alias("n_bytes"),
+        r["literature_search"]["summary"].alias("literature"),
+        r["drug_interaction"]["summary"].alias("interaction"),
+        r["adverse_reaction"]["summary"].alias("adverse"),
+        r["trial_summarizer"]["summary"].alias("trial"),
+        r["debate_consensus"]["final_consensus"].alias("conclusion"),
+        r["report_generation"]["markdown_report"].alias("markdown"),
+        "updated_at",
+    )
+
+
 def assemble_sessions(spark, sf_dir):
     asked = tables.requests(spark, sf_dir)
-    made = sessions.assemble_sessions(asked, tables.request_documents(spark, sf_dir), analyses.bundle(_analysed(spark, sf_dir)))
+    made = sessions.assemble_sessions(asked, tables.request_documents(spark, sf_dir), analyses.bundle(_analysed(spark, sf_dir))).withColumn("documents", F.col("documents.id"))
     return made.select(
-        "id", "question", "status", "mode", F.size("selected_agents").cast("long").alias("n_agents"), F.array_join("documents", ",").alias("documents"), F.col("results.consensus.conclusion").alias("conclusion"), "created_at"
+        "id", "question", "status", "mode", F.size("selected_agents").cast("long").alias("n_agents"), F.array_join("documents", ",").alias("documents"), F.col("results.debate_consensus.final_consensus").alias("conclusion"), "created_at"
     )
 
 
@@ -307,14 +410,16 @@ QUERIES = {
     for f in (
         ingest_documents, sanitize_text, document_preview, estimate_page_count, pick_sentences, chunk_documents, chunk_page_estimate, chunk_excerpts,
         request_intake, tokenize_question, token_weight, validate_requests, validate_requests_strict, remove_documents, append_documents,
-        keyword_score, keyword_score_postings, top_chunks, top_chunks_single, coverage_summary, evidence_items, signal_support, agent_confidence, gate_agents,
+        keyword_score, keyword_score_postings, top_chunks, top_chunks_postings, top_chunks_single, coverage_summary, evidence_items, signal_support, agent_confidence, gate_agents,
         literature_search, literature_excerpts, trial_summary, consensus, report, report_evidence_table, report_markdown, citation_table, analysis_bundle,
-        prompt_payloads, merge_responses, session_row_mapping, session_upsert, session_lookup, recent_sessions, session_mru, session_cards, dashboard_stats, assemble_sessions,
+        prompt_payloads, prompt_chunks, prompt_upstream, merge_responses, merged_analyses, merged_consensus, merged_report, session_row_mapping, session_upsert, session_lookup, recent_sessions, session_mru, session_cards, dashboard_stats, assemble_sessions, session_round_trip,
     )
 }
 QUERIES |= {
     "interaction_signal_chunks": _signal_chunks("interaction_chunks"),
+    "interaction_signal_chunks_custom": _signal_chunks("interaction_chunks", interaction_words=CUSTOM_WORDS),
     "adverse_signal_chunks": _signal_chunks("adverse_chunks"),
+    "adverse_signal_chunks_custom": _signal_chunks("adverse_chunks", safety_words=CUSTOM_WORDS),
     "interaction_screen": _screen("interaction"),
     "adverse_screen": _screen("adverse"),
     "interaction_findings": _interaction_findings(),

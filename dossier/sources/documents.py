@@ -24,10 +24,12 @@ def ingest_documents(raw: DataFrame) -> DataFrame:
 def chunk_documents(documents: DataFrame, chunk_chars: int = 1500) -> DataFrame:
     """Consecutive slices of each text: chunk_id, doc_id, doc_name, char_offset, page, text, lower_text.
 
-    An empty text has none, and the last slice may be short. The page is estimated from where the slice begins.
+    An empty or null text has none, and the last slice may be short. The page is estimated from where the slice begins.
     """
-    last = F.char_length("text") - 1
-    cut = documents.filter(F.char_length("text") > 0).select("doc_id", F.col("name").alias("doc_name"), "text", F.explode(F.sequence(F.lit(0), last, F.lit(chunk_chars))).alias("char_offset"))
+    n = F.char_length("text")
+    # An inner explode, or a filter of empty texts, would have Spark make the text twice: to test it, and to cut it.
+    offsets = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(chunk_chars)))
+    cut = documents.select("doc_id", F.col("name").alias("doc_name"), "text", F.explode_outer(offsets).alias("char_offset")).filter("char_offset is not null")
     chunk = F.substr("text", F.col("char_offset") + 1, F.lit(chunk_chars))
     return cut.select(
         F.concat_ws("-", "doc_id", "char_offset").alias("chunk_id"), "doc_id", "doc_name", "char_offset", pages_of(F.col("char_offset")).alias("page"), chunk.alias("text"), F.lower(chunk).alias("lower_text")

@@ -42,4 +42,4 @@ def save_reports(analysed: DataFrame, path: str) -> None:
 
 def save_markdown(analysed: DataFrame, path: str) -> None:
     """A folder of markdown text per request."""
-    analysed.select("request_id", F.col("report.markdown").alias("value")).write.mode("errorifexists").partitionBy("request_id").text(path)
+    analysed.select("request_id", F.col("report.markdown_report").alias("value")).write.mode("errorifexists").partitionBy("request_id").text(path)

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dossier.functions.values import AGENTS
+from dossier.functions.values import ADVERSE, AGENTS, CONSENSUS, INTERACTION, LITERATURE, TRIAL
 from dossier.sources.documents import chunk_documents, ingest_documents
+from dossier.sources.schemas import BUNDLE, DOCUMENT_RECORD
 
 #: When documents count as uploaded and requests as made, as the given tables have no such times.
 UPLOADED = "2024-01-01 00:00:00"
+#: Numbers of documents that are put in order together.
+BLOCK = 1 << 14
 #: Sources of documents; a request names all documents of one.
 SOURCES = 20
 
@@ -47,13 +50,44 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each request names the documents of one source, in order of their numbers. Documents are numbered once a source."""
-    order = Window.partitionBy("source").orderBy("doc_id")
-    numbered = _read(spark, sf_dir, "documents").select("source", F.row_number().over(order).alias("doc_ordinal"), F.col("doc_id").cast("string").alias("doc_id"))
+    """Each request names the documents of one source, in order of their numbers.
+
+    Documents are numbered once a source, in blocks of their numbers: within each, and behind all earlier ones, so that
+    no source is in one task.
+    """
+    docs = _read(spark, sf_dir, "documents").select("source", "doc_id", F.floor(F.col("doc_id") / BLOCK).alias("block"))
+    counts = docs.groupBy("source", "block").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    skipped = counts.select(F.col("source").alias("_source"), F.col("block").alias("_block"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("skipped"))
+    within = F.row_number().over(Window.partitionBy("source", "block").orderBy("doc_id"))
+    numbered = docs.withColumn("_within", within).join(skipped, (F.col("source") == F.col("_source")) & (F.col("block") == F.col("_block")))
+    numbered = numbered.select("source", (F.col("skipped") + F.col("_within")).cast("int").alias("doc_ordinal"), F.col("doc_id").cast("string").alias("doc_id"))
     wanted = _read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("request_id"), F.concat(F.lit("src"), F.col("item_id") % SOURCES).alias("source"))
     return wanted.join(numbered, "source").select("request_id", "doc_ordinal", "doc_id")
 
 
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses of a model to some analyses of each request, in JSON: whole, in parts, corrupt, empty, and several at a time."""
+    items = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("i"), F.col("item_id").cast("string").alias("request_id"))
+    at = lambda day: F.lit(f"2024-01-{day:02} 00:00:00").cast("timestamp")
+    text = lambda before: F.concat(F.lit(before), "request_id")
+    summary = lambda before: F.to_json(F.struct(text(before).alias("summary"), F.lit("high").alias("confidence")))
+    finding = F.array(F.struct(F.lit("Named by a model").alias("possibleInteraction"), F.lit("moderate").alias("severityEstimate")))
+    excerpt = F.array(F.struct(text("Quoted for ").alias("excerpt"), F.lit("report.pdf").alias("documentName"), F.lit(7).alias("page")))
+    cases = [
+        (F.col("i") % 4 == 0, LITERATURE, at(2), summary("Model's passages for ")),
+        (F.col("i") % 4 == 0, LITERATURE, at(3), F.lit('{"summary": "cut off')),
+        (F.col("i") % 4 == 1, LITERATURE, at(2), F.lit("{}")),
+        (F.col("i") % 4 == 1, LITERATURE, at(3), F.to_json(F.struct(text("Newer passages for ").alias("summary"), F.lit("medium").alias("confidence"), excerpt.alias("topRelevantExcerpts")))),
+        (F.col("i") % 3 == 0, ADVERSE, at(2), summary("Model's safety notes for ")),
+        (F.col("i") % 3 == 1, INTERACTION, at(2), F.to_json(F.struct(text("Model's interactions for ").alias("summary"), finding.alias("findings")))),
+        (F.col("i") % 3 == 2, TRIAL, at(2), F.lit("")),
+        (F.col("i") % 6 == 5, CONSENSUS, at(2), F.to_json(F.struct(text("Model's conclusion for ").alias("finalConsensus"), F.array(F.lit("first gap"), F.lit("second gap")).alias("missingEvidence")))),
+    ]
+    each = F.array(*(F.when(when, F.struct(F.lit(agent).alias("agent_id"), content.alias("content"), received.alias("received_at"))) for when, agent, received, content in cases))
+    return items.select("request_id", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("r")).select("request_id", "r.*")
+
+
 def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests as JSON bodies, as a client sends them."""
     listed = request_documents(spark, sf_dir).groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("doc_ordinal", "doc_id"))).alias("d"))
@@ -74,7 +108,10 @@ def saves(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = events.groupBy(F.col("user_id").alias("u")).agg(F.min("ts").alias("created_at"))
     user = F.col("user_id")
     agents = F.slice(F.array(*map(F.lit, AGENTS)), F.lit(1), (user % 6 + 1).cast("int"))
-    docs = F.transform(F.sequence(F.lit(1), (F.col("event_id") % 5 + 1).cast("int")), lambda k: F.concat(F.lit("doc"), k.cast("string")))
+    listed = F.transform(F.sequence(F.lit(1), (F.col("event_id") % 5 + 1).cast("int")), lambda k: F.struct(F.concat(F.lit("doc"), k.cast("string")).alias("id"), (k * 100).cast("long").alias("size")))
+    docs = F.from_json(F.to_json(listed), f"array<{DOCUMENT_RECORD}>")
+    # The number k stands as the conclusion of the results.
+    results = F.from_json(F.to_json(F.struct(F.struct(F.get_json_object("props", "$.k").alias("final_consensus")).alias("debate_consensus"))), BUNDLE)
     return events.join(first, user == F.col("u")).select(
         "event_id",
         user.cast("string").alias("id"),
@@ -83,7 +120,7 @@ def saves(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(user % 2 == 0, "authenticated").otherwise("demo").alias("mode"),
         F.when(user % 3 != 0, agents).alias("selected_agents"),
         F.when(user % 4 != 0, docs).alias("documents"),
-        F.when(F.col("event_id") % 10 != 0, F.from_json("props", "k int")).alias("results"),
+        F.when(F.col("event_id") % 10 != 0, results).alias("results"),
         F.col("created_at").cast("timestamp").alias("created_at"),
         F.col("ts").cast("timestamp").alias("updated_at"),
     )

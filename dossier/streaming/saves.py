@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dossier.operators.sessions import upsert_sessions
@@ -27,7 +26,6 @@ def upsert_stream(saves: DataFrame, store: str, checkpoint: str, trigger: dict |
 
     def save(batch: DataFrame, number: int) -> None:
         stored = read_snapshot(batch.sparkSession, store, number - 1, schema)
-        last = batch.groupBy(F.col("id").alias("_id")).agg(F.max_by(F.struct(*batch.columns), "updated_at").alias("_row")).select("_row.*")
-        upsert_sessions(stored, last).write.mode("overwrite").parquet(_snapshot(store, number))
+        upsert_sessions(stored, batch).write.mode("overwrite").parquet(_snapshot(store, number))
 
     return saves.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

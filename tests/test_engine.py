@@ -93,10 +93,10 @@ def test_confidence_follows_support(spark):
 
 def test_requests_without_chunks_and_disabled_analyses(spark):
     row = analysed(spark, "q", [""]).first()
-    assert row.literature.confidence == "low" and row.literature.excerpts == [] and row.report.evidence_table[0].finding
+    assert row.literature.confidence == "low" and row.literature.top_relevant_excerpts == [] and row.report.evidence_table[0].finding
     off = analysed(spark, "q", ["a rash"], agents=("report-generation", "unknown")).first()
     assert all(off[c].evidence == [] and off[c].confidence == "low" for c in analyses.COLUMNS[:5])
-    assert off.report.confidence == "medium" and off.report.risks == off.consensus.missing_evidence
+    assert off.report.confidence == "medium" and off.report.risks_and_uncertainties == off.consensus.missing_evidence
 
 
 def test_prompts_have_matched_chunks_only(spark):
@@ -145,4 +145,4 @@ def test_stored_tables(spark, sf_dir, tmp_path):
     storage.save_markdown(briefs, f"{tmp_path}/markdown")
     assert spark.read.parquet(f"{tmp_path}/reports").first().confidence == "medium"
     (text,) = pathlib.Path(f"{tmp_path}/markdown/request_id=r").glob("part-*")
-    assert text.read_text().strip() == briefs.first().report.markdown
+    assert text.read_text().strip() == briefs.first().report.markdown_report
