@@ -111,6 +111,91 @@ def test_responses_replace_valid_ones_only(spark):
     assert got == {"0": (True, "x", ["m"]), "1": (True, None, []), "2": (False, "own", ["l"]), "3": (False, "own", ["l"]), "4": (False, "own", ["l"])}
 
 
+def test_the_newest_valid_response_is_taken(spark):
+    import datetime
+
+    at = lambda day: datetime.datetime(2024, 1, day)
+    given = [("r", "a", '{"summary": "old"}', at(1)), ("r", "a", '{"summary": "new"}', at(3)), ("r", "a", "{zzz", at(9)), ("r", "a", None, at(9)), ("s", "a", "zzz{", at(1)), ("t", "a", '{"summary": "b"}', None), ("t", "a", '{"summary": "a"}', None)]
+    frame = spark.createDataFrame(given, "request_id string, agent_id string, content string, received_at timestamp")
+    assert {r.request_id: r.content for r in responses.newest_valid(frame).collect()} == {"r": '{"summary": "new"}', "t": '{"summary": "b"}'}
+    assert responses.newest_valid(frame.limit(0)).count() == 0
+
+
+def test_responses_reach_consensus_and_report(spark):
+    """All six analyses by a model, in the JSON that it writes; what it leaves out is null or empty."""
+    import json
+
+    rows = analysed(spark, "q", ["a rash"], words=()).select("request_id", "question", "selected_agents", "chunks")
+    said = {
+        "literature-search": {"agentName": "L", "summary": "found", "topRelevantExcerpts": [{"excerpt": "e", "documentName": "d", "page": 3, "relevanceExplanation": "why"}]},
+        "drug-interaction": {"summary": "inter", "findings": [{"possibleInteraction": "x with y", "severityEstimate": "moderate", "uncertaintyLevel": "low"}]},
+        "adverse-reaction": {"findings": [{"adverseEvent": "rash", "affectedPopulation": "all", "confidenceLevel": "high"}]},
+        "trial-summarizer": {"summary": "study", "findings": [{"studyObjective": "o", "keyFindings": "k"}]},
+        "unknown": {"summary": "no"},
+    }
+    given = spark.createDataFrame([("r", a, json.dumps(x)) for a, x in said.items()] + [("other", "trial-summarizer", "{}")], "request_id string, agent_id string, content string")
+    row = analyses.with_analyses(responses.with_responses(rows, given)).first()
+    assert row.literature.top_relevant_excerpts[0].relevance_explanation == "why" and row.literature.evidence == []
+    assert row.interaction.findings[0].uncertainty_level == "low" and row.adverse.findings[0].affected_population == "all" and row.trial.findings[0].key_findings == "k"
+    assert row.consensus.final_consensus.startswith("study ") and row.consensus.disagreements[0].startswith("An interaction")
+    assert row.report.key_findings[:3] == ["found", "inter", None] and row.report.evidence_table[0].supporting_source == "d p.3"
+    assert "None" not in row.report.markdown_report and "- found" in row.report.markdown_report
+    both = {"debate-consensus": {"finalConsensus": "agreed", "missingEvidence": ["gap"]}, "report-generation": {"markdownReport": "# all", "recommendedFollowUpQuestions": ["more?"]}}
+    last = spark.createDataFrame([("r", a, json.dumps(x)) for a, x in both.items()], "request_id string, agent_id string, content string")
+    row = analyses.with_analyses(responses.with_responses(rows, last)).first()
+    assert row.consensus.final_consensus == "agreed" and row.report.markdown_report == "# all" and row.report.recommended_follow_up_questions == ["more?"] and row.report.key_findings == []
+    row = analyses.with_analyses(responses.with_responses(rows.withColumn("selected_agents", F.array(F.lit("report-generation"))), given)).first()
+    assert row.literature.confidence == "low" and row.report.key_findings[0] == row.literature.summary != "found"
+
+
+def test_sessions_are_stored_whole(spark, tmp_path):
+    from dossier.sources import storage
+
+    docs = documents(spark, ["a rash", "b", None]).withColumn("uploaded_at", F.lit("2024-01-01").cast("timestamp"))
+    rows = analysed(spark, "q", ["a rash", "b", ""])
+    named = spark.createDataFrame([("r", 2, "0"), ("r", 1, "1"), ("r", 3, "gone")], "request_id string, doc_ordinal int, doc_id string")
+    asked = rows.select("request_id", "question", "selected_agents", F.lit("2024-01-01").cast("timestamp").alias("requested_at"))
+    made = sessions.assemble_sessions(asked, named, analyses.bundle(rows), documents=sessions.document_records(docs, texts=True))
+    storage.save_sessions(made, f"{tmp_path}/s")
+    read = storage.load_sessions(spark, f"{tmp_path}/s")
+    assert read.collect() == made.collect() and read.schema["results"].dataType == made.schema["results"].dataType
+    one = read.first()
+    assert [(d.id, d.name, d.text) for d in one.documents] == [("1", "d1", "b"), ("0", "d0", "a rash"), ("gone", None, None)]
+    assert one.results.report_generation.markdown_report == rows.first().report.markdown_report
+    both = sessions.upsert_sessions(read, made.withColumn("status", F.lit("draft")))
+    assert [r.status for r in both.collect()] == ["draft"] and both.select("results").collect() == made.select("results").collect()
+
+
+def test_equal_times_are_settled_alike_on_every_run(spark):
+    rows = spark.createDataFrame([("a", f"s{k}", None) for k in range(20)], "id string, status string, updated_at timestamp").withColumn("updated_at", F.lit("2024-01-01").cast("timestamp"))
+    found = {sessions.upsert_sessions(rows.limit(0), rows.repartition(n)).first().status for n in (1, 3, 7)}
+    assert len(found) == 1
+    saved = rows.withColumnRenamed("updated_at", "saved_at")
+    assert len({sessions.most_recent(saved.repartition(n)).first().status for n in (1, 3, 7)}) == 1
+
+
+def test_joins_beyond_the_broadcast_bound(spark, sf_dir, monkeypatch):
+    from dossier.operators import broadcasts
+    from dossier.plans.registry import QUERIES
+
+    names = ("keyword_score", "keyword_score_postings", "top_chunks", "top_chunks_postings")
+    want = {n: sorted(QUERIES[n](spark, sf_dir).collect()) for n in names}
+    monkeypatch.setattr(broadcasts, "BROADCAST_BYTES", 0)
+    assert {n: sorted(QUERIES[n](spark, sf_dir).collect()) for n in names} == want
+
+
+def test_both_forms_rank_alike_with_zero_scores(spark):
+    requests = spark.createDataFrame([("r", "rash and zebra zebra", []), ("s", "nothing here", []), ("t", None, [])], "request_id string, question string, selected_agents array<string>")
+    named = spark.createDataFrame([(r, k + 1, str(k)) for r in "rst" for k in range(4)], "request_id string, doc_ordinal int, doc_id string")
+    chunks = chunk_documents(documents(spark, ["calm", "a crash of zebras " * 200, None, "x-ray"]))
+    plain = retrieval.top_chunks(retrieval.score_chunks(requests, named, chunks), chunks=chunks)
+    posted = retrieval.top_chunks(retrieval.score_by_postings(requests, named, chunks), chunks=chunks)
+    carried = retrieval.top_chunks(retrieval.score_chunks(requests, named, chunks))
+    columns = ("request_id", "rank", "chunk_id", "score", "text", "lower_text")
+    rows = [sorted(df.select(*columns).collect()) for df in (plain, posted, carried)]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) == 3 * 5 and {r.score for r in rows[0]} == {0, 6}
+
+
 def test_sessions(spark):
     made = "id string, updated_at timestamp, created_at timestamp, status string"
     rows = lambda *x: spark.createDataFrame([(i, *[F_TIME[t]] * 2, s) for i, t, s in x], made)
