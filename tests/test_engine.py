@@ -1,5 +1,6 @@
 """Edge cases and properties of the engine's operators, on rows made here."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from dossier.functions import text
@@ -231,3 +232,32 @@ def test_stored_tables(spark, sf_dir, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/reports").first().confidence == "medium"
     (text,) = pathlib.Path(f"{tmp_path}/markdown/request_id=r").glob("part-*")
     assert text.read_text().strip() == briefs.first().report.markdown_report
+
+
+def test_the_shared_folder(spark, monkeypatch):
+    """A local session may do with a temporary folder, a cluster's may not; what was written can be removed."""
+    import os
+
+    from dossier.sources import shared
+
+    table = shared.cut(spark.range(5), "five")
+    folder = shared.application_dir(spark).removeprefix("file://")
+    assert table.count() == 5 and os.path.isdir(folder)
+    shared.remove_tables(spark)
+    assert not os.path.exists(folder)
+
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("Context", (), {"master": "local-cluster[3,2,3000]", "getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Cluster)
+
+
+def test_widths_of_nested_rows(spark):
+    """The bound of broadcasts counts texts and lists inside structs, lists and maps."""
+    from dossier.operators import broadcasts
+
+    made = spark.createDataFrame([("abc", ("é", [1, 2]), [("x" * 9, 1)], {"k": "vw"}, None)], "a string, s struct<t:string,l:array<int>>, r array<struct<u:string,n:int>>, m map<string,string>, z array<string>")
+    want = 16 + (3 + 16) + (16 + 2 + 16 + 2 * 8 + 16) + (16 + (16 + 9 + 16 + 8)) + (16 + 1 + 16 + 16 + 2 + 16) + 16
+    assert made.select(broadcasts.row_bytes(made)).first()[0] == want
