@@ -1,93 +1,13 @@
-"""What the training-data operators share: the shared folder, lineage cuts, and bounded broadcasts."""
+"""What the training-data operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from dossier.operators.broadcasts import bounded_broadcast
+from dossier.sources.shared import cut, remove_tables, shared_dir, shared_path
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+__all__ = ["MAX_TASKS", "WORD", "bounded_broadcast", "cut", "remove_tables", "shared_dir", "shared_path"]
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bytes of a table that may be broadcast, as row_bytes() counts them.
-BROADCAST_BYTES = 64 << 20
 #: Tasks that files are dealt to, at most.
 MAX_TASKS = 10_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, as the session names it in spark.checkpoint.dir.
-
-    Where that is unset, a temporary folder takes its place in a local session; on a cluster that is an error, as
-    executors don't see one another's folders.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def _own_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/dossier-{spark.sparkContext.applicationId}"
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in this application's part of the shared folder."""
-    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def remove_tables(spark: SparkSession) -> None:
-    """Deletes all that this application has written to the shared folder.
-
-    Results of operators read such tables, so call this once the results are written elsewhere. Token files and archives
-    that were given a folder of their own stay.
-    """
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: the plan ends there, and lost executors lose nothing."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _fixed_width(kind: T.DataType) -> int | None:
-    """Bytes of a value, about; None if it depends on the value."""
-    if isinstance(kind, T.StructType):
-        widths = [_fixed_width(f.dataType) for f in kind.fields]
-        return None if None in widths else 16 + sum(widths)
-    return None if isinstance(kind, T.StringType | T.BinaryType | T.ArrayType | T.MapType) else 8
-
-
-def _width(value: Column, kind: T.DataType) -> Column:
-    fixed = _fixed_width(kind)
-    if fixed is not None:
-        return F.lit(fixed).cast("long")
-    if isinstance(kind, T.StructType):
-        return sum((_width(value[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("long"))
-    if isinstance(kind, T.StringType | T.BinaryType):
-        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 16
-    if isinstance(kind, T.MapType):
-        return _width(F.map_keys(value), T.ArrayType(kind.keyType)) + _width(F.map_values(value), T.ArrayType(kind.valueType))
-    fixed = _fixed_width(kind.elementType)
-    if fixed is not None:
-        return F.coalesce(F.size(value), F.lit(0)).cast("long") * fixed + 16
-    return F.coalesce(F.aggregate(value, F.lit(16).cast("long"), lambda total, x: total + _width(x, kind.elementType)), F.lit(16).cast("long"))
-
-
-def row_bytes(df: DataFrame) -> Column:
-    """Bytes of a row of df, from its lengths of texts and lists."""
-    return sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16).cast("long"))
-
-
-def bounded_broadcast(df: DataFrame, most: int | None = None) -> DataFrame | None:
-    """df with a broadcast hint if its rows have at most so many bytes together, else None: the caller joins another way."""
-    size = df.agg(F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()[0]
-    return F.broadcast(df) if size <= (BROADCAST_BYTES if most is None else most) else None

@@ -25,7 +25,7 @@ GRAM = 64
 #: Windows taken at once from a longer text.
 CHUNK = 4 << 20
 #: Different surroundings of one anchor that are put in order together; those of more frequent anchors are parted first.
-KINDS = 512
+KINDS = 256
 #: Bytes of surroundings that are put in suffix order together.
 COLLECTION = 1 << 20
 

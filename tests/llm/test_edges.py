@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.llm import chat, common, contamination, mixing, quality, repeats, simhash, token_counts, token_store, toxicity, warc
+from dossier.llm import chat, contamination, mixing, quality, repeats, simhash, token_counts, token_store, toxicity, warc
 
 DOCS = "doc_id long, text string, source string, target string, _row string, id long, rank int"
 LONG = "lorem ipsum dolor sit amet " * 4000
@@ -185,11 +185,12 @@ def test_parted_anchors_equal_brute_force(spark, monkeypatch):
 
 
 def test_long_lists_of_few_documents_are_not_broadcast(spark, docs, monkeypatch):
-    from dossier.llm.common import bounded_broadcast
+    from dossier.operators import broadcasts
+    from dossier.operators.broadcasts import bounded_broadcast
 
     want = sorted(map(str, repeats.without_repeats(docs).collect()))
     seen = []
-    monkeypatch.setattr(common, "BROADCAST_BYTES", 1)
+    monkeypatch.setattr(broadcasts, "BROADCAST_BYTES", 1)
     monkeypatch.setattr(repeats, "bounded_broadcast", lambda *a: seen.append((a[0].columns, bounded_broadcast(*a))) or seen[-1][1])
     assert sorted(map(str, repeats.without_repeats(docs).collect())) == want
     assert [found for columns, found in seen if "spans" in columns] == [None]
@@ -198,31 +199,6 @@ def test_long_lists_of_few_documents_are_not_broadcast(spark, docs, monkeypatch)
     assert bounded_broadcast(lists, size - 1) is None and bounded_broadcast(lists, size) is not None
 
 
-def test_the_shared_folder(spark, monkeypatch):
-    """A local session may do with a temporary folder, a cluster's may not; what was written can be removed."""
-    import os
-
-    table = common.cut(spark.range(5), "five")
-    folder = common._own_dir(spark).removeprefix("file://")
-    assert table.count() == 5 and os.path.isdir(folder)
-    common.remove_tables(spark)
-    assert not os.path.exists(folder)
-
-    class Cluster:
-        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
-        sparkContext = type("Context", (), {"master": "local-cluster[3,2,3000]", "getCheckpointDir": staticmethod(lambda: None)})
-
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        common.shared_dir(Cluster)
-
-
-def test_widths_of_nested_rows(spark):
-    """The bound of broadcasts counts texts and lists inside structs, lists and maps."""
-    made = spark.createDataFrame([("abc", ("é", [1, 2]), [("x" * 9, 1)], {"k": "vw"}, None)], "a string, s struct<t:string,l:array<int>>, r array<struct<u:string,n:int>>, m map<string,string>, z array<string>")
-    want = 16 + (3 + 16) + (16 + 2 + 16 + 2 * 8 + 16) + (16 + (16 + 9 + 16 + 8)) + (16 + 1 + 16 + 16 + 2 + 16) + 16
-    assert made.select(common.row_bytes(made)).first()[0] == want
-
-
 def test_chats(spark):
     turns = spark.createDataFrame(
         [(1, 0, "ann", "hi"), (1, 1, "bob", "yo <|end|>"), (1, 1, "bob", "yo <|end|>"), (1, None, None, None), (None, 0, "x", "alone"), (1, 300, "ann", "late")], "conv_id long, turn long, role string, text string"
