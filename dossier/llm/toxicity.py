@@ -216,7 +216,10 @@ def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, machine: Machine, limit: float = 0.5) -> DataFrame:
     """docs without the rows that score at or above the limit, whatever their doc_id; null and empty texts score as in
-    score_toxicity(). All columns stay as they are."""
+    score_toxicity(). All columns stay as they are. A machine that has learnt no terms, as it saw one class or none, drops
+    nothing."""
+    if not len(machine.terms):
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -128,23 +129,29 @@ def test_toxicity_scores(spark, sf_dir, texts):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
 
 
-def test_toxicity_scores_equal_the_machine_by_hand(spark, sf_dir, texts):
-    """Scores from the machine's terms, weights and factors, summed term by term and pair by pair in plain Python."""
+def score_by_hand(machine, text):
+    """A score from the machine's terms, weights and factors, summed term by term and pair by pair in plain Python."""
     import math
 
     from dossier.llm import toxicity as t
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    machine = t.train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     at = {int(x): k for k, x in enumerate(machine.terms)}
-    weights, factors = machine.weights.tolist(), machine.factors.tolist()
+    words = {w.strip(t._EDGES) for w in (text or "").lower().split()} - {""}
+    buckets = {b for w in words for b in (zlib.crc32(w.encode()) % t.BUCKETS, *(zlib.crc32(w[:n].encode(), n) % t.BUCKETS for n in t.BEGINNINGS if len(w) >= n))}
+    found = sorted(at[b] for b in buckets if b in at)
+    factors = machine.factors.tolist()
+    margin = machine.bias + sum(machine.weights[k] for k in found)
+    margin += sum(sum(x * y for x, y in zip(factors[a], factors[b])) for i, a in enumerate(found) for b in found[:i])
+    return 1 / (1 + math.exp(-max(-30, min(30, margin))))
+
+
+def test_toxicity_scores_equal_the_machine_by_hand(spark, sf_dir, texts):
+    from dossier.llm import toxicity as t
+
+    machine = t.train_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scores = {r.doc_id: r.score for r in QUERIES["op3_toxicity_scores"](spark, sf_dir).collect()}
     for doc_id, text in list(texts.items())[::4]:
-        found = sorted({at[b] for w in text.lower().split() if (word := w.strip(t._EDGES)) for b in {zlib.crc32(word.encode()) % t.BUCKETS, *(zlib.crc32(word[:n].encode(), n) % t.BUCKETS for n in t.BEGINNINGS if len(word) >= n)} if b in at})
-        margin = machine.bias + sum(weights[k] for k in found)
-        for i, a in enumerate(found):
-            margin += sum(x * y for b in found[:i] for x, y in zip(factors[a], factors[b]))
-        assert scores[doc_id] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, margin)))), abs=1e-6)
+        assert scores[doc_id] == pytest.approx(score_by_hand(machine, text), abs=1e-6)
 
 
 def test_toxicity_learns_what_only_pairs_say(spark):
@@ -245,28 +252,78 @@ def test_token_files(spark, sf_dir, texts):
         start += len(ids)
 
 
-def test_pipeline(spark, sf_dir):
-    """Each stage against what it is to do to its own input."""
+def contains(text, item):
+    """Whether the text has four fifths of the item's five-word shingles, or of its own words if they are fewer."""
+    own = item.lower().split()
+    width = min(5, len(own))
+    cut = lambda words: {tuple(words[k : k + width]) for k in range(len(words) - width + 1)}
+    return bool(own) and len(cut(own) & cut(text.lower().split())) >= 0.8 * len(cut(own)) - 1e-9
+
+
+def check_stages(spark, sf_dir, folder):
+    """Every stage of the pipeline over a folder of tables, against what it is to do to its own input, made without it."""
     import corpus_pipeline
-    from dossier.llm import contamination, mixing, simhash, toxicity
-    from pyspark.sql import functions as F
+    from dossier.llm import mixing, toxicity
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     seen = [docs]
-    for _, stage in corpus_pipeline.STAGES:
-        seen.append(stage(spark, seen[-1], sf_dir).cache())
-    given, clean, single, apart, mixed, tokens = seen
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, seen[-1], sf_dir).write.parquet(f"{folder}/stage{k}")
+        seen.append(spark.read.parquet(f"{folder}/stage{k}"))
     assert all(df.columns == docs.columns for df in seen[:-1])
-    machine = toxicity.train_toxicity(given, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    wanted = {r.doc_id for r in toxicity.score_toxicity(given, machine).filter("score < 0.5").collect()}
-    assert {r.doc_id for r in clean.collect()} == wanted
-    prints = {r.doc_id: fingerprint(r.text) for r in clean.collect()}
-    assert sorted(r.doc_id for r in single.collect()) == sorted(set(components(prints).values()))
-    leaks = {r.doc_id for r in contamination.contained_items(single, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
-    assert leaks and {r.doc_id for r in apart.collect()} == {r.doc_id for r in single.collect()} - leaks
-    repeats = {r.doc_id: r.repeats for r in mixing.with_repeats(apart, mixing.plan_mixture(apart)).collect()}
-    assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == {k: n for k, n in repeats.items() if n}
-    assert tokens.count() == mixed.count()
-    last = tokens.orderBy(F.desc("start")).first()
-    assert last.start + last.n_tokens == tokens.agg(F.sum("n_tokens")).first()[0]
-    assert simhash is not None
+    given, clean, single, apart, mixed, tokens = ([(r.doc_id, r.text if hasattr(r, "text") else r) for r in df.collect()] for df in seen)
+    count = collections.Counter
+
+    machine = toxicity.train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert count(clean) == count(x for x in given if not len(machine.terms) or score_by_hand(machine, x[1]) < 0.5)
+
+    prints = {k: fingerprint(text or "") for k, (_, text) in enumerate(clean)}
+    groups = collections.defaultdict(set)
+    for k, root in components(prints).items():
+        groups[root].add(clean[k])
+    firsts = [{x for x in g if (x[0] is None, x[0] or 0) == min((y is None, y or 0) for y, _ in g)} for g in groups.values()]
+    assert len(single) == len(groups) and all(sum(x in g for x in single) == 1 for g in firsts)
+
+    items = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    assert count(apart) == count((k, text) for k, text in single if not any(contains(text or "", item or "") for item in items))
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT doc_id, source, text FROM read_parquet('{folder}/stage2/*.parquet')")
+    wanted = {r[0]: r[1] for r in con.sql(f"SELECT doc_id, repeats FROM ({mixing.OP1_SQL})").fetchall()}
+    assert count(k for k, _ in mixed) == {k: n for k, n in wanted.items() if n}
+    assert all((k, text) in set(apart) for k, text in mixed)
+
+    tokenizer, start = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0
+    rows = sorted((r for _, r in tokens), key=lambda r: r.start)
+    order = sorted(mixed, key=lambda x: (x[0] is not None, x[0] or 0))
+    assert [r.doc_id for r in rows] == [k for k, _ in order]
+    for r, (_, text) in zip(rows, order):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    return given, clean, single, apart, mixed
+
+
+def test_pipeline(spark, sf_dir, tmp_path):
+    given, clean, single, apart, _ = check_stages(spark, sf_dir, tmp_path)
+    assert len(given) > len(single) > len(apart)
+
+
+def test_pipeline_on_odd_tables(spark, sf_dir, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, extra columns of clashing names; and empty tables."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row map<string,int>, score double, `repeats` string"
+    plain = [" ".join(f"{w}{n}" for n in range(30)) for w in "abcde"]
+    rows = [(1, plain[0]), (2, plain[0]), (3, None), (4, ""), (5, "  \n"), (None, plain[1]), (6, " ".join(f"w{n}" for n in range(60_000))), (7, plain[2] + " one two three four five six"), (8, plain[3])]
+    made = spark.createDataFrame([(k, t, None, "x" if n % 3 else None, None, {"k": n}, 1.0, None) for n, (k, t) in enumerate(rows)], schema)
+    spark.createDataFrame([(1, 0, 1), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/odd/labels.parquet")
+    spark.createDataFrame([(1, "One two three four five six"), (2, None), (None, "  ")], "item_id long, text string").write.parquet(f"{tmp_path}/odd/benchmark.parquet")
+    made.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    _, clean, single, apart, _ = check_stages(spark, f"{tmp_path}/odd", f"{tmp_path}/odd-stages")
+    assert len(clean) == len(rows) and {k for k, _ in single} - {k for k, _ in apart} == {7}
+    assert sorted((k or 0 for k, _ in single)) == [0, 1, 3, 6, 7, 8]
+    for table in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/odd/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{table}.parquet")
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
