@@ -1,10 +1,12 @@
-"""Suffix order of a collection of strings, built column by column.
+"""Suffix order and common prefixes of a collection of strings, built column by column.
 
 The strings' last symbols are inserted first; each round inserts, for every string that still has one, the symbol
 before its last inserted suffix. The Burrows-Wheeler transform holds each suffix's preceding symbol, and a stable sort
-of it by symbol gives the place of every suffix one symbol longer (Bauer, Cox and Rosone, 2013). A symbol is WIDTH
-bytes, so that a string of n bytes takes n / WIDTH rounds; each string enters once for each of its first WIDTH starts,
-which puts every byte's suffix in the order.
+of it by symbol gives the place of every suffix one symbol longer (Bauer, Cox and Rosone, 2013). Suffixes that are in
+the order stay in it, and with them the common prefixes of neighbours; only the round's new suffixes have new ones: one
+symbol more than the least between the two suffixes that they and their neighbours extend. A symbol is WIDTH bytes, so
+that a string of n bytes takes n / WIDTH rounds; each string enters once for each of its first WIDTH starts, which puts
+every byte's suffix in the order.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from __future__ import annotations
 import numpy as np
 
 WIDTH = 4
+#: Symbols in common that are told apart.
+MOST_COMMON = 250
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -23,11 +27,23 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _least_between(values: np.ndarray, after: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """The least of values[after + 1 : to + 1], for each pair after < to: of two runs of a power of two that cover it."""
+    power = np.frexp((to - after).astype(np.float64))[1] - 1
+    out = np.empty(len(to), values.dtype)
+    least, width = values, 1
+    for k in range(int(power.max(initial=-1)) + 1):
+        own = np.flatnonzero(power == k)
+        out[own] = np.minimum(least[after[own] + 1], least[to[own] - width + 1])
+        least, width = np.minimum(least[:-width], least[width:]), 2 * width
+    return out
+
+
 def suffix_order(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in data (strings laid end to end) in the order of the suffixes of whole symbols that start there.
 
-    Also returns each place's symbol number. Places fewer than WIDTH bytes before the end of their string are not in
-    the order.
+    Also returns the symbols that each has in common with the one before it, up to MOST_COMMON. Places fewer than WIDTH
+    bytes before the end of their string are not in the order.
     """
     grams = _grams(data)
     _, codes = np.unique(grams, return_inverse=True)
@@ -39,30 +55,48 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> t
     begins = np.zeros(len(data) + WIDTH, bool)
     begins[first] = True
     # Empty suffixes stand for the strings' ends, in the order of the strings; they are kept apart from `order`.
-    order = np.zeros(0, np.int64)
-    for _ in range(int(whole.max(initial=0))):
-        transform = np.concatenate([ends, order[~begins[order]]]) - WIDTH
-        order = transform[np.argsort(codes[transform], kind="stable")]
-    return order, codes
+    order, common = np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    common_at, new = np.zeros(len(data), np.uint8), np.zeros(len(data), bool)
+    for length in range(1, int(whole.max(initial=0)) + 1):
+        extended = np.flatnonzero(~begins[order])
+        transform = np.concatenate([ends, order[extended]]) - WIDTH
+        sources = np.concatenate([np.full(len(ends), -1), extended])
+        by_symbol = np.argsort(codes[transform], kind="stable")
+        order = transform[by_symbol]
+        inserted = ends[whole >= length] - length * WIDTH
+        new[inserted] = True
+        at = np.flatnonzero(new[order])
+        new[inserted] = False
+        at = np.union1d(at, at + 1)  # new suffixes, and those behind them
+        at = at[at < len(order)]
+        common_at[order[at]] = 0
+        at = at[at > 0]
+        at = at[codes[order[at - 1]] == codes[order[at]]]
+        before, own = sources[by_symbol[at - 1]], sources[by_symbol[at]]
+        found = np.ones(len(at), np.uint8)
+        inner = np.flatnonzero(before >= 0)
+        found[inner] = np.minimum(_least_between(common, before[inner], own[inner]), MOST_COMMON - 1) + 1
+        common_at[order[at]] = found
+        common = common_at[order]
+    return order, common
 
 
 def repeated_windows(strings: list[bytes], weights: list[int], windows: list[int], size: int) -> list[np.ndarray]:
     """For each string, which of its first `windows` windows of `size` bytes are found twice or more in the collection.
 
-    A string of weight w counts w times. size is a multiple of WIDTH.
+    A string of weight w counts w times. size is a multiple of WIDTH, and MOST_COMMON symbols at most.
     """
     lengths = np.array([len(s) for s in strings])
     starts = np.cumsum(lengths) - lengths
     data = np.frombuffer(b"".join(strings), np.uint8)
     n = np.array(windows)
-    order, codes = suffix_order(data, starts, lengths)
+    order, common = suffix_order(data, starts, lengths)
     owner = np.repeat(np.arange(len(strings)), lengths)
-    order = order[order - starts[owner[order]] < n[owner[order]]]
-    same = np.arange(len(order) - 1)  # neighbours with a common prefix of all symbols so far
-    for k in range(0, size, WIDTH):
-        same = same[codes[order[same] + k] == codes[order[same + 1] + k]]
+    kept = np.flatnonzero(order - starts[owner[order]] < n[owner[order]])
+    order = order[kept]
     opens = np.ones(len(order), bool)
-    opens[same + 1] = False
+    if len(kept) > 1:
+        opens[1:] = np.minimum.reduceat(common[: kept[-1] + 1], kept[:-1] + 1) < size // WIDTH
     group = np.cumsum(opens) - 1
     total = np.bincount(group, np.array(weights)[owner[order]], minlength=1)
     found = np.zeros(len(data) + 1, bool)

@@ -445,6 +445,30 @@ def test_words_equal_the_library():
             assert part.tolist() == (encoder.tokenizer.encode(text, add_special_tokens=False).ids if text else []), text
 
 
+def test_suffix_order_and_common_prefixes():
+    """Places and common prefixes as sorting all suffixes gives them."""
+    import random
+
+    import numpy as np
+
+    from dossier.llm import column_bwt as c
+
+    rng = random.Random(8)
+    for _ in range(60):
+        strings = [bytes(rng.choice(b"ab\0\xff"[: rng.choice([2, 4])]) for _ in range(rng.randint(1, 60))) for _ in range(rng.randint(1, 7))]
+        strings += strings[: rng.randint(0, 2)]
+        lengths = np.array([len(s) for s in strings])
+        starts = np.cumsum(lengths) - lengths
+        order, common = c.suffix_order(np.frombuffer(b"".join(strings), np.uint8), starts, lengths)
+        whole = {int(a) + k: s[k : k + (len(s) - k) // 4 * 4] for a, s in zip(starts, strings) for k in range(len(s) - 3)}
+        assert sorted(order.tolist()) == sorted(whole)
+        symbols = {p: [s[k : k + 4] for k in range(0, len(s), 4)] for p, s in whole.items()}
+        found = [symbols[p] for p in order.tolist()]
+        assert found == sorted(found)
+        same = [0] * bool(found) + [next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(found, found[1:])]
+        assert common.tolist() == same
+
+
 def test_suffix_order_finds_repeats():
     import collections
     import random
