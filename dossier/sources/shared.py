@@ -32,13 +32,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there, wherever Spark can write."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def remove_tables(spark: SparkSession) -> None:
     """Deletes all that this application has written to its part of the shared folder.
 
     Results of operators read such tables, so call this once the results are written elsewhere.
     """
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(application_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, application_dir(spark))
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

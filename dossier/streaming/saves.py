@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from dossier.operators.sessions import upsert_sessions
+from dossier.sources.shared import remove
 
 
 def _snapshot(store: str, batch: int) -> str:
@@ -17,15 +18,18 @@ def read_snapshot(spark: SparkSession, store: str, batch: int, schema) -> DataFr
     return spark.read.schema(schema).parquet(_snapshot(store, batch)) if batch >= 0 else spark.createDataFrame([], schema)
 
 
-def upsert_stream(saves: DataFrame, store: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def upsert_stream(saves: DataFrame, store: str, checkpoint: str, trigger: dict | None = None, keep: int = 3) -> StreamingQuery:
     """Keeps the last save of each id. Batch n writes snapshot n from snapshot n - 1, which stays as it is.
 
-    A batch that is run again after a failure overwrites its own snapshot with the same rows.
+    A batch that is run again after a failure overwrites its own snapshot with the same rows. The last `keep` snapshots
+    stay, two at least: one that readers use, and one that a batch is made from.
     """
     schema = saves.schema
 
     def save(batch: DataFrame, number: int) -> None:
         stored = read_snapshot(batch.sparkSession, store, number - 1, schema)
         upsert_sessions(stored, batch).write.mode("overwrite").parquet(_snapshot(store, number))
+        if number >= max(2, keep):
+            remove(batch.sparkSession, _snapshot(store, number - max(2, keep)))
 
     return saves.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

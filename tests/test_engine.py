@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.functions import text
+from dossier.functions.messages import MESSAGES
 from dossier.functions.values import AGENTS
 from dossier.operators import analyses, responses, retrieval, sessions
 from dossier.sources import requests as intake
@@ -141,6 +142,10 @@ def test_responses_reach_consensus_and_report(spark):
     assert row.consensus.final_consensus.startswith("study ") and row.consensus.disagreements[0].startswith("An interaction")
     assert row.report.key_findings[:3] == ["found", "inter", None] and row.report.evidence_table[0].supporting_source == "d p.3"
     assert "None" not in row.report.markdown_report and "- found" in row.report.markdown_report
+    quoted = json.dumps({"evidence": [{"excerpt": "e", "documentName": "d"}, {"excerpt": "f", "documentName": "d", "section": "Methods"}]})
+    given_evidence = spark.createDataFrame([("r", "literature-search", quoted)], "request_id string, agent_id string, content string")
+    cited = analyses.citations(analyses.with_analyses(responses.with_responses(rows, given_evidence))).orderBy("item").collect()
+    assert [(r.source, r.location, r.excerpt) for r in cited] == [("d", MESSAGES["citation.location.none"], "e"), ("d", "Methods", "f")]
     both = {"debate-consensus": {"finalConsensus": "agreed", "missingEvidence": ["gap"]}, "report-generation": {"markdownReport": "# all", "recommendedFollowUpQuestions": ["more?"]}}
     last = spark.createDataFrame([("r", a, json.dumps(x)) for a, x in both.items()], "request_id string, agent_id string, content string")
     row = analyses.with_analyses(responses.with_responses(rows, last)).first()
