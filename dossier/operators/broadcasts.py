@@ -46,6 +46,9 @@ def bounded_broadcast(df: DataFrame, most: int | None = None) -> DataFrame | Non
 
 
 def few_or_all(df: DataFrame) -> DataFrame:
-    """df, broadcast if it is small enough; beyond that a join with it shuffles both sides by key."""
+    """df, broadcast if it is small enough; beyond that a join with it shuffles both sides by key.
+
+    df is read to be measured, so what is costly to make is better written to the shared folder first.
+    """
     few = bounded_broadcast(df)
     return df if few is None else few

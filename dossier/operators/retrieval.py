@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dossier.functions.text import excerpt, keyword_score, token_weight, tokenize
 from dossier.functions.values import STOP_WORDS, TOP_CHUNKS
 from dossier.operators.broadcasts import few_or_all
+from dossier.sources.shared import cut
 
 
 def question_tokens(requests: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
@@ -42,14 +43,15 @@ def top_chunks(scored: DataFrame, k: int = TOP_CHUNKS, chunks: DataFrame | None
     """The k best chunks of each request by score, then document order, then offset, with their rank.
 
     Spark keeps k rows of a request in each task before the shuffle. With chunks given, rows are ranked by their keys
-    alone, and the texts of those that are left are looked up; else texts are carried along, but the lower-cased ones.
+    alone, what is left is written to the shared folder, and its texts are looked up; else texts are carried along, but
+    the lower-cased ones.
     """
     best = Window.partitionBy("request_id").orderBy(F.desc("score"), "doc_ordinal", "char_offset")
     rank = F.row_number().over(best)
     if chunks is None:
         return scored.drop("lower_text").withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("lower_text", F.lower("text"))
     keys = scored.select("request_id", "doc_ordinal", "doc_id", "char_offset", "score").withColumn("rank", rank).filter(F.col("rank") <= k)
-    won = few_or_all(keys.withColumnsRenamed({"doc_id": "_doc", "char_offset": "_offset"}))
+    won = few_or_all(cut(keys.withColumnsRenamed({"doc_id": "_doc", "char_offset": "_offset"}), "top-chunks"))
     return chunks.join(won, (F.col("doc_id") == F.col("_doc")) & (F.col("char_offset") == F.col("_offset"))).drop("_doc", "_offset")
 
 
@@ -63,22 +65,29 @@ def score_by_postings(requests: DataFrame, request_documents: DataFrame, chunks:
 
     A token is in a text if and only if it is in one of the text's runs of a-z and 0-9. Each distinct run of all chunks
     is taken apart once into its substrings of such lengths as tokens have, and these are joined with the tokens by
-    equality; each chunk then has the tokens that its runs have. So no text is searched for a token of any request.
+    equality; each chunk then has the numbers of the tokens that its runs have, and a score is made of the numbers that
+    chunk and question share. So no text is searched for a token of any request.
     """
+    tokens = question_tokens(requests, stop_words)
+    number = F.row_number().over(Window.orderBy("token"))  # a row per distinct word of all questions
+    wanted = few_or_all(cut(tokens.select("token").distinct().withColumn("number", number), "question-words"))
+    lengths = sorted(r.n for r in tokens.select(F.char_length("token").alias("n")).distinct().collect())  # of words: a few dozen
+    weights = tokens.groupBy("request_id", "token").agg(F.sum("weight").cast("int").alias("weight")).join(wanted, "token")
+    by_weight = weights.groupBy("request_id", "weight").agg(F.collect_list("number").alias("numbers"))
+    asked = by_weight.groupBy(F.col("request_id").alias("_request")).agg(F.collect_list(F.struct("weight", "numbers")).alias("_tokens"))
+    asked = requests.select(F.col("request_id").alias("_id")).join(asked, F.col("_id") == F.col("_request"), "left").select(F.col("_id").alias("_request"), "_tokens")
+
     words = F.array_distinct(F.regexp_extract_all("lower_text", F.lit("[a-z0-9]+"), F.lit(0)))
     # An inner explode would have Spark split the text twice, to test the array's size before it explodes it.
     runs = chunks.select("doc_id", "char_offset", F.explode_outer(words).alias("run")).filter("run is not null")
-    wanted = question_tokens(requests, stop_words).select("token").distinct()
-    lengths = sorted(r.n for r in wanted.select(F.char_length("token").alias("n")).distinct().collect())  # of words: a few dozen
     parts = runs.select("run").distinct().withColumn("part", F.explode_outer(_substrings(F.col("run"), lengths)))
-    matches = parts.join(few_or_all(wanted), F.col("part") == F.col("token")).groupBy("run").agg(F.collect_set("token").alias("tokens"))
-    found = runs.join(few_or_all(matches.withColumnRenamed("run", "_run")), F.col("run") == F.col("_run"))
-    sets = found.groupBy(F.col("doc_id").alias("_doc"), F.col("char_offset").alias("_offset")).agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("_found"))
+    matches = cut(parts.join(wanted, F.col("part") == F.col("token")).select(F.col("run").alias("_run"), "number"), "word-postings")
+    found = runs.join(few_or_all(matches), F.col("run") == F.col("_run"))
+    sets = found.groupBy(F.col("doc_id").alias("_doc"), F.col("char_offset").alias("_offset")).agg(F.collect_set("number").alias("_found"))
     keys = chunks.select("chunk_id", "doc_id", "char_offset", "page").join(sets, (F.col("doc_id") == F.col("_doc")) & (F.col("char_offset") == F.col("_offset")), "left").drop("_doc", "_offset")
-    scoped = _scoped(request_documents, keys, _asked(requests, stop_words))
-    met = F.filter("_tokens", lambda t: F.array_contains(F.col("_found"), t))
-    score = F.aggregate(F.coalesce(met, F.array().cast("array<string>")), F.lit(0), lambda total, t: total + token_weight(t))
-    return scoped.withColumn("score", score).drop("_tokens", "_found")
+    scoped = _scoped(request_documents, keys, few_or_all(asked))
+    score = F.aggregate("_tokens", F.lit(0), lambda total, x: total + x["weight"] * F.size(F.array_intersect(x["numbers"], F.col("_found"))))
+    return scoped.withColumn("score", F.when(F.col("_found").isNull() | F.col("_tokens").isNull(), 0).otherwise(score)).drop("_tokens", "_found")
 
 
 def _substrings(run: Column, lengths: list[int]) -> Column:

@@ -9,11 +9,12 @@ from dossier.operators.sessions import read_sessions
 from dossier.sources import schemas
 from dossier.sources.documents import ingest_documents
 from dossier.sources.requests import request_intake
+from dossier.sources.shared import spread
 
 
 def load_documents(spark: SparkSession, path: str) -> DataFrame:
     """Extracted documents from Parquet, ingested."""
-    return ingest_documents(spark.read.schema(schemas.DOCUMENT).parquet(path))
+    return ingest_documents(spread(spark.read.schema(schemas.DOCUMENT).parquet(path)))
 
 
 def load_requests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

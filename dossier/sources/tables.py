@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dossier.functions.values import ADVERSE, AGENTS, CONSENSUS, INTERACTION, LITERATURE, TRIAL
 from dossier.sources.documents import chunk_documents, ingest_documents
 from dossier.sources.schemas import BUNDLE, DOCUMENT_RECORD
+from dossier.sources.shared import spread
 
 #: When documents count as uploaded and requests as made, as the given tables have no such times.
 UPLOADED = "2024-01-01 00:00:00"
@@ -22,7 +23,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
+    docs = spread(_read(spark, sf_dir, "documents"))
     return docs.select(
         F.col("doc_id").cast("string").alias("doc_id"),
         F.concat(F.col("source"), F.lit("-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"),
