@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.common import cut
+from dossier.llm.common import cut, spread
 
 #: Turn numbers, and turns, in one row of the output at most, so that no conversation has to fit in a task.
 PART_TURNS = 256
@@ -100,7 +100,7 @@ def perspectives(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
 
 def op5_perspective_chats(spark, sf_dir: str) -> DataFrame:
     """Every conversation from every participant's perspective."""
-    return perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return perspectives(spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
 OP5_SQL = r"""

@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import cut
+from dossier.llm.common import cut, spread
 from dossier.llm.simhash import shingle_hashes
 from dossier.llm.word_tokens import by_bytes
 
@@ -270,7 +270,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRE
 
 def op2_contained_items(spark, sf_dir: str) -> DataFrame:
     """Benchmark items that documents contain."""
-    return contained_items(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contained_items(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 OP2_SQL = r"""

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.common import WORD, bounded_broadcast, cut
+from dossier.llm.common import WORD, bounded_broadcast, cut, spread
 
 #: Salts for a table of sources too long to broadcast.
 SALTS = 64
@@ -142,7 +142,7 @@ def sample_mixture(docs: DataFrame, **settings) -> DataFrame:
 
 def op1_source_mix(spark, sf_dir: str) -> DataFrame:
     """What the mix takes of every document, in words."""
-    mixture = plan_mixture(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    mixture = plan_mixture(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     rows = with_repeats(mixture.sizes.drop("slice", "place"), mixture)
     return rows.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import WORD, bounded_broadcast, cut
+from dossier.llm.common import WORD, bounded_broadcast, cut, spread
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -113,5 +113,5 @@ def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, b
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Rule counts, likelihood ratio and verdict of every document."""
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return quality(docs, trusted).drop("text")

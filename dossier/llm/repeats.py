@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.column_bwt import repeated_windows
-from dossier.llm.common import bounded_broadcast, cut
+from dossier.llm.common import bounded_broadcast, cut, spread
 from dossier.llm.word_tokens import by_bytes
 
 SIZE = 200
@@ -324,6 +324,6 @@ def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
 def op4_repeated_bytes(spark, sf_dir: str) -> DataFrame:
     """What exact substring dedup removes of every document."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["b"] - s["a"])
-    return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
+    return without_repeats(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))).select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )

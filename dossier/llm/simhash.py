@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import cut
+from dossier.llm.common import cut, spread
 from dossier.llm.components import connected_components
 from dossier.llm.word_tokens import by_bytes
 
@@ -154,13 +154,16 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = cut(fingerprints(docs, F.xxhash64("text").alias("th")), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")).alias("least"))
-    kept = cut(_with_roots(nodes).groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.doc_id").alias("_kept"), F.col("k.th").alias("_kept_th")), "near-kept")
+    # A missing doc_id stands as the least long, so that the join and the choice of a row share one shuffle of the texts.
+    known = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
+    kept = cut(_with_roots(nodes).groupBy("root").agg(F.min("least").alias("k")).select(known(F.col("k.doc_id")).alias("_kept"), F.col("k.th").alias("_kept_th")), "near-kept")
     plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    given = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_th"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.xxhash64(*plain).alias("_order"))
-    same = F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_th") == F.col("_kept_th"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    given = docs.select(known(F.col("doc_id").cast("long")).alias("_id"), F.xxhash64("text").alias("_th"), row.alias("_row"), F.xxhash64(*plain).alias("_order"))
+    same = (F.col("_id") == F.col("_kept")) & (F.col("_th") == F.col("_kept_th"))
     return given.join(kept, same, "left_semi").groupBy("_id", "_th").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")
 
 
 def op9_simhash_components(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("fp")
+    return near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))).drop("fp")

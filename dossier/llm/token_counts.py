@@ -231,5 +231,5 @@ def op6_edited_token_counts(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    counted = count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks)
+    counted = count_tokens(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), ranks)
     return apply_edits(revisions(counted), ranks).select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "n_edits", "tokens_before", "tokens_after", "reencoded_chars")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm import dac
-from dossier.llm.common import MAX_TASKS, cut, shared_path
+from dossier.llm.common import MAX_TASKS, cut, shared_path, spread
 from dossier.llm.word_tokens import by_bytes, word_encoder
 
 #: Ends every document.
@@ -111,4 +111,4 @@ def tokens_on_disk(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 def op10_token_files(spark, sf_dir: str) -> DataFrame:
     """Every document's place, length and check sum in the token files."""
-    return tokens_on_disk(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return tokens_on_disk(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

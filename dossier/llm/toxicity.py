@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import cut
+from dossier.llm.common import cut, spread
 from dossier.llm.word_tokens import by_bytes
 
 #: Hash buckets of terms.
@@ -233,6 +233,6 @@ def drop_toxic(docs: DataFrame, machine: Machine, limit: float = 0.5) -> DataFra
 
 def op3_toxicity_scores(spark, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     scores = score_toxicity(docs, train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

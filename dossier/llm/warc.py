@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import MAX_TASKS, bounded_broadcast, cut, shared_path
+from dossier.llm.common import MAX_TASKS, bounded_broadcast, cut, shared_path, spread
 
 #: Payloads of fewer bytes are always written in full.
 MIN_REVISIT_BYTES = 100
@@ -242,7 +242,7 @@ def archived_pages(pages: DataFrame) -> DataFrame:
 
 def op7_warc_round_trip(spark, sf_dir: str) -> DataFrame:
     """Every page as its archive has it."""
-    return archived_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("url")
+    return archived_pages(spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))).drop("url")
 
 
 OP7_SQL = """
