@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,6 +55,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer parts than there are cores, as of one small file, dealt over all of them; any other as it is."""
+    """A scan of fewer parts than there are cores, as of one small file, dealt over all of them; any other as it is.
+
+    Parts are counted without reading a column.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = df.select(F.spark_partition_id().alias("part")).distinct().count()
+    return df.repartition(cores) if parts < cores else df
