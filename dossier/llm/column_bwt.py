@@ -1,10 +1,10 @@
 """Suffix order and common prefixes of a collection of strings, built column by column.
 
 The strings' last symbols are inserted first; each round inserts, for every string that still has one, the symbol
-before its last inserted suffix. The Burrows-Wheeler transform holds each suffix's preceding symbol, and a stable sort
-of it by symbol gives the place of every suffix one symbol longer (Bauer, Cox and Rosone, 2013). Suffixes that are in
-the order stay in it, and with them the common prefixes of neighbours; only the round's new suffixes have new ones: one
-symbol more than the least between the two suffixes that they and their neighbours extend. A symbol is WIDTH bytes, so
+before its last inserted suffix. Its place follows from its symbol and from the rank of the suffix that it extends, as
+in the Burrows-Wheeler transform of the collection (Bauer, Cox and Rosone, 2013). Suffixes that are in the order stay in
+it, and with them the common prefixes of neighbours; only the round's new suffixes have new ones: one symbol more than
+the least between the two suffixes that they and their neighbours extend. A symbol is WIDTH bytes, so
 that a string of n bytes takes n / WIDTH rounds; each string enters once for each of its first WIDTH starts, which puts
 every byte's suffix in the order.
 """
@@ -45,40 +45,44 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> t
     Also returns the symbols that each has in common with the one before it, up to MOST_COMMON. Places fewer than WIDTH
     bytes before the end of their string are not in the order.
     """
-    grams = _grams(data)
+    # Strings are laid apart, so that what stands before one, or behind it, is no place of another.
+    shift = np.repeat((np.arange(len(starts)) + 1) * WIDTH, lengths)
+    apart = np.zeros(len(data) + (len(starts) + 1) * WIDTH, np.uint8)
+    apart[np.arange(len(data)) + shift] = data
+    grams = _grams(apart)
     _, codes = np.unique(grams, return_inverse=True)
-    codes = codes.astype(np.uint16 if codes.max(initial=0) < 65_535 else np.uint32) + 1
-    first = (starts[:, None] + np.arange(WIDTH)).ravel()
+    codes = codes.astype(np.int64) << 32
+    first = (starts[:, None] + (np.arange(len(starts))[:, None] + 1) * WIDTH + np.arange(WIDTH)).ravel()
     whole = np.maximum((lengths[:, None] - np.arange(WIDTH)) // WIDTH, 0).ravel()
     first, whole = first[whole > 0], whole[whole > 0]
     ends = first + whole * WIDTH
-    begins = np.zeros(len(data) + WIDTH, bool)
-    begins[first] = True
-    # Empty suffixes stand for the strings' ends, in the order of the strings; they are kept apart from `order`.
-    order, common = np.zeros(0, np.int64), np.zeros(0, np.uint8)
-    common_at, new = np.zeros(len(data), np.uint8), np.zeros(len(data), bool)
+    order, common, symbols = np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    # Of each place, the rank of the suffix behind its symbol; strings' ends are empty suffixes, before all others.
+    rank_behind = np.zeros(len(apart), np.int64)
+    rank_behind[ends - WIDTH] = np.arange(len(ends)) - len(ends)
     for length in range(1, int(whole.max(initial=0)) + 1):
-        extended = np.flatnonzero(~begins[order])
-        transform = np.concatenate([ends, order[extended]]) - WIDTH
-        sources = np.concatenate([np.full(len(ends), -1), extended])
-        by_symbol = np.argsort(codes[transform], kind="stable")
-        order = transform[by_symbol]
+        rank_behind[order - WIDTH] = np.arange(len(order))
         inserted = ends[whole >= length] - length * WIDTH
-        new[inserted] = True
-        at = np.flatnonzero(new[order])
-        new[inserted] = False
-        at = np.union1d(at, at + 1)  # new suffixes, and those behind them
+        keys = codes[inserted] + rank_behind[inserted]
+        by_key = np.argsort(keys)
+        inserted = inserted[by_key]
+        at = np.searchsorted(symbols + rank_behind[order], keys[by_key])
+        order, symbols = np.insert(order, at, inserted), np.insert(symbols, at, codes[inserted])
+        extended, common = common, np.insert(common, at, 0)
+        at = at + np.arange(len(at))
+        at = np.concatenate([at, at + 1])  # new suffixes, and those behind them
         at = at[at < len(order)]
-        common_at[order[at]] = 0
+        common[at] = 0
         at = at[at > 0]
-        at = at[codes[order[at - 1]] == codes[order[at]]]
-        before, own = sources[by_symbol[at - 1]], sources[by_symbol[at]]
+        at = at[symbols[at - 1] == symbols[at]]
+        before, own = rank_behind[order[at - 1]], rank_behind[order[at]]
         found = np.ones(len(at), np.uint8)
         inner = np.flatnonzero(before >= 0)
-        found[inner] = np.minimum(_least_between(common, before[inner], own[inner]), MOST_COMMON - 1) + 1
-        common_at[order[at]] = found
-        common = common_at[order]
-    return order, common
+        found[inner] = np.minimum(_least_between(extended, before[inner], own[inner]), MOST_COMMON - 1) + 1
+        common[at] = found
+    back = np.zeros(len(apart), np.int64)
+    back[np.arange(len(data)) + shift] = np.arange(len(data))
+    return back[order], common
 
 
 def repeated_windows(strings: list[bytes], weights: list[int], windows: list[int], size: int) -> list[np.ndarray]:

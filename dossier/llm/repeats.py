@@ -27,7 +27,7 @@ CHUNK = 4 << 20
 #: Different surroundings of one anchor that are put in order together; those of more frequent anchors are parted first.
 KINDS = 256
 #: Bytes of surroundings that are put in suffix order together.
-COLLECTION = 1 << 20
+COLLECTION = 1 << 19
 
 _SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 _ANCHORS = "id long, th long, anchor long, content long, at long, n int"
