@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dossier.llm.common import spread
 from dossier.llm.word_tokens import by_bytes
 
 #: Pre-tokens in a leaf; a leaf that has grown to four times as many is divided.

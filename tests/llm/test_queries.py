@@ -32,6 +32,12 @@ def test_query_equals_sql(spark, sf_dir, con, name):
     assert_same(QUERIES[name](spark, sf_dir), con, ORACLE_SQL[name])
 
 
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
+def test_query_runs(spark, sf_dir, name):
+    """Every registered query, as it is registered."""
+    assert QUERIES[name](spark, sf_dir).count() > 0
+
+
 def test_repeated_bytes(spark, sf_dir, texts):
     data = {k: t.encode() for k, t in texts.items()}
     starts = collections.Counter(b[i : i + 200] for b in data.values() for i in range(len(b) - 199))
