@@ -21,15 +21,13 @@ MIN_REVISIT_BYTES = 100
 ARCHIVE_BYTES = 256 << 20
 #: Bytes read, and bytes inflated, at once.
 CHUNK = 1 << 18
-#: Bytes of a target URI at most: longer ones are cut, so that every head that is written can be read.
-TARGET_BYTES = 1 << 16
-#: Bytes of a record's head, or of the HTTP head in it, that the reader takes at most.
+#: Bytes of a record's head, or of the HTTP head in it, that the reader takes at most, if it isn't told of longer ones.
 HEAD_BYTES = 1 << 20
 #: The date of a record whose page has none.
 DATE = "2024-01-01T00:00:00Z"
 _END = b"\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_MANIFEST = "path string, n_records long, n_bytes long"
+_MANIFEST = "path string, n_records long, n_bytes long, head_bytes long"
 _RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, verified boolean"
 
 
@@ -56,7 +54,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     """One record, uncompressed. A revisit keeps the HTTP head, whose length is the full payload's, and no payload."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}".encode() + _END
     block = head if refers_to is not None else head + payload
-    target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "").encode()[:TARGET_BYTES].decode(errors="ignore")
+    target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
@@ -77,28 +75,31 @@ def write_archives(marked: DataFrame, folder: str, archive_bytes: int = ARCHIVE_
     """Writes the rows of mark_revisits(), a gzip member each, and returns the manifest of the archives.
 
     Archives get new names, and only those of tasks that succeeded are in the manifest, which is written out at once:
-    what lost or repeated tasks leave behind is never read. No pages: no archives.
+    what lost or repeated tasks leave behind is never read. head_bytes: the longest head in the archive, which a url can
+    make of any length. No pages: no archives.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(folder)
-        out, path, records, size = None, "", 0, 0
+        out, path, records, size, longest = None, "", 0, 0, 0
 
         def close() -> pa.RecordBatch:
             out.close()
-            return pa.RecordBatch.from_pydict({"path": [path], "n_records": [records], "n_bytes": [size]})
+            return pa.RecordBatch.from_pydict({"path": [path], "n_records": [records], "n_bytes": [size], "head_bytes": [longest]})
 
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True):
                 page_id, url, html, digest, refers_to = row
                 if out is None:
                     store.create_dir(base, recursive=True)
-                    path, records, size = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, 0
+                    path, records, size, longest = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, 0, 0
                     out = store.open_output_stream(path, compression=None)
                 packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-                data = packer.compress(record(page_id, url, (html or "").encode(), digest, refers_to)) + packer.flush()
+                whole = record(page_id, url, (html or "").encode(), digest, refers_to)
+                longest = max(longest, whole.index(_END))
+                data = packer.compress(whole) + packer.flush()
                 out.write(data)
                 records, size = records + 1, size + len(data)
                 if size >= archive_bytes:
@@ -130,10 +131,10 @@ class _Member:
                 return True
         return False
 
-    def until(self, mark: bytes, limit: int = HEAD_BYTES) -> bytes:
+    def until(self, mark: bytes, limit: int) -> bytes:
         """What stands before the mark, which is passed over."""
         while (at := self.ready.find(mark)) < 0:
-            if len(self.ready) > limit or not self.more():
+            if len(self.ready) > limit + CHUNK or not self.more():
                 raise ValueError("a record's head has no end")
         found, self.ready = self.ready[:at], self.ready[at + len(mark) :]
         return found
@@ -161,8 +162,8 @@ def _headers(lines: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines.decode().split("\r\n")[1:])}
 
 
-def read_records(stream) -> Iterator[Record]:
-    """The records of an archive in order. Payloads are hashed piece by piece, never held.
+def read_records(stream, head_bytes: int = HEAD_BYTES) -> Iterator[Record]:
+    """The records of an archive in order. Payloads are hashed piece by piece, never held; heads have head_bytes at most.
 
     payload_digest is computed from a response's payload; of a revisit, which has none, it is the recorded one.
     verified: the block has its recorded digest and a response's payload its own. A member that ends early, goes on
@@ -171,7 +172,7 @@ def read_records(stream) -> Iterator[Record]:
     pending = b""
     while pending or (pending := stream.read(CHUNK)):
         member = _Member(stream, pending)
-        headers = _headers(member.until(_END))
+        headers = _headers(member.until(_END, head_bytes))
         left = int(headers["content-length"])
         block, payload, head, n_payload, body = hashlib.sha256(), hashlib.sha256(), b"", 0, False
         for piece in member.pieces(left):
@@ -179,7 +180,7 @@ def read_records(stream) -> Iterator[Record]:
             if not body:
                 head += piece
                 if _END not in head:
-                    if len(head) > HEAD_BYTES:
+                    if len(head) > head_bytes:
                         raise ValueError("an HTTP head has no end")
                     continue
                 head, _, piece = head.partition(_END)
@@ -210,10 +211,10 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _RECORDS.split(", ")])
 
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, longest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows: list[tuple] = []
                 with store.open_input_stream(path, compression=None) as stream:
-                    for r in read_records(stream):
+                    for r in read_records(stream, max(HEAD_BYTES, longest)):
                         h = r.headers
                         if not r.verified:
                             raise ValueError(f"{path}: {h['warc-record-id']} does not have its digests")
@@ -225,16 +226,16 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                     yield batch_of(rows)
 
     archives = max(1, manifest.count())
-    return manifest.select("path").repartition(min(archives, MAX_TASKS)).mapInArrow(read, _RECORDS)
+    return manifest.select("path", "head_bytes").repartition(min(archives, MAX_TASKS)).mapInArrow(read, _RECORDS)
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:
     """Writes pages to new archives in the shared folder and reads them back, a row per page.
 
     pages: page_id, url, html; other columns are ignored. A null html is an empty payload, a null url an empty target;
-    white space and control characters in a url are percent-encoded, and its first TARGET_BYTES are kept. A payload may
-    be of any length. A record that fails its digests ends the job with an error. No pages: no rows. Rows that share both the smallest page_id and the
-    payload are all responses; a null page_id is never the smallest.
+    white space and control characters in a url are percent-encoded. Urls and payloads may be of any length. A record
+    that fails its digests ends the job with an error. No pages: no rows. Rows that share both the smallest page_id and
+    the payload are all responses; a null page_id is never the smallest.
     """
     folder = shared_path(pages.sparkSession, "warc")
     return read_archives(write_archives(mark_revisits(pages), folder), folder)
