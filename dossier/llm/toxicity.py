@@ -157,11 +157,11 @@ def fit_machine(terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, s
 def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, known: int = KNOWN, frequent: int = FREQUENT) -> Machine:
     """A machine learnt from the labelled rows (doc_id, toxic) outside the held-out fold.
 
-    Only texts are inputs. At most sample_rows rows are used, whatever the corpus: their terms are counted by class in
-    Spark, and only the rows' known terms come to the driver. Terms are known if their share differs between the classes
+    Only texts are inputs. At most sample_rows rows are used, one of each doc_id, whatever the corpus: their terms are
+    counted by class in Spark, and only the rows' known terms come to the driver. Terms are known if their share differs between the classes
     or if they are among the most frequent ones: a common word that says nothing alone may do so with another.
-    Repeated labels of a doc_id count as toxic if one is; null labels and null ids are left out; documents that share
-    a doc_id are rows of their own; other columns are ignored. With one class or none, or without documents, the machine
+    Repeated labels of a doc_id count as toxic if one is; null labels and null ids are left out; of documents that share
+    a doc_id the one whose text has the least hash is used; other columns are ignored. With one class or none, or without documents, the machine
     is a constant.
     """
     fold = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
@@ -172,10 +172,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
         for batch in batches:
             for part in by_bytes(batch, 1, PART_BYTES):
                 rows = [sorted({t for word in text_words(text) for t in word_terms(word)}) for text in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["toxic", "terms"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(rows, pa.list_(pa.int32()))], names=["toxic", "id", "th", "terms"])
 
-    picked = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("toxic", "text")
-    sample = cut(picked.mapInArrow(terms, "toxic int, terms array<int>"), "toxic-sample")
+    picked = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("toxic", "text", "_id", F.xxhash64("text").alias("th"))
+    termed = picked.mapInArrow(terms, "toxic int, id long, th long, terms array<int>")
+    # The join may meet any number of rows of one id; map-side sums leave one.
+    sample = cut(termed.groupBy("id").agg(F.min(F.struct("th", "toxic", "terms")).alias("one")).select("id", "one.toxic", "one.terms"), "toxic-sample")
     n, n1 = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n or not n1 or n1 == n:
         return fit_machine(np.zeros(0, np.int64), [], np.full(max(1, n), 1.0 if n1 else 0.0))
@@ -189,10 +191,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [np.flatnonzero(np.isin(found, row, assume_unique=True)).tolist() for row in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["toxic", "places"])
+            rows = [np.flatnonzero(np.isin(found, row, assume_unique=True)).tolist() for row in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32()))], names=["id", "toxic", "places"])
 
-    rows = sample.mapInArrow(places, "toxic int, places array<int>").toArrow()
+    rows = sample.select("id", "toxic", "terms").mapInArrow(places, "id long, toxic int, places array<int>").toArrow().sort_by("id")
     labels_of = rows.column("toxic").to_numpy().astype(float)
     return fit_machine(found, [np.array(r, np.int64) for r in rows.column("places").to_pylist()], labels_of)
 

@@ -116,6 +116,24 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score_toxicity(none, machine).count() == 0
 
 
+def test_training_takes_one_row_of_an_id(spark, tmp_path):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (4, 0)], "doc_id long, toxic int")
+    made = frame(spark, [(1, f"insult {k}", "x") for k in range(3000)] + [(2, "plain words", "x"), (2, "plain words", "x"), (4, "other words", "x")])
+    seen = []
+    fit = toxicity.fit_machine
+
+    def counted(terms, rows, given, *more):
+        seen.append(len(given))
+        return fit(terms, rows, given, *more)
+
+    toxicity.fit_machine = counted
+    try:
+        toxicity.train_toxicity(made, labels, sample_rows=10)
+    finally:
+        toxicity.fit_machine = fit
+    assert seen == [3]
+
+
 def test_machine_learns_pairs():
     import numpy as np
 
@@ -334,7 +352,7 @@ def test_warc(spark):
 
 
 def test_long_payloads_urls_and_several_archives(spark, tmp_path):
-    """Payloads above what is read at once, urls above what is kept, and tasks that write many archives."""
+    """Payloads above what is read at once, urls above what a head has by default, and tasks that write many archives."""
     import hashlib
 
     rows = [(k, "http://h/" + "ü" * n, ("<b>é" + chr(97 + k)) * size) for k, (n, size) in enumerate([(1, 200_000), (1 << 20, 3), (5, 0), (7, 90_000), (1 << 16, 1)])]
@@ -345,7 +363,8 @@ def test_long_payloads_urls_and_several_archives(spark, tmp_path):
     for page_id, url, html in rows:
         data = html.encode()
         assert (got[page_id].payload_bytes, got[page_id].payload_digest, got[page_id].verified) == (len(data), hashlib.sha256(data).hexdigest(), True)
-        assert got[page_id].url == url.encode()[: warc.TARGET_BYTES].decode(errors="ignore")
+        assert got[page_id].url == url
+    assert max(r.head_bytes for r in manifest.collect()) > warc.HEAD_BYTES
 
 
 def test_warc_reader_is_strict():
