@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dossier.llm import chat, contamination, mixing, quality, repeats, runs, simhash, token_counts, token_store, toxicity, warc
+from dossier.llm import chat, contamination, mixing, quality, repeats, runs, simhash, token_counts, token_store, toxicity, warc, whitening
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_simhash_components": simhash.op9_simhash_components,
     "op10_token_files": token_store.op10_token_files,
     "op11_periodic_runs": runs.op11_periodic_runs,
+    "op12_whitened_embeddings": whitening.op12_whitened_embeddings,
 }
 
 ORACLE_SQL = {
