@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dossier.llm import chat, contamination, mixing, quality, repeats, runs, simhash, token_counts, token_store, toxicity, warc, whitening
+from dossier.llm import chat, contamination, mixing, packing, quality, repeats, runs, simhash, token_counts, token_store, toxicity, warc, whitening
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_token_files": token_store.op10_token_files,
     "op11_periodic_runs": runs.op11_periodic_runs,
     "op12_whitened_embeddings": whitening.op12_whitened_embeddings,
+    "op13_packed_sequences": packing.op13_packed_sequences,
 }
 
 ORACLE_SQL = {
