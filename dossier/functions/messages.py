@@ -1,6 +1,9 @@
 """Wording of summaries, limitations and findings, by agent and branch. Every operator takes another table instead."""
 
 MESSAGES = {
+    "document.error.id": "The document has no id.",
+    "document.error.texts": "Several texts were sent under this id.",
+    "request.error.body": "The request's body is not a JSON object.",
     "disclaimer": "For research support only: findings may be incomplete or wrong, and need review by qualified people.",
     "evidence.relevance": "Ranked by keyword score for the question.",
     "disabled.summary": "Not run: this analysis was not selected.",

@@ -168,7 +168,26 @@ _LATEST = f"WITH {_SAVES}, u AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number
 _AGENT_COUNT = "coalesce(len(selected_agents), 0)::BIGINT"
 _BRACKETS = "'[^a-z0-9]+'"
 
+_UPLOADS = f"""WITH {DOCS},
+{CHUNKS},
+{REQS.replace("reqs AS (", "items AS (", 1)},
+sent AS (SELECT 'u' || (doc_number // 8) AS request_id, doc_number // 8 AS g, doc_number % 5 <> 4 AS whole,
+  (row_number() OVER (PARTITION BY doc_number // 8 ORDER BY doc_number))::INTEGER AS doc_ordinal, docs.* FROM docs),
+reqs AS (SELECT DISTINCT sent.request_id, g, g % 10 = 9 AS bad, question, tokens FROM sent JOIN items ON item_id = g % 40),
+rd AS (SELECT sent.request_id, doc_ordinal, doc_id FROM sent WHERE g % 10 <> 9 AND whole),
+{SCORED},
+{RANKED}"""
+
 ORACLE_SQL = {
+    "uploaded_requests": f"""{_UPLOADS} SELECT request_id, CASE WHEN NOT bad THEN reqs.question END AS question, CASE WHEN bad THEN 0 ELSE (SELECT count(*) FROM sent s WHERE s.request_id = reqs.request_id) END::BIGINT AS n_documents,
+      NOT bad AND trim(reqs.question) <> '' AS valid, CASE WHEN bad THEN {_m('request.error.body')} WHEN trim(reqs.question) = '' THEN {_m('request.error')} END AS error FROM reqs""",
+    "uploaded_documents": f"""{_UPLOADS} SELECT doc_id, name, size_bytes, greatest(1, ceil(length(text) / 2600.0))::INTEGER AS page_count, TIMESTAMP '2024-01-01 00:00:00' AS uploaded_at,
+      substring(text, 1, 280) AS preview, length(text)::BIGINT AS n_chars FROM sent WHERE g % 10 <> 9 AND whole""",
+    "top_chunks_uploaded": f"{_UPLOADS} SELECT request_id, rank, chunk_id, doc_name, doc_ordinal, page, score FROM ranked",
+    "quarantined_documents": f"""WITH r AS (SELECT doc_id AS n, CASE WHEN doc_id % 19 <> 7 THEN doc_id::VARCHAR END AS doc_id, source || '-' || doc_id || '.txt' AS name, text FROM documents
+      UNION ALL SELECT doc_id, doc_id::VARCHAR, source || '-' || doc_id || '.txt', CASE WHEN doc_id % 23 = 3 THEN text || '!' ELSE text END FROM documents WHERE doc_id % 23 = 3 OR doc_id % 29 = 5)
+      SELECT coalesce(doc_id, name) AS row, length(text)::BIGINT AS n_chars,
+      CASE WHEN doc_id IS NULL THEN {_m('document.error.id')} WHEN count(DISTINCT coalesce(text, '')) OVER (PARTITION BY doc_id) > 1 THEN {_m('document.error.texts')} END AS error FROM r""",
     "ingest_documents": f"WITH {DOCS} SELECT doc_id, name, size_bytes, greatest(1, ceil(length(text) / 2600.0))::INTEGER AS page_count, substring(text, 1, 280) AS preview, length(text)::BIGINT AS n_chars FROM docs",
     "sanitize_text": f"WITH {DOCS} SELECT doc_id, text FROM docs",
     "document_preview": f"WITH {DOCS} SELECT doc_id, substring(text, 1, 280) AS preview FROM docs",
@@ -187,7 +206,7 @@ ORACLE_SQL = {
     "keyword_score": f"{TO_RANKED} SELECT request_id, chunk_id, score FROM scored",
     "keyword_score_postings": f"{TO_RANKED} SELECT request_id, chunk_id, score FROM scored WHERE score > 0",
     "top_chunks": f"{TO_RANKED} SELECT request_id, rank, chunk_id, doc_ordinal, page, score FROM ranked",
-    "top_chunks_single": f"{TO_RANKED} SELECT chunk_id, score FROM ranked WHERE request_id = '7'",
+    "top_chunks_single": f"{TO_RANKED} SELECT chunk_id, score FROM ranked WHERE request_id = (SELECT min(request_id) FROM reqs)",
     "coverage_summary": f"{TO_RANKED} SELECT request_id, rank, doc_name, page, substring(text, 1, 240) AS excerpt FROM ranked",
     "evidence_items": f"{TO_RANKED} SELECT request_id, rank, substring(text, 1, 220) AS excerpt, doc_name AS document_name, page, 'Page ' || page AS section, {_m('evidence.relevance')} AS relevance FROM ranked WHERE rank <= 4",
     "interaction_signal_chunks": f"{BRIEFS} SELECT request_id, rank, chunk_id FROM flags WHERE is_inter",

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from dossier.functions.text import excerpt, lead_sentences, sanitize
 from dossier.operators import analyses, responses, retrieval, sessions
 from dossier.plans.oracle import ORACLE_SQL
+from dossier.sources import documents, storage, tables
 from dossier.sources import requests as intake
-from dossier.sources import storage, tables
-from dossier.sources.shared import shared_path
+from dossier.sources.shared import cut, shared_path
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -78,9 +78,39 @@ def chunk_excerpts(spark, sf_dir):
 
 
 def request_intake(spark, sf_dir):
-    requests, documents = intake.request_intake(tables.request_bodies(spark, sf_dir))
+    requests, named = intake.request_intake(tables.request_bodies(spark, sf_dir))
     counted = requests.select("request_id", "question", F.size("selected_agents").cast("long").alias("n_agents"))
-    return counted.join(documents, "request_id", "left")
+    return counted.join(named, "request_id", "left")
+
+
+def uploaded_requests(spark, sf_dir):
+    """Requests as bodies with whole documents have them, checked."""
+    checked = intake.validate_requests(*intake.request_intake(tables.upload_bodies(spark, sf_dir)))
+    return checked.select("request_id", "question", "n_documents", "valid", "error")
+
+
+def _uploads(spark, sf_dir):
+    sent = intake.uploaded_documents(tables.upload_bodies(spark, sf_dir))
+    return documents.ingest_documents(sent.filter("error is null").drop("error"))
+
+
+def uploaded_documents(spark, sf_dir):
+    return _uploads(spark, sf_dir).select("doc_id", "name", "size_bytes", "page_count", "uploaded_at", "preview", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def top_chunks_uploaded(spark, sf_dir):
+    """The best chunks of each request, from bodies alone."""
+    requests, named = intake.request_intake(tables.upload_bodies(spark, sf_dir))
+    sent = cut(_uploads(spark, sf_dir), "uploads")
+    chunks = documents.chunk_documents(sent)
+    ranked = retrieval.top_chunks(retrieval.score_chunks(requests, named, chunks), chunks=chunks)
+    return ranked.select("request_id", "rank", "chunk_id", "doc_name", "doc_ordinal", "page", "score")
+
+
+def quarantined_documents(spark, sf_dir):
+    """What can't be ingested, and how many rows can, by error."""
+    checked = documents.checked_documents(tables.raw_uploads(spark, sf_dir))
+    return checked.select(F.coalesce("doc_id", "name").alias("row"), F.char_length("text").cast("long").alias("n_chars"), "error")
 
 
 def tokenize_question(spark, sf_dir):
@@ -134,8 +164,10 @@ def top_chunks(spark, sf_dir):
 
 
 def top_chunks_single(spark, sf_dir):
-    one = tables.requests(spark, sf_dir).filter("request_id = '7'")
-    named = tables.request_documents(spark, sf_dir).filter("request_id = '7'")
+    """One request is the feature: that with the least id."""
+    least = F.lit(tables.requests(spark, sf_dir).agg(F.min("request_id")).first()[0])
+    one = tables.requests(spark, sf_dir).filter(F.col("request_id") == least)
+    named = tables.request_documents(spark, sf_dir).filter(F.col("request_id") == least)
     return retrieval.top_chunks_single(retrieval.score_chunks(one, named, tables.chunks(spark, sf_dir))).select("chunk_id", "score")
 
 
@@ -409,7 +441,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ingest_documents, sanitize_text, document_preview, estimate_page_count, pick_sentences, chunk_documents, chunk_page_estimate, chunk_excerpts,
-        request_intake, tokenize_question, token_weight, validate_requests, validate_requests_strict, remove_documents, append_documents,
+        request_intake, uploaded_requests, uploaded_documents, top_chunks_uploaded, quarantined_documents, tokenize_question, token_weight, validate_requests, validate_requests_strict, remove_documents, append_documents,
         keyword_score, keyword_score_postings, top_chunks, top_chunks_postings, top_chunks_single, coverage_summary, evidence_items, signal_support, agent_confidence, gate_agents,
         literature_search, literature_excerpts, trial_summary, consensus, report, report_evidence_table, report_markdown, citation_table, analysis_bundle,
         prompt_payloads, prompt_chunks, prompt_upstream, merge_responses, merged_analyses, merged_consensus, merged_report, session_row_mapping, session_upsert, session_lookup, recent_sessions, session_mru, session_cards, dashboard_stats, assemble_sessions, session_round_trip,

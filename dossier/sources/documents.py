@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossier.functions.messages import MESSAGES
 from dossier.functions.text import excerpt, pages_of, sanitize
+from dossier.operators.broadcasts import few_or_all
 
 PREVIEW_CHARS = 280
 
@@ -21,6 +23,31 @@ def ingest_documents(raw: DataFrame) -> DataFrame:
     )
 
 
+def checked_documents(raw: DataFrame) -> DataFrame:
+    """raw with error: why a row can't be ingested, null if it can.
+
+    A row needs a doc_id, and no other row may have another text under it: which one is meant is unknown, so all rows of
+    such an id are kept back. Rows without an error and with one equal the input; repeated rows stay. Only ids and
+    hashes are shuffled; ids with several texts are few and broadcast up to a bound.
+    """
+    texts = raw.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_doc")).agg(F.min(_text_hash()).alias("_low"), F.max(_text_hash()).alias("_high"))
+    several = few_or_all(texts.filter("_low != _high").select("_doc"))
+    joined = raw.join(several, F.col("doc_id") == F.col("_doc"), "left")
+    error = F.when(F.col("doc_id").isNull(), MESSAGES["document.error.id"]).when(F.col("_doc").isNotNull(), MESSAGES["document.error.texts"])
+    return joined.withColumn("error", error).drop("_doc")
+
+
+def _text_hash():
+    return F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+
+
+def one_per_text(raw: DataFrame) -> DataFrame:
+    """checked_documents() with one row for each doc_id and text: that with the least name, size and time."""
+    fields = [c for c in raw.columns if c not in ("doc_id", "text")]
+    one = raw.groupBy("doc_id", _text_hash().alias("_hash")).agg(F.min(F.struct(*fields, "text")).alias("_row"))
+    return checked_documents(one.select("doc_id", *(F.col(f"_row.{c}").alias(c) for c in raw.columns if c != "doc_id")))
+
+
 def chunk_documents(documents: DataFrame, chunk_chars: int = 1500) -> DataFrame:
     """Consecutive slices of each text: chunk_id, doc_id, doc_name, char_offset, page, text, lower_text.
 

@@ -7,7 +7,6 @@ models have the same fields in camel case.
 import re
 
 DOCUMENT = "doc_id string, name string, size_bytes long, page_count int, uploaded_at timestamp, text string"
-REQUEST_BODY = "question string, documents array<string>, selectedAgents array<string>"
 RESPONSE = "request_id string, agent_id string, content string, received_at timestamp"
 
 _EVIDENCE = "array<struct<excerpt:string,document_name:string,page:int,section:string,relevance:string>>"

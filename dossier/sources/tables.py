@@ -97,6 +97,32 @@ def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("request_id", F.to_json(body).alias("body"))
 
 
+#: Documents that come with one body, and items whose texts are their questions.
+UPLOAD, UPLOAD_ITEMS = 8, 40
+
+
+def upload_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies that carry their documents whole: each eight in a row, every fifth by its id alone; every tenth body is cut off."""
+    docs = spread(_read(spark, sf_dir, "documents")).withColumn("g", F.floor(F.col("doc_id") / UPLOAD))
+    number = F.col("doc_id").cast("string")
+    whole = F.struct(number.alias("id"), F.concat(F.col("source"), F.lit("-"), number, F.lit(".txt")).alias("name"), F.col("n_chars").alias("size"), F.lit("2024-01-01T00:00:00Z").alias("uploadedAt"), "text")
+    sent = F.when(F.col("doc_id") % 5 == 4, F.concat(F.lit('"'), number, F.lit('"'))).otherwise(F.to_json(whole))
+    lists = docs.groupBy("g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", sent.alias("sent")))), lambda x: x["sent"]), ",").alias("sent"))  # eight
+    items = _read(spark, sf_dir, "benchmark").filter(F.col("item_id") < UPLOAD_ITEMS).select("item_id", "text")
+    head = F.to_json(F.struct(F.col("text").alias("question"), F.array(F.lit(LITERATURE)).alias("selectedAgents")))
+    body = F.concat(F.substring(head, 1, F.length(head) - 1), F.lit(',"documents":['), "sent", F.lit("]}"))
+    asked = lists.join(F.broadcast(items), F.col("g") % UPLOAD_ITEMS == F.col("item_id"))
+    return asked.select(F.concat(F.lit("u"), F.col("g").cast("string")).alias("request_id"), F.when(F.col("g") % 10 == 9, F.substring(body, 1, F.length(body) - 1)).otherwise(body).alias("body"))
+
+
+def raw_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw_documents() with faults: some rows without a doc_id, some a second time with another text, some twice alike."""
+    raw, n = raw_documents(spark, sf_dir), F.col("doc_id").cast("long")
+    with_null = raw.withColumn("doc_id", F.when(n % 19 != 7, F.col("doc_id")))
+    again = raw.filter((n % 23 == 3) | (n % 29 == 5)).withColumn("text", F.when(n % 23 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return with_null.unionByName(again)
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns of conversations as questions."""
     turns = _read(spark, sf_dir, "conversations").filter("role = 'user'")

@@ -73,6 +73,43 @@ def test_bodies_may_be_corrupt(spark):
     assert sorted((r.doc_ordinal, r.doc_id) for r in named.collect()) == [(1, "x"), (2, "y")]
 
 
+def test_bodies_with_whole_documents(spark):
+    import json
+
+    whole = {"id": "x", "name": "x.pdf", "size": 5, "pageCount": 3, "uploadedAt": "2024-01-02T03:04:05Z", "preview": "p", "text": "a text"}
+    rows = [
+        ("a", json.dumps({"question": "q", "documents": [whole, "stored", {"id": 7, "text": None}, {"name": "no id", "text": "t"}, '{"id": "text"}'], "selectedAgents": []})),
+        ("b", json.dumps({"question": "q", "documents": [whole, {**whole, "id": "y"}], "selectedAgents": []})),
+        ("c", json.dumps({"question": "q", "documents": [{**whole, "id": "y", "text": "another"}], "selectedAgents": "one"})),
+        ("d", json.dumps({"question": 5, "documents": {"id": "x"}, "selectedAgents": []})),
+        *((k, body) for k, body in (("e", "{"), ("f", "[1]"), ("g", None), ("h", '"text"'))),
+    ]
+    bodies = spark.createDataFrame(rows, "request_id string, body string")
+    requests, named = intake.request_intake(bodies)
+    assert {r.request_id: (r.question, r.body_error is None) for r in requests.collect()} == {
+        "a": ("q", True), "b": ("q", True), "c": ("q", True), "d": ("5", True), "e": (None, False), "f": (None, False), "g": (None, False), "h": (None, False),
+    }
+    listed = sorted((r.request_id, r.doc_ordinal, r.doc_id) for r in named.collect())
+    assert listed == [("a", 1, "x"), ("a", 2, "stored"), ("a", 3, "7"), ("a", 4, None), ("a", 5, '{"id": "text"}'), ("b", 1, "x"), ("b", 2, "y"), ("c", 1, "y")]
+    checked = {r.request_id: r.error for r in intake.validate_requests(requests, named).collect()}
+    assert {k for k, e in checked.items() if e is None} == {"a", "b"} and checked["e"] != checked["d"]
+    sent = sorted(((r.doc_id or "", r.text or "", r.page_count, r.error is None) for r in intake.uploaded_documents(bodies).collect()))
+    assert sent == [("", "t", None, False), ("7", "", None, True), ("x", "a text", 3, True), ("y", "a text", 3, False), ("y", "another", 3, False)]
+    assert intake.uploaded_documents(bodies.limit(0)).count() == 0
+
+
+def test_rows_that_cannot_be_ingested_are_kept_apart(spark, tmp_path):
+    from dossier.sources import storage
+
+    kinds = "doc_id string, name string, size_bytes long, page_count int, uploaded_at timestamp, text string"
+    raw = [(i, n, 1, None, None, t) for i, n, t in [("a", "1", "x"), ("a", "2", "x"), ("b", "3", "x"), ("b", "4", "y"), ("b", "5", None), ("c", "6", None), ("c", "7", ""), (None, "8", "x"), (None, "9", "y")]]
+    spark.createDataFrame(raw, kinds).write.parquet(f"{tmp_path}/raw")
+    good, bad = storage.load_checked_documents(spark, f"{tmp_path}/raw")
+    assert sorted(r.name for r in good.collect()) == ["1", "2", "6", "7"]
+    assert sorted((r.name, r.doc_id is None) for r in bad.collect()) == [("3", False), ("4", False), ("5", False), ("8", True), ("9", True)]
+    assert {r.error for r in bad.collect()} == {MESSAGES["document.error.id"], MESSAGES["document.error.texts"]}
+
+
 def test_ranks_break_ties_by_document_and_offset(spark):
     got = analysed(spark, "nothing matches", ["a" * 3100, "b"] * 2).select(F.explode("chunks").alias("c")).select("c.*").orderBy("rank").collect()
     assert [(r.rank, r.chunk_id, r.score) for r in got] == list(zip(range(1, 9), ["0-0", "0-1500", "0-3000", "1-0", "2-0", "2-1500", "2-3000", "3-0"], [0] * 8))
