@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from dossier.functions.text import excerpt, keyword_score, token_weight, tokenize
 from dossier.functions.values import STOP_WORDS, TOP_CHUNKS
 from dossier.operators.broadcasts import few_or_all
+from dossier.sources.documents import BLOCK_CHARS
 from dossier.sources.shared import cut
 
+#: Characters of the grams by which words are filed.
+GRAM = 3
+#: Blocks in which distinct words are numbered.
+BLOCKS = 256
+
 
 def question_tokens(requests: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """request_id, position (from 1), token and weight."""
@@ -63,40 +69,124 @@ def top_chunks_single(scored: DataFrame, k: int = TOP_CHUNKS) -> DataFrame:
 def score_by_postings(requests: DataFrame, request_documents: DataFrame, chunks: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """The same rows, without their texts, by way of an index of words, for large batches of questions.
 
-    A token is in a text if and only if it is in one of the text's runs of a-z and 0-9. Each distinct run of all chunks
-    is taken apart once into its substrings of such lengths as tokens have, and these are joined with the tokens by
-    equality; each chunk then has the numbers of the tokens that its runs have, and a score is made of the numbers that
-    chunk and question share. So no text is searched for a token of any request.
+    A token is in a text if and only if it is in one of the text's runs of a-z and 0-9. words_with_tokens() finds the
+    distinct runs that have each token; each chunk then has the numbers of the tokens that its runs have, and a score
+    is made of the numbers that chunk and question share. So no text is searched for a token of any request.
     """
+    wanted, asked = _numbered_tokens(requests, stop_words)
+    words = F.array_distinct(F.regexp_extract_all("lower_text", F.lit("[a-z0-9]+"), F.lit(0)))
+    # Texts are taken apart once: what follows reads the written words.
+    keys = cut(chunks.select("chunk_id", "doc_id", "char_offset", "page", words.alias("words")), "chunk-words")
+    scoped = _scoped(request_documents, _with_tokens(keys, "char_offset", wanted), asked)
+    return scoped.withColumn("score", _shared_weight()).drop("_tokens", "_found")
+
+
+def _numbered_tokens(requests: DataFrame, stop_words: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The questions' distinct tokens with numbers, and each request's numbers by their weight, as _tokens."""
     tokens = question_tokens(requests, stop_words)
-    number = F.row_number().over(Window.orderBy("token"))  # a row per distinct word of all questions
-    wanted = few_or_all(cut(tokens.select("token").distinct().withColumn("number", number), "question-words"))
-    lengths = sorted(r.n for r in tokens.select(F.char_length("token").alias("n")).distinct().collect())  # of words: a few dozen
+    wanted = few_or_all(cut(_numbered(tokens.select("token").distinct()), "question-words"))
     weights = tokens.groupBy("request_id", "token").agg(F.sum("weight").cast("int").alias("weight")).join(wanted, "token")
     by_weight = weights.groupBy("request_id", "weight").agg(F.collect_list("number").alias("numbers"))
     asked = by_weight.groupBy(F.col("request_id").alias("_request")).agg(F.collect_list(F.struct("weight", "numbers")).alias("_tokens"))
     asked = requests.select(F.col("request_id").alias("_id")).join(asked, F.col("_id") == F.col("_request"), "left").select(F.col("_id").alias("_request"), "_tokens")
+    return wanted, few_or_all(asked)
 
-    words = F.array_distinct(F.regexp_extract_all("lower_text", F.lit("[a-z0-9]+"), F.lit(0)))
-    # An inner explode would have Spark split the text twice, to test the array's size before it explodes it.
-    runs = chunks.select("doc_id", "char_offset", F.explode_outer(words).alias("run")).filter("run is not null")
-    parts = runs.select("run").distinct().withColumn("part", F.explode_outer(_substrings(F.col("run"), lengths)))
-    matches = cut(parts.join(wanted, F.col("part") == F.col("token")).select(F.col("run").alias("_run"), "number"), "word-postings")
-    found = runs.join(few_or_all(matches), F.col("run") == F.col("_run"))
-    sets = found.groupBy(F.col("doc_id").alias("_doc"), F.col("char_offset").alias("_offset")).agg(F.collect_set("number").alias("_found"))
-    keys = chunks.select("chunk_id", "doc_id", "char_offset", "page").join(sets, (F.col("doc_id") == F.col("_doc")) & (F.col("char_offset") == F.col("_offset")), "left").drop("_doc", "_offset")
-    scoped = _scoped(request_documents, keys, few_or_all(asked))
-    score = F.aggregate("_tokens", F.lit(0), lambda total, x: total + x["weight"] * F.size(F.array_intersect(x["numbers"], F.col("_found"))))
-    return scoped.withColumn("score", F.when(F.col("_found").isNull() | F.col("_tokens").isNull(), 0).otherwise(score)).drop("_tokens", "_found")
-
-
-def _substrings(run: Column, lengths: list[int]) -> Column:
-    """Distinct substrings of these lengths."""
-    n = F.char_length(run)
-    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr(run, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+def _with_tokens(keys: DataFrame, place: str, wanted: DataFrame) -> DataFrame:
+    """keys (doc_id, place, words, ...) with _found, the numbers of the tokens that their words contain, for the words."""
+    matches = cut(words_with_tokens(keys.select(F.explode("words").alias("word")).distinct(), wanted), "word-postings")
+    by_word = matches.groupBy(F.col("word").alias("_word")).agg(F.collect_set("number").alias("numbers"))
+    runs = keys.select("doc_id", place, F.explode("words").alias("word"))
+    found = runs.join(few_or_all(by_word), F.col("word") == F.col("_word"))
+    sets = found.groupBy(F.col("doc_id").alias("_doc"), F.col(place).alias("_place")).agg(F.array_distinct(F.flatten(F.collect_set("numbers"))).alias("_found"))
+    return keys.drop("words").join(sets, (F.col("doc_id") == F.col("_doc")) & (F.col(place) == F.col("_place")), "left").drop("_doc", "_place")
+
+
+def _shared_weight() -> Column:
+    """Sum of the weights of the numbers that a question (_tokens) and a place (_found) share."""
+    total = F.aggregate("_tokens", F.lit(0), lambda total, x: total + x["weight"] * F.size(F.array_intersect(x["numbers"], F.col("_found"))))
+    return F.when(F.col("_found").isNull() | F.col("_tokens").isNull(), 0).otherwise(total)
+
+
+def score_candidates(requests: DataFrame, request_documents: DataFrame, chunks: DataFrame, blocks: DataFrame, k: int = TOP_CHUNKS, stop_words: tuple[str, ...] = STOP_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Rows of score_chunks() that hold the k best chunks of each request; most others are never scored.
+
+    blocks: as block_documents() makes them, of block_chars characters. What a block's words share with a question
+    bounds the score of its chunks. The blocks with the greatest bounds are scored first, as many as have k chunks; of
+    the rest those are scored whose bound, or on a tie whose place in the order of documents, is ahead of the k-th best
+    chunk found so far. A request with fewer than k chunks has all of them.
+    """
+    wanted, asked = _numbered_tokens(requests, stop_words)
+    keys = cut(blocks.select("doc_id", "first_offset", "n_chunks", "words"), "block-words")
+    scoped = _scoped(request_documents, _with_tokens(keys, "first_offset", wanted), asked)
+    bounds = cut(scoped.select("request_id", "doc_ordinal", "doc_id", "first_offset", "n_chunks", _shared_weight().alias("bound")), "block-bounds")
+    best = Window.partitionBy("request_id").orderBy(F.desc("bound"), "doc_ordinal", "first_offset")
+    first = bounds.withColumn("_turn", F.row_number().over(best)).filter(F.col("_turn") <= k)  # each task keeps k of a request
+    ahead = F.coalesce(F.sum("n_chunks").over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = cut(first.withColumn("_ahead", ahead).filter(F.col("_ahead") < k).select("request_id", "doc_ordinal", "doc_id", "first_offset"), "first-blocks")
+    scored = cut(_scored_blocks(requests, chunks, first, block_chars, stop_words).select("request_id", "doc_ordinal", "doc_id", "char_offset", "score"), "first-scores")
+    order = Window.partitionBy("request_id").orderBy(F.desc("score"), "doc_ordinal", "char_offset")
+    last = scored.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") == k)
+    last = few_or_all(last.select(F.col("request_id").alias("_request"), _place_in_order("score", "char_offset").alias("_last")))
+    named = few_or_all(first.withColumnsRenamed({"request_id": "_r", "doc_ordinal": "_o", "doc_id": "_d", "first_offset": "_f"}))
+    rest = bounds.join(named, (F.col("request_id") == F.col("_r")) & (F.col("doc_ordinal") == F.col("_o")) & (F.col("doc_id") == F.col("_d")) & (F.col("first_offset") == F.col("_f")), "left_anti")
+    rest = rest.join(last, F.col("request_id") == F.col("_request"), "left")
+    rest = rest.filter(F.col("_last").isNull() | (_place_in_order("bound", "first_offset") < F.col("_last")))
+    both = cut(rest.select("request_id", "doc_ordinal", "doc_id", "first_offset").unionByName(first), "candidate-blocks")
+    return _scored_blocks(requests, chunks, both, block_chars, stop_words)
+
+
+def _place_in_order(score: str, offset: str) -> Column:
+    """Less for what ranks before."""
+    return F.struct((-F.col(score)).alias("score"), F.col("doc_ordinal").alias("ordinal"), F.col(offset).alias("offset"))
+
+
+def _scored_blocks(requests: DataFrame, chunks: DataFrame, chosen: DataFrame, block_chars: int, stop_words: tuple[str, ...]) -> DataFrame:
+    """score_chunks() of the chunks of chosen (request_id, doc_ordinal, doc_id, first_offset) blocks."""
+    few = few_or_all(chosen.select("request_id", "doc_ordinal", F.col("doc_id").alias("_doc"), F.col("first_offset").alias("_first")))
+    met = chunks.join(few, (F.col("doc_id") == F.col("_doc")) & (F.col("char_offset") - F.col("char_offset") % block_chars == F.col("_first"))).drop("_doc", "_first")
+    met = met.join(_asked(requests, stop_words), F.col("request_id") == F.col("_request")).drop("_request")
+    return met.withColumn("score", keyword_score(F.col("_tokens"), F.col("lower_text"))).drop("_tokens")
+
+
+def _numbered(tokens: DataFrame) -> DataFrame:
+    """token and number, from 1 without gaps: tokens are numbered in blocks of their hash, behind the blocks before."""
+    blocks = tokens.withColumn("block", F.pmod(F.xxhash64("token"), F.lit(BLOCKS)))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    counts = blocks.groupBy(F.col("block").alias("_block")).agg(F.count("*").alias("n"))
+    behind = counts.select("_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("block").orderBy("token"))
+    return blocks.withColumn("_within", within).join(behind, F.col("block") == F.col("_block")).select("token", (F.col("_before") + F.col("_within")).cast("int").alias("number"))
+
+
+def _grams(word: Column, lengths: list[int]) -> Column:
+    """Distinct substrings of a word of these few lengths."""
+    n = F.char_length(word)
+    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr(word, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.flatten(F.array(*map(of, lengths)))) if lengths else F.array().cast("array<string>")
 
 
+def words_with_tokens(words: DataFrame, tokens: DataFrame, gram: int = GRAM) -> DataFrame:
+    """word and number of each of the tokens (token, number) that a word (word, distinct) contains.
+
+    An index of q-grams: a word that contains a token has all the token's grams, so the list of the rarest one of them
+    has every such word, and its words are verified. A token shorter than q is its own gram; lists of such lengths are
+    made only where there are such tokens. Lists of grams that no token has are never made.
+    """
+    lengths = sorted(r.n for r in tokens.select(F.least(F.char_length("token"), F.lit(gram)).alias("n")).distinct().collect())  # gram numbers at most
+    own = F.when(F.char_length("token") < gram, F.array("token")).otherwise(_grams(F.col("token"), [gram]))
+    asked = tokens.select("token", "number", F.explode(own).alias("gram"))
+    kept = few_or_all(cut(asked.select(F.col("gram").alias("_gram")).distinct(), "token-grams"))
+    postings = words.select("word", F.explode(_grams(F.col("word"), lengths)).alias("gram"))
+    postings = cut(postings.join(kept, F.col("gram") == F.col("_gram"), "left_semi"), "gram-postings")
+    lists = few_or_all(postings.groupBy(F.col("gram").alias("_gram")).agg(F.count("*").alias("n")))
+    # A token with a gram that no word has is in no word.
+    rated = asked.join(lists, F.col("gram") == F.col("_gram"), "left")
+    rarest = rated.groupBy("token", "number").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("one")).filter("one.n > 0")
+    rarest = few_or_all(cut(rarest.select("token", "number", F.col("one.gram").alias("_gram")), "rarest-grams"))
+    return postings.join(rarest, F.col("gram") == F.col("_gram")).filter(F.contains("word", "token")).select("word", "number")
+
+
 def coverage(ranked: DataFrame) -> DataFrame:
     """Document, page and excerpt of each ranked chunk."""
     return ranked.select("request_id", "rank", "doc_name", "page", excerpt(F.col("text"), 240).alias("excerpt"))

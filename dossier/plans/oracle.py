@@ -265,6 +265,7 @@ ORACLE_SQL = {
       SELECT request_id AS id, question, 'completed' AS status, 'demo' AS mode, len(agents)::BIGINT AS n_agents, coalesce(documents, '') AS documents, conclusion, TIMESTAMP '2024-01-01 00:00:00' AS created_at
       FROM cons LEFT JOIN d USING (request_id)""",
     "top_chunks_postings": f"{TO_RANKED} SELECT request_id, rank, chunk_id, doc_ordinal, page, score FROM ranked",
+    "top_chunks_pruned": f"{TO_RANKED} SELECT request_id, rank, chunk_id, doc_ordinal, page, score FROM ranked",
     "interaction_signal_chunks_custom": f"{briefs(interaction=('tion', 'licens', 'naus'))} SELECT request_id, rank, chunk_id FROM flags WHERE is_inter",
     "adverse_signal_chunks_custom": f"{briefs(safety=('tion', 'licens', 'naus'))} SELECT request_id, rank, chunk_id FROM flags WHERE is_adv",
     "prompt_chunks": f"""{BRIEFS}, p AS (

@@ -159,6 +159,13 @@ def top_chunks_postings(spark, sf_dir):
     return ranked.select("request_id", "rank", "chunk_id", "doc_ordinal", "page", "score")
 
 
+def top_chunks_pruned(spark, sf_dir):
+    """The same from the chunks that bounds of blocks leave over."""
+    chunks = tables.chunks(spark, sf_dir)
+    scored = retrieval.score_candidates(tables.requests(spark, sf_dir), tables.request_documents(spark, sf_dir), chunks, documents.block_documents(tables.documents(spark, sf_dir)))
+    return retrieval.top_chunks(scored, chunks=chunks).select("request_id", "rank", "chunk_id", "doc_ordinal", "page", "score")
+
+
 def top_chunks(spark, sf_dir):
     return _ranked(spark, sf_dir).select("request_id", "rank", "chunk_id", "doc_ordinal", "page", "score")
 
@@ -442,7 +449,7 @@ QUERIES = {
     for f in (
         ingest_documents, sanitize_text, document_preview, estimate_page_count, pick_sentences, chunk_documents, chunk_page_estimate, chunk_excerpts,
         request_intake, uploaded_requests, uploaded_documents, top_chunks_uploaded, quarantined_documents, tokenize_question, token_weight, validate_requests, validate_requests_strict, remove_documents, append_documents,
-        keyword_score, keyword_score_postings, top_chunks, top_chunks_postings, top_chunks_single, coverage_summary, evidence_items, signal_support, agent_confidence, gate_agents,
+        keyword_score, keyword_score_postings, top_chunks, top_chunks_postings, top_chunks_pruned, top_chunks_single, coverage_summary, evidence_items, signal_support, agent_confidence, gate_agents,
         literature_search, literature_excerpts, trial_summary, consensus, report, report_evidence_table, report_markdown, citation_table, analysis_bundle,
         prompt_payloads, prompt_chunks, prompt_upstream, merge_responses, merged_analyses, merged_consensus, merged_report, session_row_mapping, session_upsert, session_lookup, recent_sessions, session_mru, session_cards, dashboard_stats, assemble_sessions, session_round_trip,
     )

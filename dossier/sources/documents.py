@@ -10,6 +10,8 @@ from dossier.functions.text import excerpt, pages_of, sanitize
 from dossier.operators.broadcasts import few_or_all
 
 PREVIEW_CHARS = 280
+#: Characters of consecutive chunks whose scores are bounded together.
+BLOCK_CHARS = 3000
 
 
 def ingest_documents(raw: DataFrame) -> DataFrame:
@@ -48,6 +50,21 @@ def one_per_text(raw: DataFrame) -> DataFrame:
     return checked_documents(one.select("doc_id", *(F.col(f"_row.{c}").alias(c) for c in raw.columns if c != "doc_id")))
 
 
+def block_documents(documents: DataFrame, chunk_chars: int = 1500, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id, first_offset, n_chunks and words of each block of consecutive chunks: the distinct runs of a-z and 0-9 in it.
+
+    block_chars is a multiple of chunk_chars.
+    A run that chunks cut in two is whole here, so a block's words hold all that its chunks' words do, and may hold more.
+    Narrow: nothing is shuffled.
+    """
+    n = F.char_length("text")
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(block_chars)))
+    cut = documents.select("doc_id", "text", F.explode_outer(starts).alias("first_offset")).filter("first_offset is not null")
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.substr("text", F.col("first_offset") + 1, F.lit(block_chars))), F.lit("[a-z0-9]+"), F.lit(0)))
+    chunks = F.ceil((F.least(n, F.col("first_offset") + block_chars) - F.col("first_offset")) / chunk_chars)
+    return cut.select("doc_id", "first_offset", chunks.cast("int").alias("n_chunks"), words.alias("words"))
+
+
 def chunk_documents(documents: DataFrame, chunk_chars: int = 1500) -> DataFrame:
     """Consecutive slices of each text: chunk_id, doc_id, doc_name, char_offset, page, text, lower_text.
 

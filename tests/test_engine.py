@@ -221,7 +221,7 @@ def test_joins_beyond_the_broadcast_bound(spark, sf_dir, monkeypatch):
     from dossier.operators import broadcasts
     from dossier.plans.registry import QUERIES
 
-    names = ("keyword_score", "keyword_score_postings", "top_chunks", "top_chunks_postings")
+    names = ("keyword_score", "keyword_score_postings", "top_chunks", "top_chunks_postings", "top_chunks_pruned")
     want = {n: sorted(QUERIES[n](spark, sf_dir).collect()) for n in names}
     monkeypatch.setattr(broadcasts, "BROADCAST_BYTES", 0)
     assert {n: sorted(QUERIES[n](spark, sf_dir).collect()) for n in names} == want
@@ -239,6 +239,43 @@ def test_both_forms_rank_alike_with_zero_scores(spark):
     assert rows[0] == rows[1] == rows[2] and len(rows[0]) == 3 * 5 and {r.score for r in rows[0]} == {0, 6}
 
 
+def test_candidates_hold_the_best_chunks_and_leave_others_out(spark):
+    """Bounds of blocks, with zero scores, ties, runs that chunks cut in two, and requests of few chunks."""
+    import random
+
+    from dossier.sources.documents import block_documents
+
+    rng = random.Random(4)
+    words = ["rash", "crash", "zebra", "nausea", "calm", "x" * 40, "tension", "art", "heart"]
+    texts = [" ".join(rng.choice(words[: rng.choice([1, 3, 9])]) for _ in range(rng.choice([0, 5, 900, 2500]))) for _ in range(30)] + ["calm " * 3000, None]
+    docs = documents(spark, texts)
+    chunks = chunk_documents(docs)
+    requests = spark.createDataFrame([("r", "rash and zebra zebra art"), ("s", "nothing here"), ("t", None), ("few", "zebra heart"), ("u", "calm tension nausea")], "request_id string, question string")
+    named = spark.createDataFrame([(r, k + 1, str(k)) for r in "rstu" for k in range(len(texts))] + [("few", 1, "0"), ("few", 2, "2")], "request_id string, doc_ordinal int, doc_id string")
+    everything = retrieval.score_chunks(requests, named, chunks)
+    for block_chars in (1500, 6000):
+        some = retrieval.score_candidates(requests, named, chunks, block_documents(docs, block_chars=block_chars), block_chars=block_chars)
+        best = [sorted(retrieval.top_chunks(x).select("request_id", "rank", "chunk_id", "score").collect()) for x in (everything, some)]
+        assert best[0] == best[1]
+        assert some.columns == everything.columns and some.exceptAll(everything).count() == 0
+        assert some.count() < everything.count() / 2
+
+
+def test_words_are_found_by_their_rarest_gram(spark):
+    import random
+
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choice("abc1") for _ in range(rng.randint(1, 9))) for _ in range(600)})
+    tokens = [*rng.sample(words, 40), "a", "b1", "abc", "zzz", "z", "abcabc"]
+    made = spark.createDataFrame([(t, k + 1) for k, t in enumerate(dict.fromkeys(tokens))], "token string, number int")
+    found = retrieval.words_with_tokens(spark.createDataFrame([(w,) for w in words], "word string"), made)
+    assert sorted((r.word, r.number) for r in found.collect()) == sorted((w, k + 1) for k, t in enumerate(dict.fromkeys(tokens)) for w in words if t in w)
+    numbers = sorted(r.number for r in retrieval._numbered(made.select("token")).collect())
+    assert numbers == list(range(1, len(set(tokens)) + 1))
+    assert retrieval.words_with_tokens(spark.createDataFrame([], "word string"), made).count() == 0
+    assert retrieval.words_with_tokens(spark.createDataFrame([("a",)], "word string"), made.limit(0)).count() == 0
+
+
 def test_sessions(spark):
     made = "id string, updated_at timestamp, created_at timestamp, status string"
     rows = lambda *x: spark.createDataFrame([(i, *[F_TIME[t]] * 2, s) for i, t, s in x], made)
