@@ -261,6 +261,11 @@ ORACLE_SQL = {
     "session_mru": f"{_LATEST} SELECT id, status, updated_at AS saved_at FROM u ORDER BY updated_at DESC, id LIMIT 25",
     "session_cards": f"{_LATEST} SELECT id, mode, status, question, n_documents, {_AGENT_COUNT} AS n_agents, updated_at FROM u",
     "dashboard_stats": f"{_LATEST} SELECT count(*) AS n_sessions, coalesce(sum(n_documents), 0)::BIGINT AS n_documents FROM u",
+    "session_store_upsert": f"{_LATEST} SELECT id, question, status, mode, k, created_at, updated_at FROM u",
+    "session_store_lookup": f"{_LATEST} SELECT id, status, has_results AS results_available FROM u",
+    "session_store_recent": f"{_LATEST} SELECT id, status, created_at FROM u ORDER BY created_at DESC, id LIMIT 20",
+    "session_store_mru": f"{_LATEST} SELECT id, status, updated_at AS saved_at FROM u ORDER BY updated_at DESC, id LIMIT 25",
+    "session_store_stats": f"{_LATEST} SELECT count(*) AS n_sessions, coalesce(sum(n_documents), 0)::BIGINT AS n_documents FROM u",
     "assemble_sessions": f"""{BRIEFS}, d AS (SELECT request_id, string_agg(doc_id, ',' ORDER BY doc_ordinal) AS documents FROM rd GROUP BY 1)
       SELECT request_id AS id, question, 'completed' AS status, 'demo' AS mode, len(agents)::BIGINT AS n_agents, coalesce(documents, '') AS documents, conclusion, TIMESTAMP '2024-01-01 00:00:00' AS created_at
       FROM cons LEFT JOIN d USING (request_id)""",

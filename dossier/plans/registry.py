@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dossier.functions.text import excerpt, lead_sentences, sanitize
 from dossier.operators import analyses, responses, retrieval, sessions
 from dossier.plans.oracle import ORACLE_SQL
-from dossier.sources import documents, storage, tables
+from dossier.sources import documents, session_store, storage, tables
 from dossier.sources import requests as intake
 from dossier.sources.shared import cut, shared_path
 
@@ -408,6 +408,38 @@ def dashboard_stats(spark, sf_dir):
     return sessions.dashboard_stats(_sessions(spark, sf_dir))
 
 
+def _store(spark, sf_dir):
+    """A store in the shared folder, saved to in two batches."""
+    path = shared_path(spark, "session-store")
+    saves = tables.saves(spark, sf_dir)
+    for k in range(2):
+        session_store.save(spark, path, saves.filter(F.col("event_id") % 2 == k).drop("event_id"))
+    return path
+
+
+def session_store_upsert(spark, sf_dir):
+    kept = session_store.read_store(spark, _store(spark, sf_dir))
+    return kept.select("id", "question", "status", "mode", F.col("results.debate_consensus.final_consensus").cast("int").alias("k"), "created_at", "updated_at")
+
+
+def session_store_lookup(spark, sf_dir):
+    """Every saved id, and one that was never saved."""
+    ids = tables.saves(spark, sf_dir).select("id").unionByName(spark.createDataFrame([("none such",)], "id string"))
+    return session_store.lookup(spark, _store(spark, sf_dir), ids).select("id", "status", "results_available")
+
+
+def session_store_recent(spark, sf_dir):
+    return session_store.recent_sessions(spark, _store(spark, sf_dir)).select("id", "status", "created_at")
+
+
+def session_store_mru(spark, sf_dir):
+    return session_store.most_recent(spark, _store(spark, sf_dir)).select("id", "status", F.col("updated_at").alias("saved_at"))
+
+
+def session_store_stats(spark, sf_dir):
+    return session_store.stats(spark, _store(spark, sf_dir))
+
+
 def session_round_trip(spark, sf_dir):
     """Sessions assembled, stored, read, saved again with another status, and listed: an analysis of each a row."""
     asked = tables.requests(spark, sf_dir)
@@ -451,7 +483,7 @@ QUERIES = {
         request_intake, uploaded_requests, uploaded_documents, top_chunks_uploaded, quarantined_documents, tokenize_question, token_weight, validate_requests, validate_requests_strict, remove_documents, append_documents,
         keyword_score, keyword_score_postings, top_chunks, top_chunks_postings, top_chunks_pruned, top_chunks_single, coverage_summary, evidence_items, signal_support, agent_confidence, gate_agents,
         literature_search, literature_excerpts, trial_summary, consensus, report, report_evidence_table, report_markdown, citation_table, analysis_bundle,
-        prompt_payloads, prompt_chunks, prompt_upstream, merge_responses, merged_analyses, merged_consensus, merged_report, session_row_mapping, session_upsert, session_lookup, recent_sessions, session_mru, session_cards, dashboard_stats, assemble_sessions, session_round_trip,
+        prompt_payloads, prompt_chunks, prompt_upstream, merge_responses, merged_analyses, merged_consensus, merged_report, session_row_mapping, session_upsert, session_lookup, recent_sessions, session_mru, session_cards, dashboard_stats, assemble_sessions, session_round_trip, session_store_upsert, session_store_lookup, session_store_recent, session_store_mru, session_store_stats,
     )
 }
 QUERIES |= {

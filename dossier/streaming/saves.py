@@ -1,35 +1,27 @@
-"""Session saves as a stream, upserted into a table of snapshots."""
+"""Session saves as a stream, upserted into a store of buckets."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from dossier.operators.sessions import upsert_sessions
-from dossier.sources.shared import remove
-
-
-def _snapshot(store: str, batch: int) -> str:
-    return f"{store}/snapshot-{batch:012d}"
+from dossier.sources import session_store
 
 
 def read_snapshot(spark: SparkSession, store: str, batch: int, schema) -> DataFrame:
     """Sessions as they were after a batch; none before the first."""
-    return spark.read.schema(schema).parquet(_snapshot(store, batch)) if batch >= 0 else spark.createDataFrame([], schema)
+    return session_store.read_store(spark, store, batch, schema)
 
 
 def upsert_stream(saves: DataFrame, store: str, checkpoint: str, trigger: dict | None = None, keep: int = 3) -> StreamingQuery:
-    """Keeps the last save of each id. Batch n writes snapshot n from snapshot n - 1, which stays as it is.
+    """Keeps the last save of each id. Batch n makes version n of the store and rewrites the buckets that it touches.
 
-    A batch that is run again after a failure overwrites its own snapshot with the same rows. The last `keep` snapshots
-    stay, two at least: one that readers use, and one that a batch is made from.
+    A batch that is run again after a failure finds its version there, or makes it anew from the version before. The
+    last `keep` versions stay, two at least.
     """
-    schema = saves.schema
 
     def save(batch: DataFrame, number: int) -> None:
-        stored = read_snapshot(batch.sparkSession, store, number - 1, schema)
-        upsert_sessions(stored, batch).write.mode("overwrite").parquet(_snapshot(store, number))
-        if number >= max(2, keep):
-            remove(batch.sparkSession, _snapshot(store, number - max(2, keep)))
+        session_store.save(batch.sparkSession, store, batch, number)
+        session_store.vacuum(batch.sparkSession, store, max(2, keep))
 
     return saves.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -14,4 +14,4 @@ def test_stream_ends_as_the_batch_does(spark, sf_dir, tmp_path):
     columns = ("id", "status", "updated_at")
     assert sorted(found.select(*columns).collect()) == sorted(wanted.select(*columns).collect())
     assert found.count() == saves.select("id").distinct().count()
-    assert sorted(p.name for p in (tmp_path / "store").iterdir()) == ["snapshot-000000000001", "snapshot-000000000002"]
+    assert sorted(p.name for p in (tmp_path / "store").glob("manifest*.json")) == ["manifest-000000000001.json", "manifest-000000000002.json"]
