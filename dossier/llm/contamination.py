@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from dossier.llm.common import cut, spread
 from dossier.llm.simhash import shingle_hashes
 from dossier.llm.word_tokens import by_bytes
+from dossier.operators.broadcasts import few_or_all
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -25,8 +26,8 @@ SPARE = 2
 INDEX_BYTES = 16 << 20
 #: UTF-8 bytes of documents that are searched at once; a longer text is alone.
 PART_BYTES = 1 << 20
-#: Bits of the map of sketch entries that documents' shingles are sifted by before a join.
-SIEVE_BITS = 1 << 23
+#: Bits of the map by which shingles are sifted, at least and at most; bits for each entry; bits that are put together in a row.
+SIEVE_BITS, MOST_SIEVE_BITS, SPARSE, _BITMAP = 1 << 23, 1 << 28, 16, 1 << 15
 
 _HITS = "doc_id long, item_id long, shared long, item_shingles long, containment double"
 _HIT_TYPES = [pa.int64()] * 4 + [pa.float64()]
@@ -156,12 +157,28 @@ _SIFTED = "doc_id long, th long, width int, hash long"
 _CHECKED = "doc_id long, th long, item_id long, copies long, shared long, item_shingles long"
 
 
+def _sieve(sketches: DataFrame) -> np.ndarray:
+    """A map of bits of the entries' hashes, SPARSE bits an entry up to MOST_SIEVE_BITS; beyond, it only lets more through.
+
+    The map is put together in blocks on the executors, so the driver gets its bytes and no entries.
+    """
+    entries, bits = sketches.count(), SIEVE_BITS
+    while bits < min(SPARSE * entries, MOST_SIEVE_BITS):
+        bits *= 2
+    place = F.pmod("hash", F.lit(bits).cast("long"))
+    blocks = sketches.groupBy(F.floor(place / _BITMAP).alias("block")).agg(F.bitmap_construct_agg(place % _BITMAP).alias("bits")).collect()
+    sieve = np.zeros(bits // 8, np.uint8)
+    for r in blocks:
+        sieve[r.block * _BITMAP // 8 : (r.block + 1) * _BITMAP // 8] = np.frombuffer(bytes(r.bits), np.uint8)
+    return sieve
+
+
 def _joined_hits(docs: DataFrame, items: DataFrame, threshold: float, width: int) -> DataFrame:
     """Distinct documents (doc_id, th: their text's hash) and the items that they contain, by joins over any number of items.
 
-    Sketch entries are a table. Documents' shingles are sifted by a map of bits of the entries' hashes, which is of one
-    size whatever the items, so that only shingles of some sketch are joined with them by hash; pairs that tally what
-    the item needs are verified on their texts.
+    Sketch entries are a table. Documents' shingles are sifted by a map of bits of the entries' hashes, so that only
+    shingles of some sketch are joined with them by hash; pairs that tally what the item needs are verified on their
+    texts, which are shuffled only for documents of such pairs.
     """
     spark = docs.sparkSession
     given = items.select(F.col("item_id").cast("long"), "text").filter("text is not null").groupBy("item_id", "text").agg(F.count("*").alias("copies"))
@@ -177,20 +194,17 @@ def _joined_hits(docs: DataFrame, items: DataFrame, threshold: float, width: int
                     yield _batch(rows, _SKETCH_TYPES, _named(_SKETCHES))
 
     sketches = cut(given.mapInArrow(entries, _SKETCHES).withColumn("item", F.xxhash64("item_id", "text")), "item-sketches")
-    bits = sketches.select(F.pmod("hash", F.lit(SIEVE_BITS)).cast("int").alias("bit")).distinct().toArrow().column("bit").to_numpy()
-    sieve = np.zeros(SIEVE_BITS, bool)
-    sieve[bits] = True
-    shared = spark.sparkContext.broadcast((np.packbits(sieve), tuple(sorted(r.width for r in sketches.select("width").distinct().collect()))))
+    shared = spark.sparkContext.broadcast((_sieve(sketches), tuple(sorted(r.width for r in sketches.select("width").distinct().collect()))))
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, widths = shared.value
-        wanted = np.unpackbits(packed).astype(bool)
+        sieve, widths = shared.value
         for batch in batches:
             for part in by_bytes(batch, 2, PART_BYTES):
                 for k, text in enumerate(_texts(part)):
                     for own in widths:
                         found = np.unique(np.array(shingle_hashes(text, own), np.uint64)) if text else np.zeros(0, np.uint64)
-                        found = found[wanted[(found.view(np.int64) % SIEVE_BITS)]].view(np.int64)
+                        place = found.view(np.int64) % (8 * len(sieve))
+                        found = found[(sieve[place >> 3] >> (place & 7) & 1).astype(bool)].view(np.int64)
                         if len(found):
                             same = [pa.array(np.full(len(found), v, np.int64), mask=np.full(len(found), v is None)) if v is not None else pa.nulls(len(found), pa.int64()) for v in (part.column(0)[k].as_py(), part.column(1)[k].as_py())]
                             yield pa.RecordBatch.from_arrays([*same, pa.array(np.full(len(found), own, np.int32)), pa.array(found)], names=_named(_SIFTED))
@@ -201,7 +215,10 @@ def _joined_hits(docs: DataFrame, items: DataFrame, threshold: float, width: int
     tally = sifted.join(lists, (F.col("hash") == F.col("hash_")) & (F.col("width") == F.col("width_"))).groupBy("doc_id", "th", "item").agg(F.count("*").alias("met"), F.max("need").alias("need"))
     pairs = cut(tally.filter("met >= need").select(F.col("doc_id").alias("doc_id_"), F.col("th").alias("th_"), "item"), "item-candidates")
     named = sketches.groupBy(F.col("item").alias("item_")).agg(F.min(F.struct("item_id", "copies", F.col("text").alias("item_text"))).alias("i"))
-    texts = keyed.groupBy("doc_id", "th").agg(F.min("text").alias("text"))
+    candidates = few_or_all(cut(pairs.select(F.col("doc_id_").alias("doc_c"), F.col("th_").alias("th_c")).distinct(), "item-documents"))
+    # Only candidates' texts are grouped: where candidates are few, no other text is shuffled.
+    texts = keyed.join(candidates, F.col("doc_id").eqNullSafe(F.col("doc_c")) & (F.col("th") == F.col("th_c")), "left_semi")
+    texts = texts.groupBy("doc_id", "th").agg(F.min("text").alias("text"))
     both = pairs.join(texts, F.col("doc_id_").eqNullSafe(F.col("doc_id")) & (F.col("th_") == F.col("th"))).join(named, F.col("item") == F.col("item_"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,11 @@ def test_joins_give_the_same_rows(spark, sf_dir, monkeypatch, name):
     assert sorted(map(str, QUERIES[name](spark, sf_dir).collect())) == sorted(map(str, want))
 
 
-def test_items_are_found_by_joins_too(spark, sf_dir):
+@pytest.mark.parametrize("least, most", [(1 << 23, 1 << 28), (1 << 15, 1 << 17), (1 << 15, 1 << 15)])
+def test_items_are_found_by_joins_too(spark, sf_dir, monkeypatch, least, most):
+    """With a map of bits of its usual size, with one that grows with the entries, and with one that is all but full."""
+    monkeypatch.setattr(contamination, "SIEVE_BITS", least)
+    monkeypatch.setattr(contamination, "MOST_SIEVE_BITS", most)
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     want = sorted(contamination.contained_items(docs, items).collect())
     assert want and sorted(contamination.contained_items(docs, items, index_bytes=0).collect()) == want
