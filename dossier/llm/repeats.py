@@ -28,9 +28,11 @@ CHUNK = 4 << 20
 KINDS = 256
 #: Bytes of surroundings that are put in suffix order together.
 COLLECTION = 1 << 19
+#: Bytes of a text whose spans are put together first.
+PLACES = 1 << 20
 
 _SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-_ANCHORS = "id long, th long, anchor long, content long, at long, n int"
+_ANCHORS = "id long, th long, anchor long, content long, at long, n int, reach long, times int"
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -85,9 +87,14 @@ def anchored_runs(data: np.ndarray, ends: np.ndarray, size: int = SIZE) -> tuple
     return first, closes - first, least[first]
 
 
-def anchors(docs: DataFrame, size: int = SIZE, chunk: int = CHUNK) -> DataFrame:
+def anchors(docs: DataFrame, size: int = SIZE, chunk: int = CHUNK, chained: bool = False) -> DataFrame:
     """A row per run of windows with one anchor: the document, the anchor's hash, the hash of the run's bytes, the run's
-    place in the text and its number of windows. docs: id, th, text. Longer texts are taken `chunk` windows at a time."""
+    place in the text and its number of windows. docs: id, th, text. Longer texts are taken `chunk` windows at a time.
+
+    chained: equal runs of a text that follow each other at `size` bytes or less, as in periodic texts, are one row,
+    with how many they are (times) and how far behind the first the last is (reach), so that a text of one byte has a
+    few rows and not one for each byte. Else each is a row, with times 1 and reach 0.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,14 +112,24 @@ def anchors(docs: DataFrame, size: int = SIZE, chunk: int = CHUNK) -> DataFrame:
                     first = first + low
                     owner = np.searchsorted(ends, first, side="right")
                     content = [xxhash.xxh64_intdigest(joined[a:b]) for a, b in zip(first.tolist(), (first + n + size - 1).tolist(), strict=True)]
+                    content = np.array(content, np.uint64)
+                    order = np.lexsort((first, content, anchor, owner))
+                    first, n, anchor, content, owner = (x[order] for x in (first, n, anchor, content, owner))
+                    same = chained & (np.diff(content) == 0) & (np.diff(anchor) == 0) & (np.diff(owner) == 0) & (np.diff(n) == 0) & (np.diff(first) <= size)
+                    opens = np.flatnonzero(np.append(True, ~same))
+                    times = np.diff(np.append(opens, len(first)))
+                    reach = first[opens + times - 1] - first[opens]
+                    first, n, anchor, content, owner = (x[opens] for x in (first, n, anchor, content, owner))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(ids[owner]),
                             pa.array(hashes[owner]),
                             pa.array(anchor.view(np.int64)),
-                            pa.array(np.array(content, np.uint64).view(np.int64)),
+                            pa.array(content.view(np.int64)),
                             pa.array(first - np.append(0, ends)[owner]),
                             pa.array(n.astype(np.int32)),
+                            pa.array(reach),
+                            pa.array(times.astype(np.int32)),
                         ],
                         names=[x.split()[0] for x in _ANCHORS.split(", ")],
                     )
@@ -254,22 +271,26 @@ def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
     copies of one content are one string, weighed by their number, so groups of copies do not grow what is sorted. Only
     where one anchor has different surroundings are these put in suffix order.
     """
-    rows = cut(anchors(docs, size), "repeats-anchors")
-    twice = rows.groupBy(F.col("anchor").alias("anchor_")).agg(F.count("*").alias("rows"), F.min("content").alias("low"), F.max("content").alias("high"))
+    rows = cut(anchors(docs, size, chained=True), "repeats-anchors")
+    twice = rows.groupBy(F.col("anchor").alias("anchor_")).agg(F.sum("times").alias("rows"), F.min("content").alias("low"), F.max("content").alias("high"))
     twice = cut(twice.filter("rows >= 2").select("anchor_", (F.col("low") != F.col("high")).alias("mixed")), "repeats-twice")
     hits = cut(rows.join(twice, F.col("anchor") == F.col("anchor_")).drop("anchor_"), "repeats-hits")
-    kinds = hits.filter("mixed").groupBy("anchor", "content").agg(F.count("*").alias("weight"), F.min(F.struct("id", "th", "at", "n")).alias("one"))
+    kinds = hits.filter("mixed").groupBy("anchor", "content").agg(F.sum("times").alias("weight"), F.min(F.struct("id", "th", "at", "n")).alias("one"))
     kinds = cut(kinds, "repeats-kinds")
     kinds = _with_frequent(kinds).select("anchor", "content", "weight", "frequent", "one.*")
     pieces = cut(_surroundings(docs, kinds, size), "repeats-pieces")
     resolved = _resolved(pieces, size).filter(F.size("ranges") > 0).withColumnsRenamed({"anchor": "anchor_", "content": "content_"})
     resolved = cut(resolved, "repeats-resolved")
     mixed = hits.filter("mixed").join(resolved, (F.col("anchor") == F.col("anchor_")) & (F.col("content") == F.col("content_")))
-    span = lambda a, b: F.struct((F.col("at") + a).alias("a"), (F.col("at") + b + (size - 1)).alias("b"))
-    spans = mixed.select("id", "th", F.transform("ranges", lambda r: span(r["a"], r["b"])).alias("spans")).unionByName(
-        hits.filter("not mixed").select("id", "th", F.array(span(F.lit(0), F.col("n"))).alias("spans"))
+    # Equal runs in one row overlap, so that their spans are one.
+    span = lambda a, b: F.struct((F.col("at") + a).alias("a"), (F.col("at") + F.col("reach") + b + (size - 1)).alias("b"))
+    place = F.floor(F.col("at") / PLACES).alias("place")
+    spans = mixed.select("id", "th", place, F.transform("ranges", lambda r: span(r["a"], r["b"])).alias("spans")).unionByName(
+        hits.filter("not mixed").select("id", "th", place, F.array(span(F.lit(0), F.col("n"))).alias("spans"))
     )
-    return cut(_merged(spans.groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))), "repeats-spans")
+    # Sets, as equal rows have the same spans; and parts of a text first, as a long text has many that touch.
+    parts = _merged(spans.groupBy("id", "th", "place").agg(F.flatten(F.collect_set("spans")).alias("spans")).drop("place"))
+    return cut(_merged(parts.groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))), "repeats-spans")
 
 
 def _merged(lists: DataFrame) -> DataFrame:

@@ -159,6 +159,25 @@ def test_repeats(spark, docs, none):
     assert {r.doc_id: len(r.kept) for r in repeats.without_repeats(twice).collect()} == {1: 1, 2: 2, 3: 200, 4: 200, 9: 0}
 
 
+def test_periodic_texts_and_many_equal_rows(spark):
+    """A text of one byte, a short period, both between other texts, and a text that many rows have."""
+    import random
+
+    rng = random.Random(8)
+    prose = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    rows = [(1, "a" * 300_000, "x"), (2, prose[:700] + "abc" * 50_000 + prose[700:900], "x"), (3, prose[:250] + "a" * 400, "y"), *[(4, prose[1000:2500], "z")] * 3000]
+    made = frame(spark, rows).repartition(5)
+    keyed = made.select(*repeats._keyed(made), "text")
+    assert repeats.anchors(keyed.filter("id < 4"), chained=True).count() < 1000 < repeats.anchors(keyed.filter("id < 4")).count()
+    lists = repeats.repeated_spans(keyed).collect()
+    assert {(r.id, tuple(map(tuple, r.spans))) for r in lists} == {
+        (1, ((0, 300_000),)), (2, ((0, 250), (700, 150_700))), (3, ((0, 650),)), (4, ((0, 1500),)),
+    }
+    got = {r.doc_id: r for r in repeats.without_repeats(made).select("doc_id", "n_bytes", "kept").distinct().collect()}
+    assert len(got[1].kept) == len(got[4].kept) == 0 and got[2].n_bytes == 150_900
+    assert bytes(got[2].kept).decode() == prose[250:700] + prose[700:900]
+
+
 def test_long_texts_are_taken_in_chunks(docs):
     keyed = docs.select(*repeats._keyed(docs), "text")
     want = {(r.id, r.th): max(0, len((r.text or "").encode()) - 199) for r in keyed.collect()}
