@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from dossier.functions.values import KEPT_SESSIONS, RECENT_SESSIONS
 from dossier.sources.schemas import DOCUMENT_RECORD
 
+#: Documents of a session in one part.
+PART_DOCUMENTS = 1_000
+
 
 def read_sessions(rows: DataFrame) -> DataFrame:
     """Stored rows as typed sessions: null agent and document lists are empty."""
@@ -67,19 +70,41 @@ def document_records(documents: DataFrame, texts: bool = False) -> DataFrame:
     return kept.select("doc_id", record.cast(DOCUMENT_RECORD).alias("record"))
 
 
-def assemble_sessions(requests: DataFrame, request_documents: DataFrame, results: DataFrame, mode: str = "demo", documents: DataFrame | None = None) -> DataFrame:
-    """Completed sessions of requests (request_id, question, selected_agents, requested_at) and their results.
+def document_parts(request_documents: DataFrame, documents: DataFrame | None = None, part: int = PART_DOCUMENTS) -> DataFrame:
+    """The document lists of sessions in parts of bounded length: id, part (from 0) and documents, in the requests' order.
 
-    Document lists are in the requests' order; documents: doc_id and record, as document_records() makes them, else
-    records have ids alone. A document that is named but unknown has just its id. Both times are the request's.
+    Part k has the records of ordinals k * part + 1 to (k + 1) * part, so no list of a request is in one row, however
+    many documents it names. documents: as for assemble_sessions().
     """
+    named = _recorded(request_documents, documents).withColumn("part", F.floor((F.col("doc_ordinal") - 1) / part).cast("long"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("doc_ordinal", "doc_id", "record"))), lambda x: x["record"])
+    return named.groupBy(F.col("request_id").alias("id"), "part").agg(listed.alias("documents"))
+
+
+def counted_parts(sessions: DataFrame, parts: DataFrame) -> DataFrame:
+    """Sessions without their documents' array, with n_documents and n_parts from the parts; a session may have none."""
+    counts = parts.groupBy(F.col("id").alias("_id")).agg(F.sum(F.size("documents")).alias("n_documents"), F.count("*").alias("n_parts"))
+    both = sessions.drop("documents").join(counts, F.col("id") == F.col("_id"), "left").drop("_id")
+    return both.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_documents", "n_parts")})
+
+
+def _recorded(request_documents: DataFrame, documents: DataFrame | None) -> DataFrame:
+    """request_documents with the record of each document, of its id alone where that is all there is."""
     only_id = F.from_json(F.to_json(F.struct(F.col("doc_id").alias("id"))), DOCUMENT_RECORD)
     named = request_documents.select("request_id", "doc_ordinal", "doc_id")
     if documents is None:
-        named = named.withColumn("record", only_id)
-    else:
-        named = named.join(documents.select("doc_id", F.col("record").alias("_record")), "doc_id", "left").withColumn("record", F.coalesce("_record", only_id))
-    listed = named.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_ordinal", "doc_id", "record"))), lambda x: x["record"]).alias("d"))
+        return named.withColumn("record", only_id)
+    return named.join(documents.select("doc_id", F.col("record").alias("_record")), "doc_id", "left").withColumn("record", F.coalesce("_record", only_id)).drop("_record")
+
+
+def assemble_sessions(requests: DataFrame, request_documents: DataFrame, results: DataFrame, mode: str = "demo", documents: DataFrame | None = None) -> DataFrame:
+    """Completed sessions of requests (request_id, question, selected_agents, requested_at) and their results.
+
+    Document lists are in the requests' order; documents: doc_id and record, as document_records() makes them, else
+    records have ids alone. A document that is named but unknown has just its id. Both times are the request's. The list
+    is one array, as in the data model; document_parts() has that of a request which names very many.
+    """
+    listed = _recorded(request_documents, documents).groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_ordinal", "doc_id", "record"))), lambda x: x["record"]).alias("d"))
     joined = requests.join(listed, "request_id", "left").join(results, "request_id", "left")
     return joined.select(
         F.col("request_id").alias("id"),

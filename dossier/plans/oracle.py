@@ -242,6 +242,9 @@ ORACLE_SQL = {
       CASE WHEN n_excerpts > 0 THEN name1 || ' p.' || coalesce(page1::VARCHAR, 'n/a') ELSE {_m('report.source.none')} END AS source,
       lit_confidence AS confidence FROM cons WHERE {_ON(5)}""",
     "report_markdown": f"{BRIEFS} SELECT request_id, {MARKDOWN} AS markdown FROM cons",
+    "report_files_round_trip": f"{BRIEFS} SELECT request_id, {MARKDOWN} AS markdown FROM cons",
+    "session_document_parts": f"""WITH {DOCS}, {REQS}, {RD} SELECT request_id AS id, ((doc_ordinal - 1) // 20)::BIGINT AS part, count(*) AS n_documents, arg_min(name, doc_ordinal) AS first_document,
+      arg_max(name, doc_ordinal) AS last_document, arg_max(substring(text, 1, 280), doc_ordinal) AS last_preview FROM rd JOIN docs USING (doc_id) GROUP BY 1, 2""",
     "citation_table": f"{BRIEFS} SELECT request_id, rank AS item, doc_name AS source, {_m('evidence.relevance')} AS relevance, 'Page ' || page AS location, substring(text, 1, 220) AS excerpt FROM ranked JOIN cons USING (request_id) WHERE rank <= 4 AND {_ON(0)}",
     "analysis_bundle": f"{BRIEFS} SELECT request_id, lit_confidence AS literature, n_excerpts, inter_summary AS interaction, adv_summary AS adverse, trial_summary AS trial, conclusion, {MARKDOWN} AS markdown FROM cons",
     "prompt_payloads": f"""{BRIEFS}, p AS (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dossier.functions.text import excerpt, lead_sentences, sanitize
 from dossier.operators import analyses, responses, retrieval, sessions
 from dossier.plans.oracle import ORACLE_SQL
-from dossier.sources import documents, session_store, storage, tables
+from dossier.sources import documents, report_files, session_store, storage, tables
 from dossier.sources import requests as intake
 from dossier.sources.shared import cut, shared_path
 
@@ -290,6 +290,19 @@ def report_markdown(spark, sf_dir):
     return _analysed(spark, sf_dir).select("request_id", F.col("report.markdown_report").alias("markdown"))
 
 
+def report_files_round_trip(spark, sf_dir):
+    """Reports written to shared files, and each read back by its place."""
+    path = shared_path(spark, "report-files")
+    report_files.save_report_files(_analysed(spark, sf_dir), path)
+    return report_files.read_report_files(spark, path)
+
+
+def session_document_parts(spark, sf_dir):
+    parts = sessions.document_parts(tables.request_documents(spark, sf_dir), sessions.document_records(tables.documents(spark, sf_dir)), part=20)
+    first, last = (F.element_at("documents", F.lit(k)) for k in (1, -1))
+    return parts.select("id", "part", F.size("documents").cast("long").alias("n_documents"), first["name"].alias("first_document"), last["name"].alias("last_document"), last["preview"].alias("last_preview"))
+
+
 def citation_table(spark, sf_dir):
     return analyses.citations(_analysed(spark, sf_dir))
 
@@ -482,7 +495,7 @@ QUERIES = {
         ingest_documents, sanitize_text, document_preview, estimate_page_count, pick_sentences, chunk_documents, chunk_page_estimate, chunk_excerpts,
         request_intake, uploaded_requests, uploaded_documents, top_chunks_uploaded, quarantined_documents, tokenize_question, token_weight, validate_requests, validate_requests_strict, remove_documents, append_documents,
         keyword_score, keyword_score_postings, top_chunks, top_chunks_postings, top_chunks_pruned, top_chunks_single, coverage_summary, evidence_items, signal_support, agent_confidence, gate_agents,
-        literature_search, literature_excerpts, trial_summary, consensus, report, report_evidence_table, report_markdown, citation_table, analysis_bundle,
+        literature_search, literature_excerpts, trial_summary, consensus, report, report_evidence_table, report_markdown, report_files_round_trip, session_document_parts, citation_table, analysis_bundle,
         prompt_payloads, prompt_chunks, prompt_upstream, merge_responses, merged_analyses, merged_consensus, merged_report, session_row_mapping, session_upsert, session_lookup, recent_sessions, session_mru, session_cards, dashboard_stats, assemble_sessions, session_round_trip, session_store_upsert, session_store_lookup, session_store_recent, session_store_mru, session_store_stats,
     )
 }

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.messages import MESSAGES
 from dossier.functions.text import strip
+from dossier.operators.numbering import numbered
 from dossier.sources.documents import one_per_text
 
 
@@ -69,6 +70,6 @@ def remove_documents(request_documents: DataFrame, removed: DataFrame) -> DataFr
 def append_documents(request_documents: DataFrame, added: DataFrame) -> DataFrame:
     """added (request_id, doc_ordinal, doc_id) behind the documents that a request has; repeats stay."""
     last = request_documents.groupBy(F.col("request_id").alias("_request")).agg(F.max("doc_ordinal").alias("_last"))
-    turn = F.row_number().over(Window.partitionBy("request_id").orderBy("doc_ordinal", "doc_id"))
-    behind = added.join(last, F.col("request_id") == F.col("_request"), "left").select("request_id", (turn + F.coalesce("_last", F.lit(0))).cast("int").alias("doc_ordinal"), "doc_id")
+    turns = numbered(added.select("request_id", "doc_ordinal", "doc_id"), "request_id", "doc_ordinal", "doc_id")
+    behind = turns.join(last, F.col("request_id") == F.col("_request"), "left").select("request_id", (F.col("number") + F.coalesce("_last", F.lit(0))).cast("int").alias("doc_ordinal"), "doc_id")
     return request_documents.select("request_id", "doc_ordinal", "doc_id").unionByName(behind)

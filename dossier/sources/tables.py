@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions.values import ADVERSE, AGENTS, CONSENSUS, INTERACTION, LITERATURE, TRIAL
+from dossier.operators.numbering import numbered
 from dossier.sources.documents import chunk_documents, ingest_documents
 from dossier.sources.schemas import BUNDLE, DOCUMENT_RECORD
 from dossier.sources.shared import spread
 
 #: When documents count as uploaded and requests as made, as the given tables have no such times.
 UPLOADED = "2024-01-01 00:00:00"
-#: Numbers of documents that are put in order together.
-BLOCK = 1 << 14
 #: Sources of documents; a request names all documents of one.
 SOURCES = 20
 
@@ -53,18 +52,12 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each request names the documents of one source, in order of their numbers.
 
-    Documents are numbered once a source, in blocks of their numbers: within each, and behind all earlier ones, so that
-    no source is in one task.
+    Documents are numbered once a source, in blocks of their numbers, so that no source is in one task.
     """
-    docs = _read(spark, sf_dir, "documents").select("source", "doc_id", F.floor(F.col("doc_id") / BLOCK).alias("block"))
-    counts = docs.groupBy("source", "block").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    skipped = counts.select(F.col("source").alias("_source"), F.col("block").alias("_block"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("skipped"))
-    within = F.row_number().over(Window.partitionBy("source", "block").orderBy("doc_id"))
-    numbered = docs.withColumn("_within", within).join(skipped, (F.col("source") == F.col("_source")) & (F.col("block") == F.col("_block")))
-    numbered = numbered.select("source", (F.col("skipped") + F.col("_within")).cast("int").alias("doc_ordinal"), F.col("doc_id").cast("string").alias("doc_id"))
+    docs = numbered(_read(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id")
+    docs = docs.select("source", F.col("number").cast("int").alias("doc_ordinal"), F.col("doc_id").cast("string").alias("doc_id"))
     wanted = _read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("request_id"), F.concat(F.lit("src"), F.col("item_id") % SOURCES).alias("source"))
-    return wanted.join(numbered, "source").select("request_id", "doc_ordinal", "doc_id")
+    return wanted.join(docs, "source").select("request_id", "doc_ordinal", "doc_id")
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -313,6 +313,45 @@ def test_stored_tables(spark, sf_dir, tmp_path):
     assert text.read_text().strip() == briefs.first().report.markdown_report
 
 
+def test_report_files(spark, tmp_path):
+    """Any report is read by its place; files follow bytes."""
+    from dossier.sources import report_files
+
+    reports = [(f"r{k:03}", (f"# Ünder {k}\n\n" + "x" * (k * 10),)) for k in range(200)] + [("null", (None,)), ("empty", ("",))]
+    made = spark.createDataFrame(reports, "request_id string, report struct<markdown_report:string>").repartition(3)
+    report_files.save_report_files(made, f"{tmp_path}/r", file_bytes=20_000)
+    index = report_files.report_index(spark, f"{tmp_path}/r")
+    assert index.count() == 202 and 10 <= index.select("file").distinct().count() <= 15
+    for r in index.collect():
+        with open(r.file, "rb") as f:
+            f.seek(r.offset)
+            assert f.read(r.length).decode() == (dict(reports)[r.request_id][0] or "")
+    assert {r.request_id: r.markdown for r in report_files.read_report_files(spark, f"{tmp_path}/r").collect()} == {k: v or "" for k, (v,) in reports}
+    some = spark.createDataFrame([("r007",), ("r007",), ("none such",)], "request_id string")
+    assert [r.request_id for r in report_files.read_report_files(spark, f"{tmp_path}/r", some).collect()] == ["r007"]
+    report_files.save_report_files(made.limit(0), f"{tmp_path}/none")
+    assert report_files.read_report_files(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_long_document_lists_are_parts(spark):
+    named = spark.range(30_000).selectExpr("'big' AS request_id", "int(id + 1) AS doc_ordinal", "string(id) AS doc_id").unionByName(spark.createDataFrame([("small", 1, "x"), ("small", 2, None)], "request_id string, doc_ordinal int, doc_id string"))
+    parts = sessions.document_parts(named, part=1000)
+    got = {(r.id, r.part): (len(r.documents), r.documents[0].id) for r in parts.collect()}
+    assert got == {**{("big", k): (1000, str(1000 * k)) for k in range(30)}, ("small", 0): (2, "x")}
+    made = spark.createDataFrame([("big", ["d"]), ("small", []), ("none", [])], "id string, documents array<string>")
+    assert {r.id: (r.n_documents, r.n_parts) for r in sessions.counted_parts(made, parts).collect()} == {"big": (30_000, 30), "small": (2, 1), "none": (0, 0)}
+
+
+def test_numbers_run_through_blocks(spark):
+    from dossier.operators.numbering import numbered
+
+    rows = [(k, o, t) for k in ("a", None) for o, t in [(None, "x"), (7, "b"), (7, "a"), (-3, "c"), (0, "d"), (100, "e"), (15, "f")]]
+    got = numbered(spark.createDataFrame(rows, "key string, o long, t string"), "key", "o", "t", block=8).collect()
+    for key in ("a", None):
+        assert [r.t for r in sorted((r for r in got if r.key == key), key=lambda r: r.number)] == ["x", "c", "d", "a", "b", "f", "e"]
+    assert sorted(r.number for r in got) == sorted(2 * list(range(1, 8)))
+
+
 def test_the_shared_folder(spark, monkeypatch):
     """A local session may do with a temporary folder, a cluster's may not; what was written can be removed."""
     import os
