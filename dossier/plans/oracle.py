@@ -194,6 +194,8 @@ ORACLE_SQL = {
     "estimate_page_count": f"WITH {DOCS} SELECT doc_id, greatest(1, ceil(length(text) / 2600.0))::INTEGER AS page_count FROM docs",
     "pick_sentences": f"WITH {DOCS} SELECT doc_id, {_lead('text')} AS lead FROM docs",
     "chunk_documents": f"WITH {DOCS}, {CHUNKS} SELECT chunk_id, doc_id, doc_name, char_offset, page, text FROM chunks",
+    "stored_chunks": f"WITH {DOCS}, {CHUNKS} SELECT chunk_id, doc_id, doc_name, char_offset, page, text FROM chunks",
+    "top_chunks_stored": f"{TO_RANKED} SELECT request_id, rank, chunk_id, doc_ordinal, page, score FROM ranked",
     "chunk_page_estimate": f"WITH {DOCS}, {CHUNKS} SELECT chunk_id, char_offset, page FROM chunks",
     "chunk_excerpts": f"WITH {DOCS}, {CHUNKS} SELECT chunk_id, substring(text, 1, 220) AS evidence, substring(text, 1, 240) AS coverage, substring(text, 1, 280) AS literature FROM chunks",
     "request_intake": f"WITH {DOCS}, {REQS}, {RD} SELECT request_id, question, len(agents)::BIGINT AS n_agents, doc_ordinal, doc_id FROM reqs LEFT JOIN rd USING (request_id)",

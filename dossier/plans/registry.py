@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dossier.functions.text import excerpt, lead_sentences, sanitize
 from dossier.operators import analyses, responses, retrieval, sessions
 from dossier.plans.oracle import ORACLE_SQL
-from dossier.sources import documents, report_files, session_store, storage, tables
+from dossier.sources import chunk_store, documents, report_files, session_store, storage, tables
 from dossier.sources import requests as intake
 from dossier.sources.shared import cut, shared_path
 
@@ -68,6 +68,23 @@ def chunk_documents(spark, sf_dir):
     return tables.chunks(spark, sf_dir).drop("lower_text")
 
 
+def _stored(spark, sf_dir):
+    """A store made from texts of which some were others then, and refreshed with the texts as they are."""
+    docs, n = tables.documents(spark, sf_dir), F.col("doc_id").cast("long")
+    then = docs.filter(n % 11 != 3).withColumn("text", F.when(n % 7 == 2, F.concat("text", F.lit(" draft"))).otherwise(F.col("text")))
+    return chunk_store.refresh(docs, chunk_store.save_chunks(then, shared_path(spark, "chunk-store"), buckets=8))
+
+
+def stored_chunks(spark, sf_dir):
+    return chunk_store.stored_chunks(spark, _stored(spark, sf_dir)).drop("lower_text")
+
+
+def top_chunks_stored(spark, sf_dir):
+    chunks = chunk_store.stored_chunks(spark, _stored(spark, sf_dir))
+    scored = retrieval.score_chunks(tables.requests(spark, sf_dir), tables.request_documents(spark, sf_dir), chunks)
+    return retrieval.top_chunks(scored, chunks=chunks).select("request_id", "rank", "chunk_id", "doc_ordinal", "page", "score")
+
+
 def chunk_page_estimate(spark, sf_dir):
     return tables.chunks(spark, sf_dir).select("chunk_id", "char_offset", "page")
 
@@ -492,9 +509,9 @@ def assemble_sessions(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        ingest_documents, sanitize_text, document_preview, estimate_page_count, pick_sentences, chunk_documents, chunk_page_estimate, chunk_excerpts,
+        ingest_documents, sanitize_text, document_preview, estimate_page_count, pick_sentences, chunk_documents, stored_chunks, chunk_page_estimate, chunk_excerpts,
         request_intake, uploaded_requests, uploaded_documents, top_chunks_uploaded, quarantined_documents, tokenize_question, token_weight, validate_requests, validate_requests_strict, remove_documents, append_documents,
-        keyword_score, keyword_score_postings, top_chunks, top_chunks_postings, top_chunks_pruned, top_chunks_single, coverage_summary, evidence_items, signal_support, agent_confidence, gate_agents,
+        keyword_score, keyword_score_postings, top_chunks, top_chunks_postings, top_chunks_pruned, top_chunks_stored, top_chunks_single, coverage_summary, evidence_items, signal_support, agent_confidence, gate_agents,
         literature_search, literature_excerpts, trial_summary, consensus, report, report_evidence_table, report_markdown, report_files_round_trip, session_document_parts, citation_table, analysis_bundle,
         prompt_payloads, prompt_chunks, prompt_upstream, merge_responses, merged_analyses, merged_consensus, merged_report, session_row_mapping, session_upsert, session_lookup, recent_sessions, session_mru, session_cards, dashboard_stats, assemble_sessions, session_round_trip, session_store_upsert, session_store_lookup, session_store_recent, session_store_mru, session_store_stats,
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions.messages import MESSAGES
 from dossier.functions.text import excerpt, pages_of, sanitize
+from dossier.functions.values import CHUNK_CHARS
 from dossier.operators.broadcasts import few_or_all
 
 PREVIEW_CHARS = 280
@@ -50,7 +51,7 @@ def one_per_text(raw: DataFrame) -> DataFrame:
     return checked_documents(one.select("doc_id", *(F.col(f"_row.{c}").alias(c) for c in raw.columns if c != "doc_id")))
 
 
-def block_documents(documents: DataFrame, chunk_chars: int = 1500, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def block_documents(documents: DataFrame, chunk_chars: int = CHUNK_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, first_offset, n_chunks and words of each block of consecutive chunks: the distinct runs of a-z and 0-9 in it.
 
     block_chars is a multiple of chunk_chars.
@@ -65,16 +66,17 @@ def block_documents(documents: DataFrame, chunk_chars: int = 1500, block_chars:
     return cut.select("doc_id", "first_offset", chunks.cast("int").alias("n_chunks"), words.alias("words"))
 
 
-def chunk_documents(documents: DataFrame, chunk_chars: int = 1500) -> DataFrame:
+def chunk_documents(documents: DataFrame, chunk_chars: int = CHUNK_CHARS, *more: str) -> DataFrame:
     """Consecutive slices of each text: chunk_id, doc_id, doc_name, char_offset, page, text, lower_text.
 
     An empty or null text has none, and the last slice may be short. The page is estimated from where the slice begins.
+    more: columns of documents that each chunk has too.
     """
     n = F.char_length("text")
     # An inner explode, or a filter of empty texts, would have Spark make the text twice: to test it, and to cut it.
     offsets = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(chunk_chars)))
-    cut = documents.select("doc_id", F.col("name").alias("doc_name"), "text", F.explode_outer(offsets).alias("char_offset")).filter("char_offset is not null")
+    cut = documents.select("doc_id", F.col("name").alias("doc_name"), "text", *more, F.explode_outer(offsets).alias("char_offset")).filter("char_offset is not null")
     chunk = F.substr("text", F.col("char_offset") + 1, F.lit(chunk_chars))
     return cut.select(
-        F.concat_ws("-", "doc_id", "char_offset").alias("chunk_id"), "doc_id", "doc_name", "char_offset", pages_of(F.col("char_offset")).alias("page"), chunk.alias("text"), F.lower(chunk).alias("lower_text")
+        F.concat_ws("-", "doc_id", "char_offset").alias("chunk_id"), "doc_id", "doc_name", "char_offset", pages_of(F.col("char_offset")).alias("page"), chunk.alias("text"), F.lower(chunk).alias("lower_text"), *more
     )
