@@ -82,7 +82,13 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> D
     """
     ids = cut(trusted.select(F.col("doc_id").cast("long").alias("_trusted")).filter("_trusted is not null").distinct(), "trusted")
     few = bounded_broadcast(ids)
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids if few is None else few, F.col("doc_id") == F.col("_trusted"), "left")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if few is None:
+        # Rows without a doc_id match nothing: they are dealt by their texts, not to the one task of the null key.
+        given = given.withColumn("_key", F.coalesce("doc_id", F.xxhash64("text")))
+        marked = given.join(ids, (F.col("_key") == F.col("_trusted")) & F.col("doc_id").isNotNull(), "left").drop("_key")
+    else:
+        marked = given.join(few, F.col("doc_id") == F.col("_trusted"), "left")
     # An inner explode would have Spark test the array's size first, on the expression that makes it, for every element.
     grams = with_buckets(marked, buckets).select(F.col("_trusted").isNotNull().cast("long").alias("t"), F.explode_outer("_buckets").alias("bucket")).filter("bucket is not null")
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))

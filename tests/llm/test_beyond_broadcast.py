@@ -30,3 +30,15 @@ def test_items_are_found_by_joins_too(spark, sf_dir, monkeypatch, least, most):
     assert want and sorted(contamination.contained_items(docs, items, index_bytes=0).collect()) == want
     kept = {r.doc_id for r in contamination.drop_contaminated(docs, items, index_bytes=0).collect()}
     assert kept == {r.doc_id for r in docs.collect()} - {r.doc_id for r in want}
+
+
+def test_rows_without_an_id_are_dealt_by_their_texts(spark, monkeypatch):
+    """Beyond the bound they are spread over tasks, and count as untrusted even where a hash equals a trusted id."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(2000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"))
+    clash = docs.filter("doc_id is null").limit(1).select(F.xxhash64("text").alias("doc_id"))
+    trusted = docs.filter("doc_id < 900").select("doc_id").unionByName(clash)
+    want = quality.log_ratios(docs, trusted, buckets=64).first()
+    monkeypatch.setattr(quality, "bounded_broadcast", lambda *_: None)
+    assert quality.log_ratios(docs, trusted, buckets=64).first() == want
