@@ -17,6 +17,7 @@ LITERATURE, INTERACTION, ADVERSE, TRIAL, CONSENSUS, REPORT = AGENTS = (
     "report-generation",
 )
 
+# Lengths and limits.
 CHUNK_CHARS = 1500
 PAGE_CHARS = 2600
 TOP_CHUNKS = 10

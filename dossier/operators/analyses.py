@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions.messages import MESSAGES
 from dossier.functions.text import contains_any, excerpt, lead_sentences, section_label, source_label
-from dossier.functions.values import ADVERSE, AGENTS, CONSENSUS, INTERACTION, INTERACTION_WORDS, LITERATURE, REPORT, SAFETY_WORDS, TRIAL
+from dossier.functions.values import ADVERSE, AGENTS, CONSENSUS, INTERACTION, INTERACTION_WORDS, LITERATURE, PROMPT_CHUNKS, REPORT, SAFETY_WORDS, TRIAL
 from dossier.operators.responses import parsed
 from dossier.sources.schemas import ANALYSES, BUNDLE, camel
 
@@ -255,7 +255,7 @@ def citations(analysed: DataFrame, messages: dict[str, str] = MESSAGES) -> DataF
     return items.select("request_id", (F.col("pos") + 1).alias("item"), F.col("e.document_name").alias("source"), F.col("e.relevance").alias("relevance"), location.alias("location"), F.col("e.excerpt").alias("excerpt"))
 
 
-def prompt_payloads(analysed: DataFrame, messages: dict[str, str] = MESSAGES, n: int = 6) -> DataFrame:
+def prompt_payloads(analysed: DataFrame, messages: dict[str, str] = MESSAGES, n: int = PROMPT_CHUNKS) -> DataFrame:
     """Inputs of an external model: request_id, agent_id, system, user as JSON and n_chunks, for each selected agent.
 
     The first four get the question and the first n chunks, the screens only matched ones; consensus and report get

@@ -34,7 +34,8 @@ def _scoped(request_documents: DataFrame, chunks: DataFrame, asked: DataFrame) -
     Where lists of documents and tokens are small enough to broadcast, nothing is shuffled; else chunks are joined by
     doc_id, which Spark splits where many requests name one document.
     """
-    named = few_or_all(request_documents.select("request_id", "doc_ordinal", F.col("doc_id").alias("_doc")))
+    # Lists are made once: they are measured before they are joined.
+    named = few_or_all(cut(request_documents.select("request_id", "doc_ordinal", F.col("doc_id").alias("_doc")), "request-documents"))
     met = chunks.join(named, F.col("doc_id") == F.col("_doc")).drop("_doc")
     return met.join(asked, F.col("request_id") == F.col("_request")).drop("_request")
 
