@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dossier.functions.text import excerpt, keyword_score, token_weight, tokenize
 from dossier.functions.values import STOP_WORDS, TOP_CHUNKS
 from dossier.operators.broadcasts import few_or_all
+from dossier.operators.numbering import numbered
 from dossier.sources.documents import BLOCK_CHARS
 from dossier.sources.shared import cut
 
@@ -90,16 +91,16 @@ def _numbered_tokens(requests: DataFrame, stop_words: tuple[str, ...]) -> tuple[
     by_weight = weights.groupBy("request_id", "weight").agg(F.collect_list("number").alias("numbers"))
     asked = by_weight.groupBy(F.col("request_id").alias("_request")).agg(F.collect_list(F.struct("weight", "numbers")).alias("_tokens"))
     asked = requests.select(F.col("request_id").alias("_id")).join(asked, F.col("_id") == F.col("_request"), "left").select(F.col("_id").alias("_request"), "_tokens")
-    return wanted, few_or_all(asked)
+    return wanted, few_or_all(cut(asked, "question-numbers"))
 
 
 def _with_tokens(keys: DataFrame, place: str, wanted: DataFrame) -> DataFrame:
     """keys (doc_id, place, words, ...) with _found, the numbers of the tokens that their words contain, for the words."""
-    matches = cut(words_with_tokens(keys.select(F.explode("words").alias("word")).distinct(), wanted), "word-postings")
-    by_word = matches.groupBy(F.col("word").alias("_word")).agg(F.collect_set("number").alias("numbers"))
+    matches = words_with_tokens(keys.select(F.explode("words").alias("word")).distinct(), wanted)
+    by_word = cut(matches.groupBy(F.col("word").alias("_word")).agg(F.collect_list("number").alias("numbers")), "word-postings")
     runs = keys.select("doc_id", place, F.explode("words").alias("word"))
     found = runs.join(few_or_all(by_word), F.col("word") == F.col("_word"))
-    sets = found.groupBy(F.col("doc_id").alias("_doc"), F.col(place).alias("_place")).agg(F.array_distinct(F.flatten(F.collect_set("numbers"))).alias("_found"))
+    sets = found.groupBy(F.col("doc_id").alias("_doc"), F.col(place).alias("_place")).agg(F.array_distinct(F.flatten(F.collect_list("numbers"))).alias("_found"))
     return keys.drop("words").join(sets, (F.col("doc_id") == F.col("_doc")) & (F.col(place) == F.col("_place")), "left").drop("_doc", "_place")
 
 
@@ -151,13 +152,9 @@ def _scored_blocks(requests: DataFrame, chunks: DataFrame, chosen: DataFrame, bl
 
 
 def _numbered(tokens: DataFrame) -> DataFrame:
-    """token and number, from 1 without gaps: tokens are numbered in blocks of their hash, behind the blocks before."""
-    blocks = tokens.withColumn("block", F.pmod(F.xxhash64("token"), F.lit(BLOCKS)))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
-    counts = blocks.groupBy(F.col("block").alias("_block")).agg(F.count("*").alias("n"))
-    behind = counts.select("_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("block").orderBy("token"))
-    return blocks.withColumn("_within", within).join(behind, F.col("block") == F.col("_block")).select("token", (F.col("_before") + F.col("_within")).cast("int").alias("number"))
+    """token and number, from 1 without gaps; tokens are put in order in blocks of their hash."""
+    rows = tokens.select("token", F.lit(0).alias("_all"), F.pmod(F.xxhash64("token"), F.lit(BLOCKS)).alias("_part"))
+    return numbered(rows, "_all", "_part", "token", block=1).select("token", F.col("number").cast("int").alias("number"))
 
 
 def _grams(word: Column, lengths: list[int]) -> Column:
