@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dossier.functions.values import PAGE_CHARS, STOP_WORDS, WS
+from dossier.functions.values import PAGE_CHARS, STOP_WORDS, WIDE, WS, WS_LATIN
 
 
 def sanitize(text: Column) -> Column:
     """Runs of white space become one space; none at the ends. Null is empty."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), WS, " "))
+    given = F.coalesce(text, F.lit(""))
+    one_space = F.when(F.regexp_like(given, F.lit(WIDE)), F.regexp_replace(given, WS, " ")).otherwise(F.regexp_replace(given, WS_LATIN, " "))
+    return F.trim(one_space)
 
 
 def strip(text: Column) -> Column:

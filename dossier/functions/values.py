@@ -27,3 +27,5 @@ KEPT_SESSIONS = 25
 
 #: White space as JavaScript's \s has it; Java's and RE2's own class is smaller. Valid in Spark and in DuckDB.
 WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+#: The same up to U+00FF, and characters beyond: Java looks the former up in one table, the rest class by class.
+WS_LATIN, WIDE = r"[\t\n\x0B\f\r \x{00A0}]+", r"[^\x00-\xFF]"

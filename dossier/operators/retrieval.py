@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.functions.text import excerpt, keyword_score, token_weight, tokenize
+from dossier.functions.search import number_scores, question_lines, text_scores
+from dossier.functions.text import excerpt, token_weight, tokenize
 from dossier.functions.values import STOP_WORDS, TOP_CHUNKS
-from dossier.operators.broadcasts import few_or_all
+from dossier.operators.broadcasts import bounded_broadcast, few_or_all
 from dossier.operators.numbering import numbered
 from dossier.sources.documents import BLOCK_CHARS
 from dossier.sources.shared import cut
 
 #: Characters of the grams by which words are filed.
 GRAM = 3
+#: Requests of a document in one row, about.
+LISTED = 1_000
 #: Blocks in which distinct words are numbered.
 BLOCKS = 256
 
@@ -25,42 +31,75 @@ def question_tokens(requests: DataFrame, stop_words: tuple[str, ...] = STOP_WORD
 
 
 def _asked(requests: DataFrame, stop_words: tuple[str, ...]) -> DataFrame:
-    """Requests' tokens, made once before any join."""
-    return few_or_all(requests.select(F.col("request_id").alias("_request"), tokenize(F.col("question"), stop_words).alias("_tokens")))
+    """_request and _question, its tokens with their weights as lines of one text; a row a request."""
+    lines = question_lines(tokenize(F.col("question"), stop_words), token_weight)
+    return requests.groupBy(F.col("request_id").alias("_request")).agg(F.max(lines).alias("_question"))
+
 
+def _scoped(request_documents: DataFrame, places: DataFrame, asked: DataFrame, *more: str) -> DataFrame:
+    """places (doc_id, ...), a row for each with _named, the requests of its document, and _asked, their questions.
 
-def _scoped(request_documents: DataFrame, chunks: DataFrame, asked: DataFrame) -> DataFrame:
-    """A row per chunk of each request, with _tokens.
+    more: columns of both that have to be equal too.
 
-    Where lists of documents and tokens are small enough to broadcast, nothing is shuffled; else chunks are joined by
-    doc_id, which Spark splits where many requests name one document.
+    So a text is read once for all its requests, however many they are: only LISTED of them at a time are in one row.
+    Documents with the same requests share one list of questions. Where that is small enough to broadcast, and the
+    documents' lists too, nothing is shuffled; else places are joined by doc_id.
     """
+    asked = cut(asked, "questions")
+    parts = max(1, -(-asked.count() // LISTED))
+    named = request_documents.join(few_or_all(asked.select("_request")), F.col("request_id") == F.col("_request"))
+    keys = {c: f"_of_{c}" for c in ("doc_id", *more)}
+    lists = named.groupBy(*(F.col(c).alias(own) for c, own in keys.items()), F.pmod(F.xxhash64("request_id"), F.lit(parts)).alias("_part")).agg(F.array_sort(F.collect_list(F.struct("request_id", "doc_ordinal"))).alias("_named"))
+    ids = F.transform("_named", lambda x: x["request_id"])
     # Lists are made once: they are measured before they are joined.
-    named = few_or_all(cut(request_documents.select("request_id", "doc_ordinal", F.col("doc_id").alias("_doc")), "request-documents"))
-    met = chunks.join(named, F.col("doc_id") == F.col("_doc")).drop("_doc")
-    return met.join(asked, F.col("request_id") == F.col("_request")).drop("_request")
+    lists = cut(lists.select(*keys.values(), "_named", F.to_json(ids).alias("_set")), "request-lists")
+    each = lists.groupBy("_set").agg(F.any_value(ids).alias("_ids")).select("_set", F.posexplode("_ids").alias("_pos", "_request"))
+    gathered = each.join(few_or_all(asked), "_request").groupBy("_set").agg(F.array_sort(F.collect_list(F.struct("_pos", "_question"))).alias("_q"))
+    sets = cut(gathered.select("_set", F.transform("_q", lambda x: x["_question"]).alias("_asked")), "question-sets")
+    few = bounded_broadcast(sets)
+    of_place = reduce(Column.__and__, (F.col(c) == F.col(own) for c, own in keys.items()))
+    if few is None:
+        met = places.join(lists.join(sets, "_set"), of_place)
+    else:
+        met = places.join(few_or_all(lists), of_place).join(few, "_set")
+    return met.drop("_set", *keys.values())
+
+
+def _each_request(scored: DataFrame, score: str) -> DataFrame:
+    """A row for each of _named and its score, in `score`, from the list _scores."""
+    kept = [c for c in scored.columns if c not in ("_named", "_scores")]
+    each = scored.select(*kept, F.explode(F.arrays_zip("_named", "_scores")).alias("_one"))
+    return each.select(*kept, F.col("_one._named.request_id").alias("request_id"), F.col("_one._named.doc_ordinal").alias("doc_ordinal"), F.col("_one._scores").alias(score))
 
 
 def score_chunks(requests: DataFrame, request_documents: DataFrame, chunks: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """Every chunk of every request, with doc_ordinal and score; chunks that score 0 stay."""
-    scoped = _scoped(request_documents, chunks, _asked(requests, stop_words))
-    return scoped.withColumn("score", keyword_score(F.col("_tokens"), F.col("lower_text"))).drop("_tokens")
+    """Every chunk of every request, with doc_ordinal and score; chunks that score 0 stay.
+
+    A chunk is searched once for all that its requests ask (functions/search.py).
+    """
+    return _searched(_scoped(request_documents, chunks, _asked(requests, stop_words)))
+
+
+def _searched(scoped: DataFrame) -> DataFrame:
+    return _each_request(scoped.withColumn("_scores", text_scores(F.col("_asked"), F.col("lower_text"))).drop("_asked"), "score")
 
 
-def top_chunks(scored: DataFrame, k: int = TOP_CHUNKS, chunks: DataFrame | None = None) -> DataFrame:
+def top_chunks(scored: DataFrame, k: int = TOP_CHUNKS, chunks: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The k best chunks of each request by score, then document order, then offset, with their rank.
 
     Spark keeps k rows of a request in each task before the shuffle. With chunks given, rows are ranked by their keys
     alone, what is left is written to the shared folder, and its texts are looked up; else texts are carried along, but
-    the lower-cased ones.
+    the lower-cased ones. chunks: all of them, or what makes those of some documents (doc_id), so that no other is cut
+    again.
     """
     best = Window.partitionBy("request_id").orderBy(F.desc("score"), "doc_ordinal", "char_offset")
     rank = F.row_number().over(best)
     if chunks is None:
         return scored.drop("lower_text").withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("lower_text", F.lower("text"))
     keys = scored.select("request_id", "doc_ordinal", "doc_id", "char_offset", "score").withColumn("rank", rank).filter(F.col("rank") <= k)
-    won = few_or_all(cut(keys.withColumnsRenamed({"doc_id": "_doc", "char_offset": "_offset"}), "top-chunks"))
-    return chunks.join(won, (F.col("doc_id") == F.col("_doc")) & (F.col("char_offset") == F.col("_offset"))).drop("_doc", "_offset")
+    won = cut(keys.withColumnsRenamed({"doc_id": "_doc", "char_offset": "_offset"}), "top-chunks")
+    found = chunks(won.select(F.col("_doc").alias("doc_id")).distinct()) if callable(chunks) else chunks
+    return found.join(few_or_all(won), (F.col("doc_id") == F.col("_doc")) & (F.col("char_offset") == F.col("_offset"))).drop("_doc", "_offset")
 
 
 def top_chunks_single(scored: DataFrame, k: int = TOP_CHUNKS) -> DataFrame:
@@ -80,18 +119,17 @@ def score_by_postings(requests: DataFrame, request_documents: DataFrame, chunks:
     # Texts are taken apart once: what follows reads the written words.
     keys = cut(chunks.select("chunk_id", "doc_id", "char_offset", "page", words.alias("words")), "chunk-words")
     scoped = _scoped(request_documents, _with_tokens(keys, "char_offset", wanted), asked)
-    return scoped.withColumn("score", _shared_weight()).drop("_tokens", "_found")
+    return _each_request(_shared(scoped), "score")
 
 
 def _numbered_tokens(requests: DataFrame, stop_words: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """The questions' distinct tokens with numbers, and each request's numbers by their weight, as _tokens."""
+    """The questions' distinct tokens with numbers, and each request's numbers and their weights, as _question."""
     tokens = question_tokens(requests, stop_words)
     wanted = few_or_all(cut(_numbered(tokens.select("token").distinct()), "question-words"))
-    weights = tokens.groupBy("request_id", "token").agg(F.sum("weight").cast("int").alias("weight")).join(wanted, "token")
-    by_weight = weights.groupBy("request_id", "weight").agg(F.collect_list("number").alias("numbers"))
-    asked = by_weight.groupBy(F.col("request_id").alias("_request")).agg(F.collect_list(F.struct("weight", "numbers")).alias("_tokens"))
-    asked = requests.select(F.col("request_id").alias("_id")).join(asked, F.col("_id") == F.col("_request"), "left").select(F.col("_id").alias("_request"), "_tokens")
-    return wanted, few_or_all(cut(asked, "question-numbers"))
+    numbers = tokens.join(wanted, "token").groupBy(F.col("request_id").alias("_request")).agg(F.collect_list(F.struct("number", "weight")).alias("_numbers"))
+    lines = F.array_join(F.transform("_numbers", lambda x: F.concat_ws(" ", x["weight"], x["number"])), "\n")
+    ids = requests.select(F.col("request_id").alias("_id")).distinct()
+    return wanted, ids.join(numbers, F.col("_id") == F.col("_request"), "left").select(F.col("_id").alias("_request"), lines.alias("_question"))
 
 
 def _with_tokens(keys: DataFrame, place: str, wanted: DataFrame) -> DataFrame:
@@ -104,10 +142,10 @@ def _with_tokens(keys: DataFrame, place: str, wanted: DataFrame) -> DataFrame:
     return keys.drop("words").join(sets, (F.col("doc_id") == F.col("_doc")) & (F.col(place) == F.col("_place")), "left").drop("_doc", "_place")
 
 
-def _shared_weight() -> Column:
-    """Sum of the weights of the numbers that a question (_tokens) and a place (_found) share."""
-    total = F.aggregate("_tokens", F.lit(0), lambda total, x: total + x["weight"] * F.size(F.array_intersect(x["numbers"], F.col("_found"))))
-    return F.when(F.col("_found").isNull() | F.col("_tokens").isNull(), 0).otherwise(total)
+def _shared(scoped: DataFrame) -> DataFrame:
+    """scoped with _scores: for each question (_asked) the weights of the numbers that it shares with a place (_found)."""
+    found = F.coalesce("_found", F.array().cast("array<int>"))
+    return scoped.withColumn("_scores", number_scores(F.col("_asked"), found)).drop("_asked", "_found")
 
 
 def score_candidates(requests: DataFrame, request_documents: DataFrame, chunks: DataFrame, blocks: DataFrame, k: int = TOP_CHUNKS, stop_words: tuple[str, ...] = STOP_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -121,7 +159,7 @@ def score_candidates(requests: DataFrame, request_documents: DataFrame, chunks:
     wanted, asked = _numbered_tokens(requests, stop_words)
     keys = cut(blocks.select("doc_id", "first_offset", "n_chunks", "words"), "block-words")
     scoped = _scoped(request_documents, _with_tokens(keys, "first_offset", wanted), asked)
-    bounds = cut(scoped.select("request_id", "doc_ordinal", "doc_id", "first_offset", "n_chunks", _shared_weight().alias("bound")), "block-bounds")
+    bounds = cut(_each_request(_shared(scoped), "bound").select("request_id", "doc_ordinal", "doc_id", "first_offset", "n_chunks", "bound"), "block-bounds")
     best = Window.partitionBy("request_id").orderBy(F.desc("bound"), "doc_ordinal", "first_offset")
     first = bounds.withColumn("_turn", F.row_number().over(best)).filter(F.col("_turn") <= k)  # each task keeps k of a request
     ahead = F.coalesce(F.sum("n_chunks").over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -145,10 +183,8 @@ def _place_in_order(score: str, offset: str) -> Column:
 
 def _scored_blocks(requests: DataFrame, chunks: DataFrame, chosen: DataFrame, block_chars: int, stop_words: tuple[str, ...]) -> DataFrame:
     """score_chunks() of the chunks of chosen (request_id, doc_ordinal, doc_id, first_offset) blocks."""
-    few = few_or_all(chosen.select("request_id", "doc_ordinal", F.col("doc_id").alias("_doc"), F.col("first_offset").alias("_first")))
-    met = chunks.join(few, (F.col("doc_id") == F.col("_doc")) & (F.col("char_offset") - F.col("char_offset") % block_chars == F.col("_first"))).drop("_doc", "_first")
-    met = met.join(_asked(requests, stop_words), F.col("request_id") == F.col("_request")).drop("_request")
-    return met.withColumn("score", keyword_score(F.col("_tokens"), F.col("lower_text"))).drop("_tokens")
+    blocks = chunks.withColumn("first_offset", F.col("char_offset") - F.col("char_offset") % block_chars)
+    return _searched(_scoped(chosen, blocks, _asked(requests, stop_words), "first_offset").drop("first_offset"))
 
 
 def _numbered(tokens: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.top_chunks(_scored(spark, sf_dir), chunks=tables.chunks(spark, sf_dir))
+    return retrieval.top_chunks(_scored(spark, sf_dir), chunks=tables.chunks_of(spark, sf_dir))
 
 
 def _briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +172,7 @@ def _by_postings(spark, sf_dir):
 
 
 def top_chunks_postings(spark, sf_dir):
-    ranked = retrieval.top_chunks(_by_postings(spark, sf_dir), chunks=tables.chunks(spark, sf_dir))
+    ranked = retrieval.top_chunks(_by_postings(spark, sf_dir), chunks=tables.chunks_of(spark, sf_dir))
     return ranked.select("request_id", "rank", "chunk_id", "doc_ordinal", "page", "score")
 
 
@@ -180,7 +180,7 @@ def top_chunks_pruned(spark, sf_dir):
     """The same from the chunks that bounds of blocks leave over."""
     chunks = tables.chunks(spark, sf_dir)
     scored = retrieval.score_candidates(tables.requests(spark, sf_dir), tables.request_documents(spark, sf_dir), chunks, documents.block_documents(tables.documents(spark, sf_dir)))
-    return retrieval.top_chunks(scored, chunks=chunks).select("request_id", "rank", "chunk_id", "doc_ordinal", "page", "score")
+    return retrieval.top_chunks(scored, chunks=tables.chunks_of(spark, sf_dir)).select("request_id", "rank", "chunk_id", "doc_ordinal", "page", "score")
 
 
 def top_chunks(spark, sf_dir):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions.values import ADVERSE, AGENTS, CONSENSUS, INTERACTION, LITERATURE, TRIAL
+from dossier.operators.broadcasts import few_or_all
 from dossier.operators.numbering import numbered
 from dossier.sources.documents import chunk_documents, ingest_documents
 from dossier.sources.schemas import BUNDLE, DOCUMENT_RECORD
@@ -21,8 +24,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(_read(spark, sf_dir, "documents"))
+def raw_documents(spark: SparkSession, sf_dir: str, named: DataFrame | None = None) -> DataFrame:
+    """named: the documents that are read (doc_id, distinct), where not all are."""
+    docs = _read(spark, sf_dir, "documents")
+    if named is None:
+        docs = spread(docs)
+    else:
+        docs = docs.join(few_or_all(named.select(F.col("doc_id").cast("long").alias("doc_id"))), "doc_id", "left_semi")
     return docs.select(
         F.col("doc_id").cast("string").alias("doc_id"),
         F.concat(F.col("source"), F.lit("-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"),
@@ -41,6 +49,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_documents(documents(spark, sf_dir))
 
 
+def chunks_of(spark: SparkSession, sf_dir: str) -> Callable[[DataFrame], DataFrame]:
+    """Makes the chunks of some documents (doc_id, distinct): others are neither cleaned nor cut."""
+    return lambda named: chunk_documents(ingest_documents(raw_documents(spark, sf_dir, named)))
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request per benchmark item; bit i of its id leaves out analysis i."""
     chosen = F.filter(F.array(*(F.when(F.col("item_id").bitwiseAND(1 << i) == 0, agent) for i, agent in enumerate(AGENTS))), lambda a: a.isNotNull())
