@@ -98,10 +98,15 @@ def top_chunks(scored: DataFrame, k: int = TOP_CHUNKS, chunks: DataFrame | Calla
         return scored.drop("lower_text").withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("lower_text", F.lower("text"))
     keys = scored.select("request_id", "doc_ordinal", "doc_id", "char_offset", "score").withColumn("rank", rank).filter(F.col("rank") <= k)
     won = cut(keys.withColumnsRenamed({"doc_id": "_doc", "char_offset": "_offset"}), "top-chunks")
-    found = chunks(won.select(F.col("_doc").alias("doc_id")).distinct()) if callable(chunks) else chunks
+    found = _chunks_of(chunks, won.select(F.col("_doc").alias("doc_id")))
     return found.join(few_or_all(won), (F.col("doc_id") == F.col("_doc")) & (F.col("char_offset") == F.col("_offset"))).drop("_doc", "_offset")
 
 
+def _chunks_of(chunks: DataFrame | Callable[[DataFrame], DataFrame], named: DataFrame) -> DataFrame:
+    """Chunks, those of the named documents (doc_id) at least."""
+    return chunks(named.distinct()) if callable(chunks) else chunks
+
+
 def top_chunks_single(scored: DataFrame, k: int = TOP_CHUNKS) -> DataFrame:
     """The same for one request: a top-k without a window."""
     return scored.orderBy(F.desc("score"), "doc_ordinal", "char_offset").limit(k)
@@ -148,10 +153,10 @@ def _shared(scoped: DataFrame) -> DataFrame:
     return scoped.withColumn("_scores", number_scores(F.col("_asked"), found)).drop("_asked", "_found")
 
 
-def score_candidates(requests: DataFrame, request_documents: DataFrame, chunks: DataFrame, blocks: DataFrame, k: int = TOP_CHUNKS, stop_words: tuple[str, ...] = STOP_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def score_candidates(requests: DataFrame, request_documents: DataFrame, chunks: DataFrame | Callable[[DataFrame], DataFrame], blocks: DataFrame, k: int = TOP_CHUNKS, stop_words: tuple[str, ...] = STOP_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Rows of score_chunks() that hold the k best chunks of each request; most others are never scored.
 
-    blocks: as block_documents() makes them, of block_chars characters. What a block's words share with a question
+    chunks: as for top_chunks(). blocks: as block_documents() makes them, of block_chars characters. What a block's words share with a question
     bounds the score of its chunks. The blocks with the greatest bounds are scored first, as many as have k chunks; of
     the rest those are scored whose bound, or on a tie whose place in the order of documents, is ahead of the k-th best
     chunk found so far. A request with fewer than k chunks has all of them.
@@ -181,9 +186,9 @@ def _place_in_order(score: str, offset: str) -> Column:
     return F.struct((-F.col(score)).alias("score"), F.col("doc_ordinal").alias("ordinal"), F.col(offset).alias("offset"))
 
 
-def _scored_blocks(requests: DataFrame, chunks: DataFrame, chosen: DataFrame, block_chars: int, stop_words: tuple[str, ...]) -> DataFrame:
+def _scored_blocks(requests: DataFrame, chunks: DataFrame | Callable[[DataFrame], DataFrame], chosen: DataFrame, block_chars: int, stop_words: tuple[str, ...]) -> DataFrame:
     """score_chunks() of the chunks of chosen (request_id, doc_ordinal, doc_id, first_offset) blocks."""
-    blocks = chunks.withColumn("first_offset", F.col("char_offset") - F.col("char_offset") % block_chars)
+    blocks = _chunks_of(chunks, chosen.select("doc_id")).withColumn("first_offset", F.col("char_offset") - F.col("char_offset") % block_chars)
     return _searched(_scoped(chosen, blocks, _asked(requests, stop_words), "first_offset").drop("first_offset"))
 
 

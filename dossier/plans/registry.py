@@ -178,9 +178,9 @@ def top_chunks_postings(spark, sf_dir):
 
 def top_chunks_pruned(spark, sf_dir):
     """The same from the chunks that bounds of blocks leave over."""
-    chunks = tables.chunks(spark, sf_dir)
+    chunks = tables.chunks_of(spark, sf_dir)
     scored = retrieval.score_candidates(tables.requests(spark, sf_dir), tables.request_documents(spark, sf_dir), chunks, documents.block_documents(tables.documents(spark, sf_dir)))
-    return retrieval.top_chunks(scored, chunks=tables.chunks_of(spark, sf_dir)).select("request_id", "rank", "chunk_id", "doc_ordinal", "page", "score")
+    return retrieval.top_chunks(scored, chunks=chunks).select("request_id", "rank", "chunk_id", "doc_ordinal", "page", "score")
 
 
 def top_chunks(spark, sf_dir):

@@ -66,3 +66,20 @@ def test_white_space_beyond_latin(spark):
     rows = ["a b\tc  d", "  é ü ", "a 　 b﻿", "日本   語", " \n"]
     got = spark.createDataFrame([(t,) for t in rows], "t string").select(text.sanitize(F.col("t")).alias("s")).collect()
     assert [r.s for r in got] == ["a b c d", "é ü", "a b", "日本 語", ""]
+
+
+def test_candidates_are_cut_from_their_documents_alone(spark, sf_dir):
+    from dossier.sources.documents import block_documents
+
+    blocks = block_documents(tables.documents(spark, sf_dir))
+    asked, named = tables.requests(spark, sf_dir), tables.request_documents(spark, sf_dir)
+    made = []
+
+    def of(wanted):
+        made.append(wanted.count())
+        return tables.chunks_of(spark, sf_dir)(wanted)
+
+    some = retrieval.score_candidates(asked, named, of, blocks, k=1)
+    columns = ("request_id", "chunk_id", "score")
+    assert sorted(some.select(*columns).collect()) == sorted(retrieval.score_candidates(asked, named, tables.chunks(spark, sf_dir), blocks, k=1).select(*columns).collect())
+    assert len(made) == 2 and made[0] < blocks.select("doc_id").distinct().count()
