@@ -12,6 +12,7 @@ from dossier.functions.search import number_scores, question_lines, text_scores
 from dossier.functions.text import excerpt, token_weight, tokenize
 from dossier.functions.values import STOP_WORDS, TOP_CHUNKS
 from dossier.operators.broadcasts import bounded_broadcast, few_or_all
+from dossier.operators.bundles import bundle_words, bundled, with_found
 from dossier.operators.numbering import numbered
 from dossier.sources.documents import BLOCK_CHARS
 from dossier.sources.shared import cut
@@ -120,10 +121,8 @@ def score_by_postings(requests: DataFrame, request_documents: DataFrame, chunks:
     is made of the numbers that chunk and question share. So no text is searched for a token of any request.
     """
     wanted, asked = _numbered_tokens(requests, stop_words)
-    words = F.array_distinct(F.regexp_extract_all("lower_text", F.lit("[a-z0-9]+"), F.lit(0)))
-    # Texts are taken apart once: what follows reads the written words.
-    keys = cut(chunks.select("chunk_id", "doc_id", "char_offset", "page", words.alias("words")), "chunk-words")
-    scoped = _scoped(request_documents, _with_tokens(keys, "char_offset", wanted), asked)
+    found = _with_tokens(chunks.select("chunk_id", "doc_id", "char_offset", "page", "lower_text"), wanted)
+    scoped = _scoped(request_documents, found, asked)
     return _each_request(_shared(scoped), "score")
 
 
@@ -137,20 +136,22 @@ def _numbered_tokens(requests: DataFrame, stop_words: tuple[str, ...]) -> tuple[
     return wanted, ids.join(numbers, F.col("_id") == F.col("_request"), "left").select(F.col("_id").alias("_request"), lines.alias("_question"))
 
 
-def _with_tokens(keys: DataFrame, place: str, wanted: DataFrame) -> DataFrame:
-    """keys (doc_id, place, words, ...) with _found, the numbers of the tokens that their words contain, for the words."""
-    matches = words_with_tokens(keys.select(F.explode("words").alias("word")).distinct(), wanted)
+def _with_tokens(places: DataFrame, wanted: DataFrame) -> DataFrame:
+    """places (lower_text, ...) with _found, the numbers of the tokens that their words contain, for the text.
+
+    Words are looked up once for a bundle of places: neither words nor their numbers are shuffled for each place.
+    """
+    # Texts are taken apart once: what follows reads the written words.
+    rows = cut(bundled(places, "lower_text"), "place-words")
+    words = bundle_words(rows)
+    matches = words_with_tokens(words.select("word").distinct(), wanted)
     by_word = cut(matches.groupBy(F.col("word").alias("_word")).agg(F.collect_list("number").alias("numbers")), "word-postings")
-    runs = keys.select("doc_id", place, F.explode("words").alias("word"))
-    found = runs.join(few_or_all(by_word), F.col("word") == F.col("_word"))
-    sets = found.groupBy(F.col("doc_id").alias("_doc"), F.col(place).alias("_place")).agg(F.array_distinct(F.flatten(F.collect_list("numbers"))).alias("_found"))
-    return keys.drop("words").join(sets, (F.col("doc_id") == F.col("_doc")) & (F.col(place) == F.col("_place")), "left").drop("_doc", "_place")
+    return with_found(rows, words.join(few_or_all(by_word), F.col("word") == F.col("_word")))
 
 
 def _shared(scoped: DataFrame) -> DataFrame:
     """scoped with _scores: for each question (_asked) the weights of the numbers that it shares with a place (_found)."""
-    found = F.coalesce("_found", F.array().cast("array<int>"))
-    return scoped.withColumn("_scores", number_scores(F.col("_asked"), found)).drop("_asked", "_found")
+    return scoped.withColumn("_scores", number_scores(F.col("_asked"), F.col("_found"))).drop("_asked", "_found")
 
 
 def score_candidates(requests: DataFrame, request_documents: DataFrame, chunks: DataFrame | Callable[[DataFrame], DataFrame], blocks: DataFrame, k: int = TOP_CHUNKS, stop_words: tuple[str, ...] = STOP_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -162,8 +163,8 @@ def score_candidates(requests: DataFrame, request_documents: DataFrame, chunks:
     chunk found so far. A request with fewer than k chunks has all of them.
     """
     wanted, asked = _numbered_tokens(requests, stop_words)
-    keys = cut(blocks.select("doc_id", "first_offset", "n_chunks", "words"), "block-words")
-    scoped = _scoped(request_documents, _with_tokens(keys, "first_offset", wanted), asked)
+    found = _with_tokens(blocks.select("doc_id", "first_offset", "n_chunks", "lower_text"), wanted)
+    scoped = _scoped(request_documents, found, asked)
     bounds = cut(_each_request(_shared(scoped), "bound").select("request_id", "doc_ordinal", "doc_id", "first_offset", "n_chunks", "bound"), "block-bounds")
     best = Window.partitionBy("request_id").orderBy(F.desc("bound"), "doc_ordinal", "first_offset")
     first = bounds.withColumn("_turn", F.row_number().over(best)).filter(F.col("_turn") <= k)  # each task keeps k of a request

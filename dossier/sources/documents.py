@@ -52,7 +52,7 @@ def one_per_text(raw: DataFrame) -> DataFrame:
 
 
 def block_documents(documents: DataFrame, chunk_chars: int = CHUNK_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, first_offset, n_chunks and words of each block of consecutive chunks: the distinct runs of a-z and 0-9 in it.
+    """doc_id, first_offset, n_chunks and lower_text of each block of consecutive chunks.
 
     block_chars is a multiple of chunk_chars.
     A run that chunks cut in two is whole here, so a block's words hold all that its chunks' words do, and may hold more.
@@ -61,9 +61,9 @@ def block_documents(documents: DataFrame, chunk_chars: int = CHUNK_CHARS, block_
     n = F.char_length("text")
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(block_chars)))
     cut = documents.select("doc_id", "text", F.explode_outer(starts).alias("first_offset")).filter("first_offset is not null")
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.substr("text", F.col("first_offset") + 1, F.lit(block_chars))), F.lit("[a-z0-9]+"), F.lit(0)))
+    lower = F.lower(F.substr("text", F.col("first_offset") + 1, F.lit(block_chars)))
     chunks = F.ceil((F.least(n, F.col("first_offset") + block_chars) - F.col("first_offset")) / chunk_chars)
-    return cut.select("doc_id", "first_offset", chunks.cast("int").alias("n_chunks"), words.alias("words"))
+    return cut.select("doc_id", "first_offset", chunks.cast("int").alias("n_chunks"), lower.alias("lower_text"))
 
 
 def chunk_documents(documents: DataFrame, chunk_chars: int = CHUNK_CHARS, *more: str) -> DataFrame:

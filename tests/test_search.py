@@ -1,12 +1,14 @@
 """Texts are read once for all questions, and only documents with best chunks are cut again."""
 
 import random
+import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from dossier.functions import text
 from dossier.functions.search import number_scores, question_lines, text_scores
-from dossier.operators import retrieval
+from dossier.operators import bundles, retrieval
 from dossier.sources import tables
 from dossier.sources.documents import chunk_documents, ingest_documents
 
@@ -83,3 +85,46 @@ def test_candidates_are_cut_from_their_documents_alone(spark, sf_dir):
     columns = ("request_id", "chunk_id", "score")
     assert sorted(some.select(*columns).collect()) == sorted(retrieval.score_candidates(asked, named, tables.chunks(spark, sf_dir), blocks, k=1).select(*columns).collect())
     assert len(made) == 2 and made[0] < blocks.select("doc_id").distinct().count()
+
+
+def test_words_are_looked_up_once_a_bundle(spark, sf_dir, monkeypatch):
+    written = {}
+
+    def noted(df, name, own=retrieval.cut):
+        written[name] = own(df, name)
+        return written[name]
+
+    monkeypatch.setattr(retrieval, "cut", noted)
+    chunks, asked, named = tables.chunks(spark, sf_dir), tables.requests(spark, sf_dir), tables.request_documents(spark, sf_dir)
+    columns = ("request_id", "chunk_id", "doc_ordinal", "page", "score")
+    want = sorted(retrieval.score_chunks(asked, named, chunks).select(*columns).collect())
+    own = F.size(F.array_distinct(F.regexp_extract_all("lower_text", F.lit("[a-z0-9]+"), F.lit(0))))
+    pairs = chunks.agg(F.sum(own)).first()[0]
+    looked_up = []
+    for size in (bundles.BUNDLE, 3):
+        monkeypatch.setattr(bundles, "BUNDLE", size)
+        assert sorted(retrieval.score_by_postings(asked, named, chunks).select(*columns).collect()) == want
+        looked_up.append(bundles.bundle_words(written["place-words"]).count())
+    assert looked_up[0] < 0.6 * pairs and looked_up[0] < looked_up[1] < pairs
+
+
+def test_numbers_of_texts_by_bundles(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["a", "ab", "ba", "7", "x" * 9, "none"]
+    of = {"a": [1], "ab": [1, 2, 40], "ba": [2, 1], "7": [7], "x" * 9: [5000]}
+    texts = [rng.choice(["", "é", "-"]).join(f"{rng.choice(words)} " for _ in range(rng.choice([0, 1, 9]))) for _ in range(50)] + [None, "", "é日 -", "none", "a\u00a0b\x00ab"]
+    monkeypatch.setattr(bundles, "BUNDLE", 4)
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(3)
+    rows = retrieval.cut(bundles.bundled(df, "t"), "bundles")
+    numbers = spark.createDataFrame(list(of.items()), "w string, numbers array<int>")
+    found = bundles.with_found(rows, bundles.bundle_words(rows).join(numbers, F.col("word") == F.col("w")))
+    assert found.columns == ["k", "_found"] and rows.filter("_words is not null").count() == rows.select("_bundle").distinct().count() >= 14
+    runs = {k: re.findall("[a-z0-9]+", t or "") for k, t in enumerate(texts)}
+    assert {r.k: r["_found"] for r in found.collect()} == {k: sorted({n for w in own for n in of.get(w, [])}) for k, own in runs.items()}
+    # The same in pieces of a bundle.
+    one = bundles._taken(pa.array(texts))
+    listed = pa.table({"_id": pa.array([0, 2], pa.int32()), "numbers": pa.array([[3, 1], [2]], pa.list_(pa.int32()))})
+    whole = bundles._numbers_of(one[0], listed)
+    monkeypatch.setattr(bundles, "_CELLS", 1)
+    assert bundles._numbers_of(one[0], listed) == whole and set(whole.flatten().to_pylist()) == {1, 2, 3}
+    assert bundles._numbers_of(one[0], listed.slice(2)).to_pylist() == [[]] * len(texts)
