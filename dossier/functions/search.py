@@ -18,7 +18,7 @@ _CLASSES = 37
 _CLASS = np.zeros(256, np.intp)
 _CLASS[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)] = np.arange(1, _CLASSES)
 _TWO, _THREE = _CLASSES, _CLASSES + _CLASSES**2
-_CODES = _THREE + _CLASSES**3
+GRAM_CODES = _THREE + _CLASSES**3
 #: Grams of a token that are looked up before the token is searched for.
 _GRAMS = 8
 
@@ -51,13 +51,13 @@ class _Search:
 
     def __init__(self, asked: _Asked):
         self.tokens = asked.tokens
-        own = [_codes(t.encode())[min(len(t), 3) - 1][:_GRAMS] for t in self.tokens]
+        own = [gram_codes(t.encode())[min(len(t), 3) - 1][:_GRAMS] for t in self.tokens]
         self.codes = np.array([[*c, *[c[0]] * (_GRAMS - len(c))] for c in own], np.intp).reshape(-1, _GRAMS).T.copy()
         self.long = np.array([len(t) > 3 for t in self.tokens], bool)
-        self.present = np.zeros(_CODES, bool)
+        self.present = np.zeros(GRAM_CODES, bool)
 
     def has(self, text: str) -> np.ndarray:
-        grams = _codes(text.encode())
+        grams = gram_codes(text.encode())
         for codes in grams:
             self.present[codes] = True
         found = self.present.take(self.codes).all(axis=0)
@@ -68,7 +68,7 @@ class _Search:
         return found
 
 
-def _codes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def gram_codes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes of all grams of one, two and three bytes."""
     one = _CLASS[np.frombuffer(text, np.uint8)]
     two = one[:-1] * _CLASSES + one[1:]

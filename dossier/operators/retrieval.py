@@ -13,12 +13,11 @@ from dossier.functions.text import excerpt, token_weight, tokenize
 from dossier.functions.values import STOP_WORDS, TOP_CHUNKS
 from dossier.operators.broadcasts import bounded_broadcast, few_or_all
 from dossier.operators.bundles import bundle_words, bundled, with_found
+from dossier.operators.grams import GRAM, filed, gram_counts, token_grams
 from dossier.operators.numbering import numbered
 from dossier.sources.documents import BLOCK_CHARS
 from dossier.sources.shared import cut
 
-#: Characters of the grams by which words are filed.
-GRAM = 3
 #: Requests of a document in one row, about.
 LISTED = 1_000
 #: Blocks in which distinct words are numbered.
@@ -116,8 +115,8 @@ def top_chunks_single(scored: DataFrame, k: int = TOP_CHUNKS) -> DataFrame:
 def score_by_postings(requests: DataFrame, request_documents: DataFrame, chunks: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """The same rows, without their texts, by way of an index of words, for large batches of questions.
 
-    A token is in a text if and only if it is in one of the text's runs of a-z and 0-9. words_with_tokens() finds the
-    distinct runs that have each token; each chunk then has the numbers of the tokens that its runs have, and a score
+    A token is in a text if and only if it is in one of the text's runs of a-z and 0-9. _numbers_of_words() finds the
+    tokens that each distinct run has; each chunk then has the numbers of the tokens that its runs have, and a score
     is made of the numbers that chunk and question share. So no text is searched for a token of any request.
     """
     wanted, asked = _numbered_tokens(requests, stop_words)
@@ -144,8 +143,7 @@ def _with_tokens(places: DataFrame, wanted: DataFrame) -> DataFrame:
     # Texts are taken apart once: what follows reads the written words.
     rows = cut(bundled(places, "lower_text"), "place-words")
     words = bundle_words(rows)
-    matches = words_with_tokens(words.select("word").distinct(), wanted)
-    by_word = cut(matches.groupBy(F.col("word").alias("_word")).agg(F.collect_list("number").alias("numbers")), "word-postings")
+    by_word = cut(_numbers_of_words(words.select("word").distinct(), wanted), "word-postings")
     return with_found(rows, words.join(few_or_all(by_word), F.col("word") == F.col("_word")))
 
 
@@ -199,32 +197,33 @@ def _numbered(tokens: DataFrame) -> DataFrame:
     return numbered(rows, "_all", "_part", "token", block=1).select("token", F.col("number").cast("int").alias("number"))
 
 
-def _grams(word: Column, lengths: list[int]) -> Column:
-    """Distinct substrings of a word of these few lengths."""
-    n = F.char_length(word)
-    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr(word, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.flatten(F.array(*map(of, lengths)))) if lengths else F.array().cast("array<string>")
+def words_with_tokens(words: DataFrame, tokens: DataFrame) -> DataFrame:
+    """word and number of each of the tokens (token, number) that a word (word, distinct) contains; both of a-z and 0-9."""
+    found = _numbers_of_words(words, tokens)
+    return found.select(F.col("_word").alias("word"), F.explode("numbers").alias("number"))
 
 
-def words_with_tokens(words: DataFrame, tokens: DataFrame, gram: int = GRAM) -> DataFrame:
-    """word and number of each of the tokens (token, number) that a word (word, distinct) contains.
+def _numbers_of_words(words: DataFrame, tokens: DataFrame) -> DataFrame:
+    """_word and numbers, those of the tokens that the word contains, of words that contain some.
 
     An index of q-grams: a word that contains a token has all the token's grams, so the list of the rarest one of them
-    has every such word, and its words are verified. A token shorter than q is its own gram; lists of such lengths are
-    made only where there are such tokens. Lists of grams that no token has are never made.
+    has every such word, and its words are verified. A token of up to q characters is a gram itself, so its numbers are
+    read off the words' grams. Lists of other grams are never made.
     """
-    lengths = sorted(r.n for r in tokens.select(F.least(F.char_length("token"), F.lit(gram)).alias("n")).distinct().collect())  # gram numbers at most
-    own = F.when(F.char_length("token") < gram, F.array("token")).otherwise(_grams(F.col("token"), [gram]))
-    asked = tokens.select("token", "number", F.explode(own).alias("gram"))
-    kept = few_or_all(cut(asked.select(F.col("gram").alias("_gram")).distinct(), "token-grams"))
-    postings = words.select("word", F.explode(_grams(F.col("word"), lengths)).alias("gram"))
-    postings = cut(postings.join(kept, F.col("gram") == F.col("_gram"), "left_semi"), "gram-postings")
-    lists = few_or_all(postings.groupBy(F.col("gram").alias("_gram")).agg(F.count("*").alias("n")))
+    words = cut(words.select("word"), "words")
+    counts = few_or_all(cut(gram_counts(words), "gram-counts"))
     # A token with a gram that no word has is in no word.
-    rated = asked.join(lists, F.col("gram") == F.col("_gram"), "left")
+    rated = token_grams(tokens).join(counts, F.col("gram") == F.col("_gram"), "left")
     rarest = rated.groupBy("token", "number").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("one")).filter("one.n > 0")
-    rarest = few_or_all(cut(rarest.select("token", "number", F.col("one.gram").alias("_gram")), "rarest-grams"))
-    return postings.join(rarest, F.col("gram") == F.col("_gram")).filter(F.contains("word", "token")).select("word", "number")
+    rarest = cut(rarest.select("token", "number", F.col("one.gram").alias("_gram")), "rarest-grams")
+    short = F.char_length("token") <= GRAM
+    numbers = {r["_gram"]: r.number for r in rarest.filter(short).select("_gram", "number").collect()}  # codes of grams at most
+    grams = [r["_gram"] for r in rarest.filter(~short).select("_gram").distinct().collect()]
+    lists = cut(filed(words, numbers, grams), "gram-postings")
+    met = lists.select(F.col("word").alias("_of"), F.explode("grams").alias("gram")).join(few_or_all(rarest.filter(~short)), F.col("gram") == F.col("_gram"))
+    longer = cut(met.filter(F.contains("_of", "token")).groupBy("_of").agg(F.collect_list("number").alias("_more")), "long-tokens")
+    both = F.concat("own", F.coalesce("_more", F.array().cast("array<int>")))
+    return lists.join(few_or_all(longer), F.col("word") == F.col("_of"), "left").select(F.col("word").alias("_word"), both.alias("numbers")).filter(F.size("numbers") > 0)
 
 
 def coverage(ranked: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from dossier.functions import text
-from dossier.functions.search import number_scores, question_lines, text_scores
-from dossier.operators import bundles, retrieval
+from dossier.functions.search import gram_codes, number_scores, question_lines, text_scores
+from dossier.operators import bundles, grams, retrieval
 from dossier.sources import tables
 from dossier.sources.documents import chunk_documents, ingest_documents
 
@@ -128,3 +128,14 @@ def test_numbers_of_texts_by_bundles(spark, monkeypatch):
     monkeypatch.setattr(bundles, "_CELLS", 1)
     assert bundles._numbers_of(one[0], listed) == whole and set(whole.flatten().to_pylist()) == {1, 2, 3}
     assert bundles._numbers_of(one[0], listed.slice(2)).to_pylist() == [[]] * len(texts)
+
+
+def test_words_are_filed_under_chosen_grams_alone(spark):
+    code = lambda gram: int(gram_codes(gram.encode())[len(gram) - 1][0])
+    words = spark.createDataFrame([("abcab",), ("b",), ("zz9",), ("cabca",)], "word string")
+    found = grams.filed(words.coalesce(1), {code("a"): 5, code("ca"): 6, code("zz"): 7}, [code("abc"), code("bz")])
+    assert {r.word: (sorted(r.own), r.grams) for r in found.collect()} == {"abcab": ([5, 6], [code("abc")]), "b": ([], []), "zz9": ([7], []), "cabca": ([5, 6], [code("abc")])}
+    n = {r["_gram"]: r.n for r in grams.gram_counts(words).collect()}
+    assert [n.get(code(g), 0) for g in ("a", "b", "ab", "abc", "bz", "9c")] == [4, 4, 3, 2, 0, 0]
+    asked = spark.createDataFrame([("b", 1), ("abab", 2)], "token string, number int")
+    assert sorted(map(tuple, grams.token_grams(asked).collect())) == sorted([("b", 1, code("b")), ("abab", 2, code("aba")), ("abab", 2, code("bab"))])
